@@ -37,9 +37,8 @@ def go_arguments(params: Column) -> Column:
     return F.when(F.exists(parts, is_named), words).otherwise(F.array().cast("array<string>"))
 
 
-def _declarations(content: Column) -> Column:
+def _declarations(chunks: Column) -> Column:
     """Top-level Go declarations with the line each one begins on."""
-    chunks = F.split(content, _GO_DECLARATION, -1)
     begins = F.aggregate(
         F.transform(chunks, text.newline_count),
         F.array(F.lit(1)),
@@ -63,8 +62,8 @@ def _symbol(kind: str, type_: str | Column, name: Column, **more: Column) -> Col
     )
 
 
-def _go_symbols(content: Column) -> Column:
-    declared = _declarations(content)
+def _go_symbols(chunks: Column) -> Column:
+    declared = _declarations(chunks)
 
     def as_function(d: Column) -> Column:
         return _symbol(
@@ -117,30 +116,31 @@ def _python_symbols(content: Column) -> Column:
 
 
 def _script_symbols(content: Column) -> Column:
+    """One pass for each pattern; the name is taken out of the short match afterwards."""
+
     def find(pattern: str, group: int) -> Column:
         return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
 
-    names = F.zip_with(
-        find(fixed.SCRIPT_FUNCTION, 1),
-        find(fixed.SCRIPT_FUNCTION, 2),
-        lambda declared, bound: F.when(declared != "", declared).otherwise(bound),
-    )
+    def name(match: Column) -> Column:
+        declared = F.regexp_extract(match, fixed.SCRIPT_FUNCTION, 1)
+        bound = F.regexp_extract(match, fixed.SCRIPT_FUNCTION, 2)
+        return F.when(declared != "", declared).otherwise(bound)
+
     return F.concat(
-        _named(names, "function", "function"),
+        _named(F.transform(find(fixed.SCRIPT_FUNCTION, 0), name), "function", "function"),
         _named(find(fixed.SCRIPT_CLASS, 1), "class", "class"),
     )
 
 
-def with_symbols(files: DataFrame) -> DataFrame:
-    """Add `language` and the array `symbols` to files (path, content).
+def _found(files: DataFrame) -> DataFrame:
+    """Add `language` and the array `_ordered`: functions, then classes, each in text order.
 
-    Functions come before classes, each in text order. Java files pass the
-    filter of analyzable extensions, but there is no extraction for them.
+    The steps are columns of their own so that no pattern runs twice on a text.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     language = F.col("language")
     found = (
-        F.when(language == "go", _go_symbols(content))
+        F.when(language == "go", _go_symbols(F.col("_chunks")))
         .when(language == "python", _python_symbols(content))
         .when(language.isin("javascript", "typescript"), _script_symbols(content))
     )
@@ -151,19 +151,35 @@ def with_symbols(files: DataFrame) -> DataFrame:
     return (
         files.where(paths.language(F.col("path")).isin(*_WITH_SYMBOLS))
         .withColumn("language", paths.language(F.col("path")))
+        .withColumn("_chunks", F.when(language == "go", F.split(content, _GO_DECLARATION, -1)))
         .withColumn("_found", found)
         .withColumn("_ordered", F.concat(of_kind("function"), of_kind("class")))
-        .withColumn("symbols", _attach_methods(F.col("_ordered")))
-        .drop("_found", "_ordered")
+        .drop("_chunks", "_found")
     )
 
 
+def with_symbols(files: DataFrame) -> DataFrame:
+    """Files that declare symbols, with `language` and the array `symbols`.
+
+    Java files pass the filter of analyzable extensions, but there is no
+    extraction for them. A filter on the array would be pushed down to the scan
+    and run the extraction a second time; exploding an array of no or one
+    element drops the empty ones without that.
+    """
+    attached = _attach_methods(F.col("_ordered"))
+    some = F.filter(F.array(attached), lambda a: F.size(a) > 0)
+    found = _found(files)
+    rest = [c for c in found.columns if c != "_ordered"]
+    return found.select(*rest, F.explode(some).alias("symbols"))
+
+
 def symbols(files: DataFrame, keep_content: bool = False) -> DataFrame:
     """Flat symbol table: one row per function or class, `ord` counting within the file."""
     rest = [c for c in files.columns if c not in ("content", "language")]
     kept = rest + ["language"] + (["content"] if keep_content else [])
-    found = with_symbols(files)
-    return found.select(*kept, F.posexplode("symbols").alias("ord", "symbol")).select(
+    found = _found(files)
+    each = F.posexplode(_attach_methods(F.col("_ordered"))).alias("ord", "symbol")
+    return found.select(*kept, each).select(
         *kept,
         "ord",
         *[F.col(f"symbol.{c}") for c in ("kind", "type", "name", "line", "is_async", "args", "methods")],

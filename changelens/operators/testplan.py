@@ -205,8 +205,7 @@ def unit_test_files(files: DataFrame, config: JobConfig = JobConfig()) -> DataFr
     )
     found = with_framework(with_symbols(files), config.frameworks)
     return (
-        found.select(*keep, "language", "framework", cases.alias("cases"), F.size("symbols").alias("n"))
-        .where(F.col("n") > 0)
+        found.select(*keep, "language", "framework", cases.alias("cases"))
         .select(
             *keep,
             paths.test_path_beside(F.col("path")).alias("test_path"),
@@ -229,7 +228,7 @@ def unit_test_files_last_writer(
     """
     found = with_framework(with_symbols(files), config.frameworks)
     last = F.element_at("symbols", -1)
-    own = found.where(F.size("symbols") > 0).select(
+    own = found.select(
         *keys,
         "path",
         "language",

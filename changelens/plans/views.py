@@ -156,6 +156,7 @@ class Views:
         kind = F.when(n % 3 == 0, "_HappyPath").otherwise("_Other")
         body = fill(
             "package suite\n\nfunc TestLoad_{id}{kind}(t *testing.T) {\n\tfor {\n\t\tload_{id}(1, 2)\n\t}\n}\n\n"
+            "func TestRemoved_{id}_HappyPath(t *testing.T) {}\n"
             "def test_load_{id}_extra(a):\n    assert a\ndef test_load_{id}_last():\n    assert load_{id}(1, 2)\n\n{text}",
             id=n.cast("string"),
             kind=kind,
