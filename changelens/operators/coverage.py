@@ -15,12 +15,15 @@ def project_types(
     files: DataFrame, markers: tuple[tuple[str, str], ...] = fixed.PROJECT_MARKERS
 ) -> DataFrame:
     """Project type per repository from the marker files at its root."""
-    names = {name: str(rank) for rank, (name, _) in enumerate(markers)}
-    types = {name: kind for name, kind in markers}
-    rank = text.lookup(F.col("path"), names, F.lit(None).cast("string")).cast("int")
-    kind = text.lookup(F.col("path"), types, F.lit(None).cast("string"))
-    return files.groupBy("repo").agg(
-        F.coalesce(F.min_by(kind, rank), F.lit(fixed.UNKNOWN_PROJECT)).alias("project_type")
+    ranks = {name: str(rank) for rank, (name, _) in enumerate(markers)}
+    kinds = {str(rank): kind for rank, (_, kind) in enumerate(markers)}
+    rank = text.lookup(F.col("path"), ranks, F.lit(None).cast("string")).cast("int")
+    first = files.groupBy("repo").agg(F.min(rank).alias("_rank"))
+    return first.select(
+        "repo",
+        text.lookup(
+            F.coalesce(F.col("_rank").cast("string"), F.lit("")), kinds, F.lit(fixed.UNKNOWN_PROJECT)
+        ).alias("project_type"),
     )
 
 
@@ -70,15 +73,17 @@ def coverage_report(
     """One report row per pull-request run.
 
     `runs` holds coverage_before and pct; `line_totals` new_lines_total and
-    `symbol_counts` n_symbols, one row per pull request each.
+    `symbol_counts` n_symbols, one row per pull request each. These two meet
+    first, so that the runs, of which one request may have very many, take part
+    in a single join that adaptive execution can split.
     """
+    totals = line_totals.join(symbol_counts, list(keys), "full_outer")
     pair = before_after(F.col("coverage_before"), F.col("pct"))
     joined = (
         runs.withColumns({f"_{name}": value for name, value in pair.items()})
         .drop("coverage_before")
         .withColumnsRenamed({f"_{name}": name for name in pair})
-        .join(line_totals, list(keys), "left")
-        .join(symbol_counts, list(keys), "left")
+        .join(totals, list(keys), "left")
         .fillna(0, ["new_lines_total", "n_symbols"])
     )
     covered = covered_estimate(F.col("new_lines_total"), F.col("n_symbols"))

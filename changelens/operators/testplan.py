@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.config import JobConfig
-from changelens.functions import fixed, paths, text
+from changelens.functions import fixed, paths, templates, text
 from changelens.operators.changes import KEYS, affected_modules, modified_files
-from changelens.operators.symbols import high_impact, semantic_changes, with_framework, with_symbols
-from changelens.plans import templates
-
-CASE_COLUMNS = ("name", "description", "case_type", "code")
+from changelens.operators.symbols import high_impact, with_framework, with_symbols
 
 
 def _case(name: Column, description: Column, case_type: str, code: Column) -> Column:
@@ -87,6 +84,15 @@ def unit_cases(symbol_rows: DataFrame, config: JobConfig = JobConfig(), cap: boo
     ).select(*keep, "symbol", "ord", "case_ord", "case.*")
 
 
+def _end_to_end_case(name: Column) -> Column:
+    return _case(
+        F.concat(F.lit("Test"), text.capitalize(name), F.lit("_E2E")),
+        F.concat(F.lit("End-to-end test for "), name),
+        "e2e",
+        templates.end_to_end_code(name),
+    )
+
+
 def functional_cases(changes: DataFrame) -> DataFrame:
     """One end-to-end case per semantic change of high impact."""
     name = F.col("name")
@@ -97,12 +103,9 @@ def functional_cases(changes: DataFrame) -> DataFrame:
         F.col("file").alias("path"),
         language.alias("language"),
         name.alias("symbol"),
-        F.concat(F.lit("Test"), text.capitalize(name), F.lit("_E2E")).alias("name"),
-        F.concat(F.lit("End-to-end test for "), name).alias("description"),
-        F.lit("e2e").alias("case_type"),
-        templates.end_to_end_code(name).alias("code"),
+        _end_to_end_case(name).alias("case"),
         paths.functional_test_name(name, language).alias("test_path"),
-    )
+    ).select(*keep, "path", "language", "symbol", "case.*", "test_path")
 
 
 def integration_cases(modules: DataFrame) -> DataFrame:
@@ -124,14 +127,26 @@ def integration_cases(modules: DataFrame) -> DataFrame:
 def test_plan(
     symbol_rows: DataFrame, modules: DataFrame, config: JobConfig = JobConfig()
 ) -> DataFrame:
-    """All planned cases: functions and methods, end-to-end, integration."""
-    unit = unit_cases(symbol_rows, config).withColumn(
-        "test_path", paths.flat_test_name(F.col("path"), F.col("language"))
+    """All planned cases: functions and methods, end-to-end, integration.
+
+    The cases of a symbol, of whatever kind, come from one pass over the symbols.
+    """
+    keep = [c for c in ("repo", "pr_id", "path", "language") if c in symbol_rows.columns]
+    name, language, path = F.col("name"), F.col("language"), F.col("path")
+    symbol = F.struct(F.col("kind"), name, F.col("methods"))
+    unit_path = paths.flat_test_name(path, language)
+    unit = F.transform(
+        symbol_cases(symbol, language, config.generate_edge_cases),
+        lambda case: case.withField("test_path", unit_path),
     )
-    extra = functional_cases(semantic_changes(symbol_rows)).unionByName(
-        integration_cases(modules), allowMissingColumns=True
+    functional_path = paths.functional_test_name(name, paths.test_language(path))
+    functional = F.array(_end_to_end_case(name).withField("test_path", functional_path))
+    is_high = (language == "go") & (F.col("kind") == "class")
+    cases = F.when(is_high, F.concat(unit, functional)).otherwise(unit)
+    planned = symbol_rows.select(*keep, name.alias("symbol"), F.explode(cases).alias("case")).select(
+        *keep, "symbol", "case.*"
     )
-    return unit.drop("kind", "ord", "case_ord").unionByName(extra, allowMissingColumns=True)
+    return planned.unionByName(integration_cases(modules), allowMissingColumns=True)
 
 
 def enhanced_cases(cases: DataFrame, responses: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -256,9 +271,7 @@ def single_case_files(cases: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFra
 
     The text depends on the name alone, so equal paths are reduced to one row.
     """
-    distinct = cases.select(*keys, "test_path", "case_type", "description", "code").dropDuplicates(
-        [*keys, "test_path"]
-    )
+    distinct = cases.select(*keys, "test_path", "case_type", "description", "code").distinct()
     header = F.when(F.col("case_type") == "e2e", templates.FUNCTIONAL_HEADER).otherwise(
         templates.file_header(F.lit(fixed.DEFAULT_TEST_LANGUAGE), F.lit(fixed.DEFAULT_FRAMEWORK))
     )

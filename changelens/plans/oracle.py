@@ -7,10 +7,9 @@ their own inputs, in front of a query.
 from __future__ import annotations
 
 from changelens.config import JobConfig
-from changelens.functions import fixed
+from changelens.functions import fixed, templates
 from changelens.functions.text import glob_regex
 from changelens.operators.dedup import SEPARATOR
-from changelens.plans import templates
 from changelens.plans.views import EXTENSIONS, HEADERS
 
 CONFIG = JobConfig()
@@ -1058,8 +1057,8 @@ from answers group by repo""",
             f"""
 select repo, pr_id, path, 'Test' || {_cap('name')} || '_Enhanced' as name, 'Enhanced test for ' || name as description,
        'enhanced' as case_type, md5(answer) as code_md5
-from symbols join (select 'load_' || cast(conv_id as varchar) as name, answer from answer_texts
-                   where turn = 1 and answer <> '') using (name)
+from symbols join (select 'load_' || cast(conv_id as varchar) as name, min_by(answer, turn) as answer
+                   from answer_texts group by conv_id) using (name)
 where kind = 'function'""",
             "symbols",
             "answers",

@@ -662,10 +662,12 @@ def response_tokens(v: Views) -> DataFrame:
 
 @query
 def enhanced_cases(v: Views) -> DataFrame:
-    """Stored answers, by document number, as one more case per Python function."""
+    """The first answer of a conversation as one more case of the function of that number."""
     cases = tp.unit_cases(sy.symbols(v.code_files()))
-    answers = rs.response_texts(v.model_responses()).where(F.col("turn") == 1)
-    named = answers.select(
+    first = rs.response_texts(v.model_responses()).groupBy("conv_id").agg(
+        F.min_by("answer", "turn").alias("answer")
+    )
+    named = first.select(
         F.concat(F.lit("load_"), F.col("conv_id").cast("string")).alias("symbol"), "answer"
     )
     functions_ = sy.functions(sy.symbols(v.code_files())).select(
