@@ -12,10 +12,7 @@ CODE_SCHEMA = "repo STRING, path STRING, content STRING"
 
 def read_source_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """One row (path, content) per file below a directory, paths relative to it."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return raw.select(
         paths.relative_to(full, root.removeprefix("file:")).alias("path"),
