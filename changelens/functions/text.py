@@ -17,7 +17,7 @@ def lines(text: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip every kind of whitespace on both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def fields(text: Column) -> Column:
@@ -72,6 +72,11 @@ def fill(template: str, **values: Column) -> Column:
     )
 
 
+def unless_zero(value: Column) -> Column:
+    """The value, null in place of 0; evaluates the value once."""
+    return F.get(F.filter(F.array(value), lambda x: x != 0), F.lit(0))
+
+
 def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 

@@ -57,7 +57,7 @@ def _changes(v: Views) -> DataFrame:
 
 
 def _analysis(v: Views) -> runs.ChangeAnalysis:
-    return runs.analyze_changes(_changes(v), v.patches(), v.code_files(), CONFIG)
+    return runs.ChangeAnalysis(_changes(v).drop("doc_id"), v.code_files(), CONFIG)
 
 
 # Changes
@@ -101,7 +101,7 @@ def changed_file_counts(v: Views) -> DataFrame:
 
 @query
 def patch_lines(v: Views) -> DataFrame:
-    return ch.file_changes(_changes(v).drop("doc_id"), v.patches()).select(
+    return _analysis(v).file_changes(v.patches()).select(
         "repo", "pr_id", "path", "status", "language",
         _big("lines_changed").alias("lines_changed"),
         _big("lines_added").alias("lines_added"),
@@ -257,7 +257,7 @@ def symbol_sources(v: Views) -> DataFrame:
 
 @query
 def test_plan(v: Views) -> DataFrame:
-    plan = runs.plan_tests(_analysis(v), CONFIG)
+    plan = _analysis(v).test_plan()
     return plan.select(
         "repo", "pr_id", F.coalesce("path", F.lit("")).alias("path"), "symbol", "name",
         "description", "case_type", "test_path", F.md5("code").alias("code_md5"),
@@ -272,9 +272,7 @@ def test_plan_no_edges(v: Views) -> DataFrame:
 
 @query
 def test_plan_stats(v: Views) -> DataFrame:
-    changes = _changes(v)
-    found = sy.symbols(runs.modified_sources(changes, v.code_files(), CONFIG))
-    return tp.generation_stats(ch.routed(changes), found, CONFIG)
+    return _analysis(v).generation_stats()
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +13,6 @@ from changelens.operators import symbols as sy
 from changelens.operators import testplan as tp
 
 
-@dataclass(frozen=True)
-class ChangeAnalysis:
-    """The tables of one analysis; all share (repo, pr_id)."""
-
-    files: DataFrame
-    symbols: DataFrame
-    semantic_changes: DataFrame
-    modules: DataFrame
-
-
 def modified_sources(
     changes: DataFrame, files: DataFrame, config: JobConfig = JobConfig(), keys: tuple[str, ...] = ch.KEYS
 ) -> DataFrame:
@@ -37,26 +27,41 @@ def modified_sources(
     )
 
 
-def analyze_changes(
-    changes: DataFrame,
-    patches: DataFrame,
-    files: DataFrame,
-    config: JobConfig = JobConfig(),
-) -> ChangeAnalysis:
-    """Change list, patches and sources to file changes, symbols, impacts and modules."""
-    kept = ch.routed(changes, config.include_renames)
-    found = sy.symbols(modified_sources(kept, files, config))
-    return ChangeAnalysis(
-        files=ch.file_changes(kept, patches),
-        symbols=found,
-        semantic_changes=sy.semantic_changes(found),
-        modules=ch.affected_modules(ch.modified_files(kept)),
-    )
+class ChangeAnalysis:
+    """The tables of one analysis; all share (repo, pr_id) and are planned on first use."""
 
+    def __init__(
+        self,
+        changes: DataFrame,
+        files: DataFrame,
+        config: JobConfig = JobConfig(),
+    ):
+        self._changes = ch.routed(changes, config.include_renames)
+        self._files = files
+        self._config = config
 
-def symbol_counts(symbols: DataFrame, keys: tuple[str, ...] = ch.KEYS) -> DataFrame:
-    return symbols.groupBy(*keys).agg(F.count("*").alias("n_symbols"))
+    def file_changes(self, patches: DataFrame) -> DataFrame:
+        """File changes with language, line counts and patch text."""
+        return ch.file_changes(self._changes, patches)
 
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return sy.symbols(modified_sources(self._changes, self._files, self._config))
 
-def plan_tests(analysis: ChangeAnalysis, config: JobConfig = JobConfig()) -> DataFrame:
-    return tp.test_plan(analysis.symbols, analysis.modules, config)
+    @cached_property
+    def semantic_changes(self) -> DataFrame:
+        return sy.semantic_changes(self.symbols)
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return ch.affected_modules(ch.modified_files(self._changes))
+
+    def test_plan(self) -> DataFrame:
+        return tp.test_plan(self.symbols, self.modules, self._config)
+
+    def generation_stats(self) -> DataFrame:
+        return tp.generation_stats(self._changes, self.symbols, self._config)
+
+
+def symbol_counts(symbols: DataFrame, keys: tuple[str, ...] = ch.KEYS) -> DataFrame:
+    return symbols.groupBy(*keys).agg(F.count("*").alias("n_symbols"))

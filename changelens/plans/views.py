@@ -5,6 +5,8 @@ Every view covers all rows of its table and keeps whole texts.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @staticmethod
     def _ext(number: Column) -> Column:
@@ -47,8 +52,8 @@ class Views:
     def _repo(number: Column) -> Column:
         return F.concat(F.lit("repo"), (number % 10).cast("string"))
 
-    def code_files(self) -> DataFrame:
-        """doc_id, repo, pr_id, path, content; one source file per document."""
+    @cached_property
+    def _code_files(self) -> DataFrame:
         n = F.col("doc_id")
         ident = n.cast("string")
         ext = self._ext(n)
@@ -64,6 +69,10 @@ class Views:
             F.concat(header, F.col("text")).alias("content"),
         )
 
+    def code_files(self) -> DataFrame:
+        """doc_id, repo, pr_id, path, content; one source file per document."""
+        return self._code_files
+
     def base_files(self) -> DataFrame:
         return self.code_files().where(F.col("doc_id") % 10 != 9).select("repo", "path", "content")
 

@@ -73,9 +73,9 @@ def log_percent_python(log: Column) -> Column:
 
 def log_percent(log: Column, project_type: Column) -> Column:
     """Percentage by project type, null for a type without a reader."""
-    first = log_percent_go(log)
+    go = F.coalesce(text.unless_zero(log_percent_go(log)), log_percent_go_total(log))
     return (
-        F.when(project_type == "go", F.when(first == 0.0, log_percent_go_total(log)).otherwise(first))
+        F.when(project_type == "go", go)
         .when(project_type == "python", log_percent_python(log))
         .when(project_type.isin("javascript", "typescript"), log_percent_script(log))
     )

@@ -52,11 +52,10 @@ def test_plan_and_counters_agree(spark, rows):
         "repo STRING, pr_id INT, line STRING",
     )
     sources = files(spark, ("x/a.go", GO), ("y/b.py", PY), ("z/c.py", PY), ("d.go", GO))
-    patches = spark.createDataFrame([], "repo STRING, pr_id INT, path STRING, diff STRING")
     changes = parse_change_lines(listed)
-    analysis = runs.analyze_changes(changes, patches, sources)
+    analysis = runs.ChangeAnalysis(changes, sources)
     assert rows(analysis.modules, "module") == [("x",), ("y",)]
-    plan = runs.plan_tests(analysis)
+    plan = analysis.test_plan()
     stats = tp.generation_stats(ch.routed(changes), analysis.symbols).collect()[0]
     # functions build, open, load; classes Box, Model; modules x, y
     assert stats.unit_tests_generated == 7
