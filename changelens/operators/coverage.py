@@ -188,17 +188,41 @@ def run_summary(
     )
 
 
-def tests_per_request(changes: DataFrame) -> DataFrame:
-    """Files and lines per repository and module with subtotals; '' stands for all."""
+def _filled(rows: DataFrame, *names: str) -> DataFrame:
+    """Subtotal rows carry '' in the place of the key they sum over."""
+    return rows.fillna("", list(names))
+
+
+def change_rollup(changes: DataFrame) -> DataFrame:
+    """Files and lines per repository and module with subtotals."""
     rows = changes.select("repo", paths.module(F.col("path")).alias("module"), "lines_changed")
-    return (
-        rows.rollup("repo", "module")
-        .agg(
-            F.grouping_id().alias("level"),
-            F.count("*").alias("n_files"),
-            F.sum("lines_changed").alias("lines_changed"),
-        )
-        .fillna("", ["repo", "module"])
+    totals = rows.rollup("repo", "module").agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("n_files"),
+        F.sum("lines_changed").alias("lines_changed"),
+    )
+    return _filled(totals, "repo", "module")
+
+
+def tests_per_request(plan: DataFrame) -> DataFrame:
+    """Planned cases and test files per pull request, with subtotals per repository and overall."""
+    per_file = plan.groupBy("repo", F.col("pr_id").cast("string").alias("pr_id"), "test_path").agg(
+        F.count("*").alias("n")
+    )
+    totals = per_file.rollup("repo", "pr_id").agg(
+        F.grouping_id().alias("level"),
+        F.sum("n").alias("n_cases"),
+        F.count("*").alias("n_test_files"),
+    )
+    return _filled(totals, "repo", "pr_id")
+
+
+def generation_metrics(attempts: DataFrame, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Mean duration and share of successes per repository (duration, failed)."""
+    return attempts.groupBy(*keys).agg(
+        F.count("*").alias("n_attempts"),
+        F.avg("duration").alias("mean_duration"),
+        (F.count_if(~F.col("failed")) / F.count("*")).alias("success_rate"),
     )
 
 

@@ -662,6 +662,34 @@ _DISPLAYED = (
 )
 
 
+_PATCH_LINES = f"""
+select c.repo, c.pr_id, c.path, c.status, {_language('c.path')} as language,
+       coalesce(n_changed, 0) as lines_changed, coalesce(n_added, 0) as lines_added, md5(coalesce(diff, '')) as diff_md5
+from change_rows c left join patches p on c.repo = p.repo and c.pr_id = p.pr_id and c.path = p.path
+left join (select path, count(*) filter (where (line like '+%' and line not like '+++%')
+                                            or (line like '-%' and line not like '---%')) as n_changed,
+                  count(*) filter (where line like '+%' and line not like '+++%') as n_added
+           from (select path, unnest(string_split(diff, {NL})) as line from patches) group by path) n
+  on c.path = n.path
+where substr(c.status, 1, 1) in ('M', 'A', 'D')"""
+
+_PLAN = f"""
+select repo, pr_id, path, symbol, name, description, case_type, {_flat_name('path', 'language')} as test_path,
+       md5(code) as code_md5
+from unit_cases semi join (select repo, path from change_rows where status like 'M%') using (repo, path)
+union all
+select repo, pr_id, path, symbol, name, description, case_type, test_path, md5(code) from functional_cases
+union all
+select repo, pr_id, '', symbol, name, description, case_type, test_path, md5(code) from integration_cases"""
+
+_RUN_SUMMARY = f"""
+select repo, files_processed, unit_tests_generated, functional_tests_generated, total_test_cases,
+       coalesce(files_integrated, 0) as files_integrated, coalesce(duplicates_skipped, 0) as duplicates_skipped,
+       coalesce(tests_added, 0) as tests_added, pr_url
+from ({_stats('repo')}) left join ({_INTEGRATION}) using (repo)
+left join (select repo, max_by(pr_url, (created_at, pr_id)) as pr_url from pull_requests group by repo) using (repo)"""
+
+
 def statements() -> dict[str, str]:
     """One statement per driver query."""
     include, exclude = glob_regex(CONFIG.include_globs), glob_regex(CONFIG.exclude_globs)
@@ -690,20 +718,7 @@ from snapshot_status join snapshot_lines using (repo, path) group by 1, 2, 3""",
             "select repo, pr_id, count(*) as n_files from change_rows where path <> '' group by repo, pr_id",
             "change_rows",
         ),
-        "patch_lines": _sql(
-            f"""
-select c.repo, c.pr_id, c.path, c.status, {_language('c.path')} as language,
-       coalesce(n_changed, 0) as lines_changed, coalesce(n_added, 0) as lines_added, md5(coalesce(diff, '')) as diff_md5
-from change_rows c left join patches p on c.repo = p.repo and c.pr_id = p.pr_id and c.path = p.path
-left join (select path, count(*) filter (where (line like '+%' and line not like '+++%')
-                                            or (line like '-%' and line not like '---%')) as n_changed,
-                  count(*) filter (where line like '+%' and line not like '+++%') as n_added
-           from (select path, unnest(string_split(diff, {NL})) as line from patches) group by path) n
-  on c.path = n.path
-where substr(c.status, 1, 1) in ('M', 'A', 'D')""",
-            "change_rows",
-            "patches",
-        ),
+        "patch_lines": _sql(_PATCH_LINES, "change_rows", "patches"),
         "status_counts": _sql(
             """
 select repo, pr_id, count(*) filter (where status = 'M') as files_modified,
@@ -788,19 +803,7 @@ from modified_symbols where language = 'go'""",
             "symbols",
         ),
         # Test planning
-        "test_plan": _sql(
-            f"""
-select repo, pr_id, path, symbol, name, description, case_type, {_flat_name('path', 'language')} as test_path,
-       md5(code) as code_md5
-from unit_cases semi join (select repo, path from change_rows where status like 'M%') using (repo, path)
-union all
-select repo, pr_id, path, symbol, name, description, case_type, test_path, md5(code) from functional_cases
-union all
-select repo, pr_id, '', symbol, name, description, case_type, test_path, md5(code) from integration_cases""",
-            "unit_cases",
-            "functional_cases",
-            "integration_cases",
-        ),
+        "test_plan": _sql(_PLAN, "unit_cases", "functional_cases", "integration_cases"),
         "test_plan_no_edges": _sql(
             "select path, symbol, name, case_type from unit_cases where case_type <> 'edge_case'", "unit_cases"
         ),
@@ -930,18 +933,7 @@ where symbol_key <> '' and not exists (
             "existing_names",
             "head_symbols",
         ),
-        "run_summary": _sql(
-            f"""
-select repo, files_processed, unit_tests_generated, functional_tests_generated, total_test_cases,
-       coalesce(files_integrated, 0) as files_integrated, coalesce(duplicates_skipped, 0) as duplicates_skipped,
-       coalesce(tests_added, 0) as tests_added, pr_url
-from ({_stats('repo')}) left join ({_INTEGRATION}) using (repo)
-left join (select repo, max_by(pr_url, (created_at, pr_id)) as pr_url from pull_requests group by repo) using (repo)""",
-            "modified_symbols",
-            "modified_modules",
-            "pairs",
-            "pull_requests",
-        ),
+        "run_summary": _sql(_RUN_SUMMARY, "modified_symbols", "modified_modules", "pairs", "pull_requests"),
         # Coverage
         "coverage_from_log": _sql("select run_id, go_first as pct from log_percents", "log_percents"),
         "coverage_total": _sql("select run_id, go_total as pct from log_percents", "log_percents"),
@@ -1019,6 +1011,20 @@ select coalesce(repo, '') as repo, coalesce(module, '') as module, grouping(repo
 from (select repo, {_module('path')} as module, lines_changed from pr_files) group by rollup (repo, module)""",
             "pr_files",
         ),
+        "tests_per_request": _sql(
+            f"""
+select coalesce(repo, '') as repo, coalesce(pr_id, '') as pr_id, grouping(repo, pr_id) as level,
+       cast(sum(n) as bigint) as n_cases, count(*) as n_test_files
+from (select repo, cast(pr_id as varchar) as pr_id, test_path, count(*) as n from ({_PLAN}) group by 1, 2, 3)
+group by rollup (repo, pr_id)""",
+            "unit_cases",
+            "functional_cases",
+            "integration_cases",
+        ),
+        "generation_metrics": """
+select user_id as repo_key, count(*) as n_attempts, avg(cast(round(value * 100) as bigint)) as mean_duration,
+       count(*) filter (where event_type <> 'error') / count(*) as success_rate
+from events group by user_id""".strip(),
         "coverage_trend": _sql(
             """
 select repo_key, run_id, coalesce(round(pct - lag(pct) over (partition by repo_key order by ts, run_id), 4), 0.0)
@@ -1119,6 +1125,19 @@ select doc_id, {_case(_language('path'), fixed.FRAMEWORKS, "'none'")} as framewo
             "unit_files",
         ),
         "report_sink": _sql(f"select repo, pr_id, {_SHOWN} from report", "report"),
+        "change_sink": _sql(
+            f"select repo, pr_id, path, status, language, lines_changed, diff_md5 from ({_PATCH_LINES})",
+            "change_rows",
+            "patches",
+        ),
+        "summary_sink": _sql(
+            "select repo, files_processed, unit_tests_generated, total_test_cases, files_integrated, "
+            f"duplicates_skipped from ({_RUN_SUMMARY})",
+            "modified_symbols",
+            "modified_modules",
+            "pairs",
+            "pull_requests",
+        ),
         "test_file_sink": _sql("select repo, test_path as path, md5(content) as content_md5 from unit_files", "unit_files"),
         "functional_sink": _sql(
             f"""

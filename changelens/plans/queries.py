@@ -611,7 +611,22 @@ def comment_body(v: Views) -> DataFrame:
 
 @query
 def metrics_rollup(v: Views) -> DataFrame:
-    return cov.tests_per_request(v.pr_files()).withColumn("level", _big("level"))
+    return cov.change_rollup(v.pr_files()).withColumn("level", _big("level"))
+
+
+@query
+def tests_per_request(v: Views) -> DataFrame:
+    return cov.tests_per_request(_analysis(v).test_plan()).withColumn("level", _big("level"))
+
+
+@query
+def generation_metrics(v: Views) -> DataFrame:
+    attempts = v.table("events").select(
+        F.col("user_id").alias("repo_key"),
+        F.round(F.col("value") * 100).cast("bigint").alias("duration"),
+        (F.col("event_type") == "error").alias("failed"),
+    )
+    return cov.generation_metrics(attempts, ("repo_key",))
 
 
 @query
@@ -823,6 +838,27 @@ def report_sink(v: Views) -> DataFrame:
     return shown.select("repo", "pr_id", "report.*")
 
 
+@query
+def change_sink(v: Views) -> DataFrame:
+    """File changes written as JSON, one document per file, and read back."""
+    out = work_path(v.spark, "changes")
+    schema = "repo STRING, pr_id BIGINT, path STRING, status STRING, language STRING, lines_changed BIGINT, diff STRING"
+    found = _analysis(v).file_changes(v.patches())
+    sinks.write_json_report(found.select("repo", "pr_id", "path", "status", "language", "lines_changed", "diff"), out)
+    shown = v.spark.read.schema(schema).json(out)
+    return shown.withColumn("diff_md5", F.md5(F.coalesce("diff", F.lit("")))).drop("diff")
+
+
+@query
+def summary_sink(v: Views) -> DataFrame:
+    """Generation and integration counters written as JSON and read back."""
+    out = work_path(v.spark, "summaries")
+    sinks.write_json_report(REGISTRY["run_summary"](v), out)
+    counters = ["files_processed", "unit_tests_generated", "total_test_cases", "files_integrated", "duplicates_skipped"]
+    schema = "repo STRING, " + ", ".join(f"{name} BIGINT" for name in counters)
+    return v.spark.read.schema(schema).json(out).select("repo", *counters)
+
+
 @query
 def test_file_sink(v: Views) -> DataFrame:
     out = work_path(v.spark, "test-files")

@@ -21,6 +21,11 @@ def read_json_reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """One row (log, folder columns) per log file of a layout such as repo=.../run_id=.../."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "log")
+
+
 def parse_report(body: Column) -> Column:
     return F.from_json(body, REPORT_SCHEMA)
 

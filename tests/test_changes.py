@@ -53,10 +53,10 @@ def test_patch_lines_and_missing_patch(spark, rows):
 
 def test_worked_change_filter(spark, rows):
     listed = lines(
-        spark, "M\tsrc/api/user_service.go", "A\tsrc/api/auth_handler.go", "M\tREADME.md", "M\tconfig.yaml"
+        spark, "M\tsrc/api/order_service.go", "A\tsrc/api/login_handler.go", "M\tREADME.md", "M\tconfig.yaml"
     )
     kept = ch.analyzable_files(parse_change_lines(listed))
-    assert rows(kept, "path") == [("src/api/auth_handler.go",), ("src/api/user_service.go",)]
+    assert rows(kept, "path") == [("src/api/login_handler.go",), ("src/api/order_service.go",)]
     assert rows(ch.affected_modules(kept), "module") == [("src",)]
 
 

@@ -182,7 +182,7 @@ def test_rollup_and_retries(spark, rows):
     changes = spark.createDataFrame(
         [("r", "a/x", 1), ("r", "b/x", 2), ("s", "x", 4)], "repo STRING, path STRING, lines_changed INT"
     )
-    found = rows(cov.tests_per_request(changes), "repo", "module", "n_files", "lines_changed")
+    found = rows(cov.change_rollup(changes), "repo", "module", "n_files", "lines_changed")
     assert ("", "", 3, 7) in found and ("r", "", 2, 3) in found and ("r", "a", 1, 1) in found
     data = [("a", True), ("a", True), ("b", True), ("b", False), ("c", True), ("c", True), ("c", True), ("d", False)]
     attempts = spark.createDataFrame(data, "request_id STRING, failed BOOLEAN")
@@ -201,3 +201,24 @@ def test_run_summary_keeps_runs_without_integration(spark, rows):
     assert rows(cov.run_summary(generation, integration, requests)) == [
         ("r", 1, 5, 2, 1, 4, "url"), ("r", 2, 6, 0, 0, 0, None),
     ]
+
+
+def test_metrics(spark, rows):
+    plan = spark.createDataFrame(
+        [("r", 1, "a"), ("r", 1, "a"), ("r", 1, "b"), ("s", 2, "a")], "repo STRING, pr_id INT, test_path STRING"
+    )
+    assert rows(cov.tests_per_request(plan), "repo", "pr_id", "n_cases", "n_test_files") == [
+        ("", "", 4, 3), ("r", "", 3, 2), ("r", "1", 3, 2), ("s", "", 1, 1), ("s", "2", 1, 1),
+    ]
+    attempts = spark.createDataFrame(
+        [("r", 2, False), ("r", 4, True)], "repo STRING, duration INT, failed BOOLEAN"
+    )
+    assert rows(cov.generation_metrics(attempts)) == [("r", 2, 3.0, 0.5)]
+
+
+def test_log_files(spark, rows, tmp_path):
+    folder = tmp_path / "repo=r" / "run_id=7"
+    folder.mkdir(parents=True)
+    (folder / "log.txt").write_text("ok p coverage: 12.5% of statements\nmore\n")
+    logs = src.read_logs(spark, str(tmp_path))
+    assert rows(logs.select("repo", "run_id", src.log_percent_go(F.col("log")))) == [("r", 7, 12.5)]

@@ -144,5 +144,5 @@ def test_names_by_pattern(spark, rows):
 
 
 def test_worked_functional_candidate(spark, rows):
-    kept = tp.path_rules(files(spark, ("src/api/auth_handler.go", "")))
-    assert rows(kept, "path", "wants_functional") == [("src/api/auth_handler.go", True)]
+    kept = tp.path_rules(files(spark, ("src/api/login_handler.go", "")))
+    assert rows(kept, "path", "wants_functional") == [("src/api/login_handler.go", True)]
