@@ -54,19 +54,22 @@ class Views:
 
     @cached_property
     def _code_files(self) -> DataFrame:
-        n = F.col("doc_id")
-        ident = n.cast("string")
-        ext = self._ext(n)
-        folder = F.when(n % 13 == 0, "").otherwise(F.concat("source", F.lit("/"), "lang", F.lit("/")))
-        header = F.lit("")
-        for extension, template in HEADERS.items():
-            header = F.when(ext == extension, fill(template, id=ident)).otherwise(header)
-        return self.table("documents").select(
-            "doc_id",
-            self._repo(n).alias("repo"),
-            (n % 100).alias("pr_id"),
-            F.concat(folder, F.lit("f"), ident, ext).alias("path"),
-            F.concat(header, F.col("text")).alias("content"),
+        ident = "cast(doc_id AS STRING)"
+        header = " ".join(
+            f"WHEN '{extension}' THEN replace('{template}', '{{id}}', {ident})"
+            for extension, template in HEADERS.items()
+        )
+        listed = ", ".join(f"'{extension}'" for extension in EXTENSIONS)
+        return (
+            self.table("documents")
+            .selectExpr("*", f"element_at(array({listed}), cast(doc_id % 8 AS INT) + 1) AS ext")
+            .selectExpr(
+                "doc_id",
+                "concat('repo', cast(doc_id % 10 AS STRING)) AS repo",
+                "doc_id % 100 AS pr_id",
+                f"concat(if(doc_id % 13 = 0, '', concat(source, '/', lang, '/')), 'f', {ident}, ext) AS path",
+                f"concat(CASE ext {header} ELSE '' END, text) AS content",
+            )
         )
 
     def code_files(self) -> DataFrame:
