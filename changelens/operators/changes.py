@@ -122,13 +122,18 @@ def preview(
     """The first files of each pull request and how many more there are.
 
     The rank filter lets Spark keep only `limit` rows per key before the
-    shuffle; the total is counted apart, so no task sees a whole key. The
-    narrowest key leads, which makes the sort compare numbers most of the time.
+    shuffle; the total is counted apart, so no task sees a whole key, and only
+    requests with more files than that take part in the join. The narrowest key
+    leads, which makes the sort compare numbers most of the time.
     """
     by_order = Window.partitionBy(*reversed(keys)).orderBy(*order)
     first = changes.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= limit)
-    more = F.greatest(F.count("*") - F.lit(limit), F.lit(0)).alias("n_more")
-    return first.join(changes.groupBy(*keys).agg(more), list(keys))
+    longer = (
+        changes.groupBy(*keys)
+        .agg((F.count("*") - limit).alias("n_more"))
+        .where(F.col("n_more") > 0)
+    )
+    return first.join(longer, list(keys), "left").fillna(0, ["n_more"])
 
 
 def diff_snapshots(base: DataFrame, head: DataFrame) -> DataFrame:

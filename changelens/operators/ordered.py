@@ -9,6 +9,7 @@ from changelens.session import pinned
 
 _SLICE = "_slice"
 _VALUE = "_value"
+_LAST = "_is_last"
 _CARRY = "_carry"
 
 
@@ -23,40 +24,38 @@ def carry_forward(
     """Add `out`: the last non-null `value` among the earlier rows of the same keys.
 
     A plain window would put all rows of a key into one task. Here the rows are
-    range-partitioned by (keys, order) instead, so a hot key is cut into slices
-    of even size. Each slice is solved by itself; what the slices of one key
-    hand on is one row per slice at most, and is joined back by broadcast: the
-    number of slices bounds it. The ranges come from a sample, hence the rows
-    are pinned before the slice number is used twice. `order` must be unique
+    range-partitioned by (keys, order) first, so a hot key is cut into slices
+    of even size and each slice is solved by itself. What the slices of one key
+    hand on is one row per slice at most; it is joined back by broadcast, and
+    the number of slices bounds it. The ranges come from a sample, hence the
+    sliced rows are pinned before they are used twice. `order` must be unique
     within a key for a defined result.
     """
     spark = df.sparkSession
     slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = (
+    in_slice = Window.partitionBy(*keys, _SLICE).orderBy(*order)
+    earlier = in_slice.rowsBetween(Window.unboundedPreceding, -1)
+    sliced = pinned(
         df.withColumn(_VALUE, value)
         .repartitionByRange(slices, *keys, *order)
         .withColumn(_SLICE, F.spark_partition_id())
+        .withColumns(
+            {
+                out: F.last(_VALUE, ignorenulls=True).over(earlier),
+                _LAST: F.lead(F.lit(True)).over(in_slice).isNull(),
+            }
+        )
     )
-    ranged = pinned(ranged)
 
-    known = F.when(F.col(_VALUE).isNotNull(), F.struct(*order))
-    last_of_slice = ranged.groupBy(*keys, _SLICE).agg(F.max_by(_VALUE, known).alias(_CARRY))
     over_slices = (
         Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = (
-        last_of_slice.withColumn(_CARRY, F.last(_CARRY, ignorenulls=True).over(over_slices))
-        .where(F.col(_CARRY).isNotNull())
-    )
-
-    inside = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    handed_on = sliced.where(_LAST).select(*keys, _SLICE, F.coalesce(_VALUE, out).alias(_CARRY))
+    carried = handed_on.withColumn(
+        _CARRY, F.last(_CARRY, ignorenulls=True).over(over_slices)
+    ).where(F.col(_CARRY).isNotNull())
     return (
-        ranged.withColumn(out, F.last(_VALUE, ignorenulls=True).over(inside))
-        .join(F.broadcast(carried), [*keys, _SLICE], "left")
+        sliced.join(F.broadcast(carried), [*keys, _SLICE], "left")
         .withColumn(out, F.coalesce(out, _CARRY))
-        .drop(_SLICE, _VALUE, _CARRY)
+        .drop(_SLICE, _VALUE, _LAST, _CARRY)
     )
