@@ -173,31 +173,39 @@ def generation_stats(
     config: JobConfig = JobConfig(),
     keys: tuple[str, ...] = KEYS,
 ) -> DataFrame:
-    """Generation counters: every function, class, high-impact change and module counts one."""
+    """Generation counters: every function, class, high-impact change and module counts one.
+
+    The three inputs are stacked as rows of counters and summed once, so there
+    is one shuffle of pre-aggregated rows and no join.
+    """
     modified = modified_files(changes)
-    is_struct = (F.col("kind") == "class") & (F.col("language") == "go")
+    one = F.lit(1)
+    is_function = F.col("kind") == "function"
+    is_high = ~is_function & (F.col("language") == "go")
     cases = case_count(F.col("kind"), F.col("methods"), config.generate_edge_cases)
-    per_symbol = symbol_rows.groupBy(*keys).agg(
-        F.count_if(F.col("kind") == "function").alias("n_functions"),
-        F.count_if(F.col("kind") == "class").alias("n_classes"),
-        F.count_if(is_struct).alias("n_functional"),
-        F.sum(cases).alias("n_cases"),
+    counters = (
+        "files_processed", "unit_tests_generated", "functional_tests_generated", "total_test_cases",
     )
-    per_module = affected_modules(modified, keys).groupBy(*keys).agg(F.count("*").alias("n_modules"))
-    per_file = modified.groupBy(*keys).agg(F.count("*").alias("files_processed"))
-    joined = (
-        per_file.join(per_symbol, list(keys), "full_outer")
-        .join(per_module, list(keys), "left")
-        .fillna(0)
-    )
-    n = F.col
-    return joined.select(
-        *keys,
-        "files_processed",
-        (n("n_functions") + n("n_classes") + n("n_modules")).alias("unit_tests_generated"),
-        n("n_functional").alias("functional_tests_generated"),
-        (n("n_cases") + n("n_functional") + n("n_modules")).alias("total_test_cases"),
+
+    def counted(rows: DataFrame, **values: Column) -> DataFrame:
+        columns = [values.get(c, F.lit(0)).cast("bigint").alias(c) for c in counters]
+        return rows.select(*keys, *columns)
+
+    stacked = (
+        counted(modified, files_processed=one)
+        .unionByName(
+            counted(
+                symbol_rows,
+                unit_tests_generated=one,
+                functional_tests_generated=is_high.cast("int"),
+                total_test_cases=cases + is_high.cast("int"),
+            )
+        )
+        .unionByName(
+            counted(affected_modules(modified, keys), unit_tests_generated=one, total_test_cases=one)
+        )
     )
+    return stacked.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
 
 
 def _file_text(language: Column, framework: Column, cases: Column) -> Column:
