@@ -66,6 +66,18 @@ FUNCTION_KINDS = (
 )
 EDGE_KIND = "edge_case"
 
+# Endings of generated test names.
+TEST_NAME_ENDINGS = (
+    "_HappyPath",
+    "_EdgeCases",
+    "_ErrorHandling",
+    "_E2E",
+    "_Integration",
+    "_happy_path",
+    "_edge_cases",
+    "_error_handling",
+)
+
 # Share of changed lines taken as covered when symbols changed.
 COVERED_SHARE = 0.7
 

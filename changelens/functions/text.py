@@ -57,6 +57,17 @@ def percent(text: Column) -> Column:
     return number(trim_suffix(text, "%"))
 
 
+def rfc3339(time: Column) -> Column:
+    """Time text of a UTC wall-clock time."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def unix_seconds(time: Column) -> Column:
+    """Seconds since 1970 of a UTC wall-clock time, whatever the session's time zone."""
+    days = F.datediff(time, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+
+
 def lookup(key: Column, table: dict[str, str], default: Column) -> Column:
     """Value of a small fixed table held in the plan as a literal map."""
     pairs = [F.lit(x) for item in table.items() for x in item]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions import text
+from changelens.functions import fixed, text
 
 PATH_KEYS = ("repo", "path")
 SEPARATOR = "\n// Tests added by a job\n\n"
@@ -205,15 +205,23 @@ def integration_stats(
     )
 
 
+def tested_symbol(test_name: Column) -> Column:
+    """Symbol a test name stands for: without the prefix and the ending of its kind.
+
+    A name with none of the known endings loses what follows its last underscore.
+    """
+    endings = "|".join(fixed.TEST_NAME_ENDINGS)
+    known = F.regexp_extract(test_name, rf"^(?:Test|test_)(.+?)(?:{endings})$", 1)
+    other = F.regexp_extract(test_name, r"^(?:Test|test_)(.+)_[^_]*$", 1)
+    return F.when(known != "", known).otherwise(other)
+
+
 def obsolete_tests(existing_names: DataFrame, symbol_rows: DataFrame) -> DataFrame:
     """Tests (repo, test_name) whose symbol no longer exists in the head snapshot.
 
-    The symbol is what a test name leaves when the prefix and the kind suffix
-    are taken off; both sides are compared with the first letter upper-cased.
+    Both sides are compared with the first letter upper-cased.
     """
-    target = F.regexp_extract("test_name", r"^(?:Test|test_)(.+)_[^_]*$", 1)
-    tests = existing_names.withColumn("symbol_key", text.capitalize(target)).where(
-        F.col("symbol_key") != ""
-    )
+    key = text.capitalize(tested_symbol(F.col("test_name")))
+    tests = existing_names.withColumn("symbol_key", key).where(F.col("symbol_key") != "")
     present = symbol_rows.select("repo", text.capitalize(F.col("name")).alias("symbol_key")).distinct()
     return tests.join(present, ["repo", "symbol_key"], "left_anti")

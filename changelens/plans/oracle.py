@@ -693,6 +693,7 @@ left join (select repo, max_by(pr_url, (created_at, pr_id)) as pr_url from pull_
 def statements() -> dict[str, str]:
     """One statement per driver query."""
     include, exclude = glob_regex(CONFIG.include_globs), glob_regex(CONFIG.exclude_globs)
+    endings = "|".join(fixed.TEST_NAME_ENDINGS)
     path_line = f"string_split(content, {NL})[1]"
     return {
         # Changes
@@ -926,8 +927,11 @@ select repo, path, name from generated_tests g where not exists (
         "obsolete_tests": _sql(
             f"""
 select repo, test_name
-from (select repo, test_name, {_cap("regexp_extract(test_name, '^(?:Test|test_)(.+)_[^_]*$', 1)")} as symbol_key
-      from existing_names) t
+from (select repo, test_name, {_cap("symbol")} as symbol_key
+      from (select repo, test_name,
+                   coalesce(nullif(regexp_extract(test_name, '^(?:Test|test_)(.+?)(?:{endings})$', 1), ''),
+                            regexp_extract(test_name, '^(?:Test|test_)(.+)_[^_]*$', 1)) as symbol
+            from existing_names)) t
 where symbol_key <> '' and not exists (
   select 1 from head_symbols h where h.repo = t.repo and {_cap('h.name')} = t.symbol_key)""",
             "existing_names",

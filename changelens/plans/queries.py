@@ -779,8 +779,8 @@ def scalar_numbers_time(v: Views) -> DataFrame:
         text.number(price.cast("decimal(20,2)").cast("string")).alias("parsed"),
         F.coalesce(text.number(F.col("o_orderpriority")), F.lit(-1.0)).alias("unparsed"),
         cov.covered_estimate(_big("o_orderkey"), F.lit(1)).alias("truncated"),
-        F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rfc3339"),
-        F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").alias("unix_seconds"),
+        text.rfc3339(day).alias("rfc3339"),
+        text.unix_seconds(day).alias("unix_seconds"),
         F.format_string("%s %d %.2f %+.2f", "o_orderstatus", "o_orderkey", price, price).alias("formatted"),
     )
 
@@ -895,8 +895,7 @@ def baseline_sink(v: Views) -> DataFrame:
 @query
 def pr_events(v: Views) -> DataFrame:
     """Events as pull-request events, taken through the stream until used up."""
-    schema = v.table("events").schema.simpleString().removeprefix("struct<").removesuffix(">")
-    raw = stream.read_events(v.spark, v.sf_dir, schema.replace(":", " "), "events.parquet")
+    raw = stream.read_events(v.spark, v.sf_dir, v.table("events").schema, "events.parquet")
     kinds = {"signup": "opened", "purchase": "synchronize", "error": "reopened"}
     events = raw.select(
         "event_id",

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from changelens.functions import fixed
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet") -> DataFrame:
+def read_events(
+    spark: SparkSession, folder: str, schema: str | StructType, glob: str = "*.parquet"
+) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
 

@@ -134,8 +134,9 @@ def test_matched_paths(spark, rows):
 
 def test_obsolete_tests(spark, rows):
     tests = spark.createDataFrame(
-        [("r", n) for n in ("TestLoad_HappyPath", "TestGone_HappyPath", "test_load_edge", "TestPlain")],
+        [("r", n) for n in ("TestLoad_HappyPath", "TestGone_HappyPath", "test_load_edge", "TestPlain",
+                               "test_load_happy_path", "test_gone_edge_cases", "TestLoad_Run")],
         "repo STRING, test_name STRING",
     )
     found = spark.createDataFrame([("r", "load")], "repo STRING, name STRING")
-    assert rows(dd.obsolete_tests(tests, found), "test_name") == [("TestGone_HappyPath",)]
+    assert rows(dd.obsolete_tests(tests, found), "test_name") == [("TestGone_HappyPath",), ("test_gone_edge_cases",)]
