@@ -17,7 +17,7 @@ SEPARATOR = "\n// Tests added by a job\n\n"
 
 _GO_START = "func Test"
 _PY_START = "def test_"
-_BLOCK_START = r"(?md)(?=^[^\S\n]*(?:func Test|def test_))"
+_BLOCK_START = r"(?md)^(?=[^\S\n]*(?:func Test|def test_))"
 _GO_BLOCK = r"(?sd)\A(.*?\n[^\S\n]*\}[^\S\n]*\n)"
 _GO_BLOCK_UNINDENTED = r"(?sd)\A(.*?\n\}[^\S\n]*\n)"
 _PY_BLOCK = r"(?sd)\A(.*?\n[^\S\n]*\}?[^\S\n]*\n)"

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from changelens.config import JobConfig
+from changelens.functions import fixed
 from changelens.operators import symbols as sy
 
 SCHEMA = "repo STRING, pr_id INT, path STRING, content STRING"
@@ -146,4 +149,17 @@ def test_patterns_run_once_per_text(spark, tmp_path):
     for df in (sy.symbols(source), sy.with_symbols(source)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("(?md)^def") == 1
-        assert plan.count("(?md)(?=^(?:func|type)") == 1
+        assert plan.count("(?md)^(?=(?:func|type)") == 1
+
+
+def test_fast_script_pattern_finds_the_same(spark):
+    rng = random.Random(5)
+    words = ["function ", "const ", "let ", "var ", "async ", "a", "b1", " = ", "(x) =>", "function(", "=", "\n", "(", ") =>", "xconst "]
+    texts = ["".join(rng.choices(words, k=12)) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    both = df.select(
+        F.regexp_extract_all("t", F.lit(sy._SCRIPT_FUNCTION), F.lit(0)).alias("fast"),
+        F.regexp_extract_all("t", F.lit(fixed.SCRIPT_FUNCTION), F.lit(0)).alias("plain"),
+    )
+    assert both.where("size(plain) > 0").count() > 500
+    assert both.where("fast != plain").count() == 0
