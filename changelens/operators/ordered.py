@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,10 @@ def carry_forward(
     carried = handed_on.withColumn(
         _CARRY, F.last(_CARRY, ignorenulls=True).over(over_slices)
     ).where(F.col(_CARRY).isNotNull())
+    side = {name: f"_of_{name}" for name in [*keys, _SLICE]}
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in side.items()])
     return (
-        sliced.join(F.broadcast(carried), [*keys, _SLICE], "left")
+        sliced.join(F.broadcast(carried.withColumnsRenamed(side)), same, "left")
         .withColumn(out, F.coalesce(out, _CARRY))
-        .drop(_SLICE, _VALUE, _LAST, _CARRY)
+        .drop(_SLICE, _VALUE, _LAST, _CARRY, *side.values())
     )

@@ -10,7 +10,7 @@ from changelens.operators.ordered import carry_forward
 def brute_force(data):
     """Last known value among the earlier rows of a key."""
     last, out = {}, {}
-    for key, ts, ident, value in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+    for key, ts, ident, value in sorted(data, key=lambda r: (r[0] or "", r[1], r[2])):
         out[ident] = last.get(key)
         if value is not None:
             last[key] = value
@@ -50,6 +50,11 @@ def test_values_only_in_the_first_slice(spark):
     check(spark, data, 9)
 
 
+def test_rows_without_a_key_are_a_group_of_their_own(spark):
+    data = [(None if i % 3 else "b", i, i, i if i % 50 == 0 else None) for i in range(400)]
+    check(spark, data, 8)
+
+
 def test_no_task_window_spans_a_whole_key(spark):
     df = spark.createDataFrame([("a", 1, 1, 1)], "k STRING, ts INT, id INT, v INT")
     found = carry_forward(df, ["k"], ["ts", "id"], F.col("v"), "before", 3)
