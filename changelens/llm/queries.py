@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelens.llm.classifier import score_documents
 from changelens.llm.common import table
 from changelens.llm.mixing import mixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -20,4 +25,4 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_mixing": op9_mixing}
+    return {"op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
