@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from changelens.llm.classifier import score_documents
 from changelens.llm.common import table
 from changelens.llm.mixing import mixture
+from changelens.llm.ngram_join import CONTRACT, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), CONTRACT)
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -25,4 +30,4 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
+    return {"op3_ngram_jaccard": op3_ngram_jaccard, "op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
