@@ -11,6 +11,7 @@ from changelens.llm.classifier import score_documents
 from changelens.llm.common import table
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
+from changelens.llm.pii import span_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,10 @@ def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), CONTRACT)
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return span_report(table(spark, folder, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -30,4 +35,4 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_ngram_jaccard": op3_ngram_jaccard, "op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
+    return {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_pii": op5_pii, "op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
