@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from changelens.llm.classifier import score_documents
 from changelens.llm.common import table
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
+from changelens.llm.sentencepiece import encoded_digest
+
+PIECE_MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_digest(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), CONTRACT)
 
@@ -35,4 +42,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_ngram_jaccard": op3_ngram_jaccard, "op5_pii": op5_pii, "op7_quality_classifier": op7_quality_classifier, "op9_mixing": op9_mixing}
+    return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op5_pii": op5_pii,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op9_mixing": op9_mixing,
+    }
