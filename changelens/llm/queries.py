@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changelens.llm.classifier import score_documents
 from changelens.llm.common import table
+from changelens.llm.embeddings import near_duplicate_vectors
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
@@ -23,6 +24,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_digest(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, folder, "embeddings"), cosine=0.95, recall=0.99)
+
+
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), CONTRACT)
 
@@ -44,6 +49,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_pii": op5_pii,
         "op7_quality_classifier": op7_quality_classifier,
