@@ -55,43 +55,61 @@ class Disclosure:
     remove_at: float = 0.95
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: lambdas would compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _before(values: Column, fold) -> Column:
-    """For each element the fold (from 0) of those before it, in blocks so that the
-    work per element is bounded by the block and the number of blocks."""
+    """For each element of a bound array the fold (from 0) of those before it, in blocks so
+    that the work per element is bounded by the block and the number of blocks."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
         lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), fold),
     )
-    starts = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), fold))
-    inside = F.transform(
-        F.sequence(F.lit(0), F.size(values) - 1),
-        lambda i: fold(
-            F.get(starts, F.floor(i / _BLOCK).cast("int")),
-            F.aggregate(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK), F.lit(0), fold),
-        ),
-    )
-    return F.when(F.size(values) > 0, inside).otherwise(F.array().cast("array<int>"))
+
+    def starts(bound: Column) -> Column:
+        return F.transform(bound, lambda _, b: F.aggregate(F.slice(bound, F.lit(1), b), F.lit(0), fold))
+
+    def inside(bound: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(values) - 1),
+            lambda i: fold(
+                F.get(bound, F.floor(i / _BLOCK).cast("int")),
+                F.aggregate(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK), F.lit(0), fold),
+            ),
+        )
+
+    every = _let(blocks, lambda bound: _let(starts(bound), inside))
+    return F.when(F.size(values) > 0, every).otherwise(F.array().cast("array<int>"))
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """start, end, value, left and right (text up to the neighbouring matches) of each match."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
-    offsets = _before(steps, lambda a, b: a + b)
-
-    def span(hit: Column, i: Column) -> Column:
-        left = F.get(gaps, i)
-        start = F.get(offsets, i) + F.length(left)
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(hit)).alias("end"),
-            hit.alias("value"),
-            left.alias("left"),
-            F.get(gaps, i + 1).alias("right"),
-        )
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
+    )
+
+    def spans(parts: Column) -> Column:
+        hits, gaps = parts["hits"], parts["gaps"]
+        steps = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
 
-    return F.transform(hits, span)
+        def span(offsets: Column):
+            def made(hit: Column, i: Column) -> Column:
+                start = F.get(offsets, i) + F.length(F.get(gaps, i))
+                return F.struct(
+                    start.alias("start"),
+                    (start + F.length(hit)).alias("end"),
+                    hit.alias("value"),
+                    F.get(gaps, i).alias("left"),
+                    F.get(gaps, i + 1).alias("right"),
+                )
+
+            return made
+
+        return _let(steps, lambda s: _let(_before(s, lambda a, b: a + b), lambda o: F.transform(hits, span(o))))
+
+    return _let(cut, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -113,7 +131,7 @@ def _valid(kind: str, value: Column) -> Column:
         return F.forall(parts, lambda p: (F.length(p) <= 3) & (F.substring(p, 1, 3).cast("int") <= 255))
     n = F.length(_digits(value))
     if kind == "card":
-        return F.when(n.between(13, 19), _luhn(_digits(value))).otherwise(F.lit(False))
+        return F.when(n.between(13, 19), _let(_digits(value), _luhn)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(9, 15)
     return F.lit(True)
@@ -224,9 +242,12 @@ def all_spans(docs: DataFrame, settings: Disclosure | None = None) -> DataFrame:
         _matches(F.col("text"), _LETTERS),
         lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("terms")[F.lower(m["value"])].alias("share")),
     )
-    telling_words = F.filter(
-        words,
-        lambda w: w["share"].isNotNull() & ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
+    telling_words = _let(
+        base,
+        lambda spans: F.filter(
+            F.filter(words, lambda w: w["share"].isNotNull()),
+            lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
+        ),
     )
     terms = F.when(
         F.col("terms").isNotNull(),
@@ -262,37 +283,35 @@ def span_report(docs: DataFrame, settings: Disclosure | None = None) -> DataFram
 def masked(text: Column, marks: Column) -> Column:
     """The text with the union of all marks (start, end, label) replaced, each stretch
     by the label of its first mark."""
-    ordered = F.array_sort(marks)
-    ends = F.transform(ordered, lambda m: m["end"])
-    reach = _before(ends, lambda a, b: F.greatest(a, b))
+    def whole(ordered: Column, reach: Column) -> Column:
+        def piece(mark: Column, i: Column) -> Column:
+            done = F.get(reach, i)
+            clear = F.substring(text, done + 1, F.greatest(mark["start"] - done, F.lit(0)))
+            return F.when((mark["start"] >= done), F.concat(clear, mark["label"])).otherwise(F.lit(""))
+
+        last = F.array_max(F.transform(ordered, lambda m: m["end"]))
+        rest = F.substring(text, last + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), rest)
 
-    def piece(mark: Column, i: Column) -> Column:
-        done = F.get(reach, i)
-        clear = F.substring(text, done + 1, F.greatest(mark["start"] - done, F.lit(0)))
-        return F.when((mark["start"] >= done), F.concat(clear, mark["label"])).otherwise(F.lit(""))
+    def with_reach(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda m: m["end"])
+        reach = _let(ends, lambda e: _before(e, lambda a, b: F.greatest(a, b)))
+        return _let(reach, lambda r: whole(ordered, r))
 
-    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
-    return F.when(F.size(marks) > 0, F.concat(F.array_join(F.transform(ordered, piece), ""), rest)).otherwise(text)
+    return F.when(F.size(marks) > 0, _let(F.array_sort(marks), with_reach)).otherwise(text)
 
 
 def sanitised(docs: DataFrame, settings: Disclosure | None = None) -> DataFrame:
     """The documents with personal data masked; columns as in `docs`. Texts without any
     are passed as they are; only rows with spans go through the join with the masks."""
-    marks = F.concat(
-        *[
-            F.transform(
-                F.col(kind),
-                lambda s, kind=kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("label")),
-            )
-            for kind in PATTERNS
-        ],
-        F.transform(
-            F.col("term"),
-            lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise("[term]").alias("label")
-            ),
-        ),
-    )
+    def labelled(kind: str) -> Column:
+        def mark(s: Column) -> Column:
+            label = F.when(s["removed"], "").otherwise("[term]") if kind == "term" else F.lit(f"[{kind}]")
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.alias("label"))
+
+        return F.transform(F.col(kind), mark)
+
+    marks = F.concat(*map(labelled, [*PATTERNS, "term"]))
     clean = (
         all_spans(docs, settings)
         .where("holder is not null")
