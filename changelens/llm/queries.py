@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from changelens.llm.classifier import score_documents
-from changelens.llm.common import table
+from changelens.llm.common import table, work_path
 from changelens.llm.embeddings import near_duplicate_vectors
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
 from changelens.llm.sentencepiece import encoded_digest
+from changelens.llm.warc import read_archive, write_archive
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -32,6 +33,14 @@ def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), CONTRACT)
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = work_path(spark, "warc")
+    write_archive(table(spark, folder, "pages"), archive)
+    return read_archive(spark, archive, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return span_report(table(spark, folder, "documents"))
 
@@ -51,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_warc": op4_warc,
         "op5_pii": op5_pii,
         "op7_quality_classifier": op7_quality_classifier,
         "op9_mixing": op9_mixing,
