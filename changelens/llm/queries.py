@@ -15,8 +15,10 @@ from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
 from changelens.llm.sentencepiece import encoded_digest
 from changelens.llm.warc import read_archive, write_archive
+from changelens.llm.wavelet import read_tokens, write_tokens
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +51,12 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_wavelet_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    index = work_path(spark, "tokens")
+    write_tokens(table(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER), index)
+    return read_tokens(spark, index, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -63,5 +71,6 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_wavelet_tokens": op8_wavelet_tokens,
         "op9_mixing": op9_mixing,
     }
