@@ -13,6 +13,7 @@ from changelens.llm.embeddings import near_duplicate_vectors
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
+from changelens.llm.rules import judged
 from changelens.llm.sentencepiece import encoded_digest
 from changelens.llm.warc import read_archive, write_archive
 from changelens.llm.wavelet import read_tokens, write_tokens
@@ -47,6 +48,11 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return span_report(table(spark, folder, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return judged(table(spark, folder, "documents"), trusted).drop("score")
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
+        "op6_quality_rules": op6_quality_rules,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_wavelet_tokens": op8_wavelet_tokens,
         "op9_mixing": op9_mixing,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
@@ -39,3 +40,53 @@ def repeated_lines(text: bytes) -> int:
         return 0
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     return len(lines) - len(set(lines))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits depend on all bits of the input."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+class _WordHashes(dict):
+    """Hashes of words, kept for the words seen last."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hashes = _WordHashes()
+_FACTORS = mixed(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def covered_words(hashes: np.ndarray, width: int = 3) -> int:
+    """Words in windows of `width` words that occur twice or more, from word hashes."""
+    n = len(hashes) - width + 1
+    if n < 2:
+        return 0
+    key = hashes[:n] * _FACTORS[0]
+    for i in range(1, width):
+        key = key + hashes[i : i + n] * _FACTORS[i]
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    hit = np.zeros(n, bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    covered = np.zeros(len(hashes), bool)
+    for i in range(width):
+        covered[i : i + n] |= hit
+    return int(covered.sum())
