@@ -15,11 +15,19 @@ from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
 from changelens.llm.rules import judged
 from changelens.llm.sentencepiece import encoded_digest
+from changelens.llm.urls import Rule, judged_urls
 from changelens.llm.warc import read_archive, write_archive
 from changelens.llm.wavelet import read_tokens, write_tokens
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_TOKENIZER = "word_bpe_49k.json"
+URL_RULES: tuple[Rule, ...] = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +77,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return judged_urls(table(spark, folder, "pages"), URL_RULES).drop("score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -80,4 +92,5 @@ def queries() -> dict[str, Query]:
         "op7_quality_classifier": op7_quality_classifier,
         "op8_wavelet_tokens": op8_wavelet_tokens,
         "op9_mixing": op9_mixing,
+        "op10_url_filters": op10_url_filters,
     }
