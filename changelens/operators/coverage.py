@@ -180,11 +180,14 @@ def comment_body(report: DataFrame) -> DataFrame:
 def run_summary(
     generation: DataFrame, integration: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS
 ) -> DataFrame:
-    """Generation counters, integration counters and the pull request in one row."""
+    """Generation counters, integration counters and the pull request in one row.
+
+    A key that only one of the two has counted gets zeros for the other.
+    """
     on = list(keys)
-    counters = ["files_integrated", "duplicates_skipped", "tests_added"]
+    counters = [c for c in (*generation.columns, *integration.columns) if c not in on]
     return (
-        generation.join(integration, on, "left").fillna(0, counters).join(requests, on, "left")
+        generation.join(integration, on, "full_outer").fillna(0, counters).join(requests, on, "left")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions import fixed, text
+from changelens.functions import fixed, paths, text
 
 PATH_KEYS = ("repo", "path")
 SEPARATOR = "\n// Tests added by a job\n\n"
@@ -88,16 +88,21 @@ def exploded_blocks(files: DataFrame, unindented: bool = False) -> DataFrame:
     )
 
 
+def generated_tests_only(generated: DataFrame) -> DataFrame:
+    """Generated files that are test files by their name; no other is integrated."""
+    return generated.where(paths.is_test_file(F.col("path")))
+
+
 def matched_paths(generated: DataFrame, existing: DataFrame) -> DataFrame:
-    """Every generated path and whether the suite has a file there."""
+    """Every generated test path and whether the suite has a file there."""
     known = existing.select(*PATH_KEYS, F.lit(True).alias("path_exists"))
-    return generated.select(*PATH_KEYS).join(known, list(PATH_KEYS), "left").fillna(
+    return generated_tests_only(generated).select(*PATH_KEYS).join(known, list(PATH_KEYS), "left").fillna(
         False, ["path_exists"]
     )
 
 
 def _paired(generated: DataFrame, existing: DataFrame, how: str) -> DataFrame:
-    return generated.select(*PATH_KEYS, F.col("content").alias("source")).join(
+    return generated_tests_only(generated).select(*PATH_KEYS, F.col("content").alias("source")).join(
         existing.select(*PATH_KEYS, F.col("content").alias("target")), list(PATH_KEYS), how
     )
 
@@ -205,23 +210,30 @@ def integration_stats(
     )
 
 
-def tested_symbol(test_name: Column) -> Column:
-    """Symbol a test name stands for: without the prefix and the ending of its kind.
-
-    A name with none of the known endings loses what follows its last underscore.
-    """
+def tested_symbols(test_name: Column) -> Column:
+    """Symbols a test name may stand for: the name without its prefix, without a known
+    ending, and up to its last underscore."""
     endings = "|".join(fixed.TEST_NAME_ENDINGS)
-    known = F.regexp_extract(test_name, rf"^(?:Test|test_)(.+?)(?:{endings})$", 1)
-    other = F.regexp_extract(test_name, r"^(?:Test|test_)(.+)_[^_]*$", 1)
-    return F.when(known != "", known).otherwise(other)
+    patterns = (r"^(?:Test|test_)(.+)$", rf"^(?:Test|test_)(.+?)(?:{endings})$", r"^(?:Test|test_)(.+)_[^_]*$")
+    found = F.array(*[F.regexp_extract(test_name, pattern, 1) for pattern in patterns])
+    return F.array_distinct(F.filter(found, lambda name: name != ""))
 
 
 def obsolete_tests(existing_names: DataFrame, symbol_rows: DataFrame) -> DataFrame:
-    """Tests (repo, test_name) whose symbol no longer exists in the head snapshot.
+    """Tests (repo, test_name) none of whose possible symbols exists in the head snapshot.
 
-    Both sides are compared with the first letter upper-cased.
+    Both sides are compared with the first letter upper-cased. A name that is only a
+    prefix stands for nothing and is not judged.
     """
-    key = text.capitalize(tested_symbol(F.col("test_name")))
-    tests = existing_names.withColumn("symbol_key", key).where(F.col("symbol_key") != "")
+    candidates = tested_symbols(F.col("test_name"))
     present = symbol_rows.select("repo", text.capitalize(F.col("name")).alias("symbol_key")).distinct()
-    return tests.join(present, ["repo", "symbol_key"], "left_anti")
+    alive = (
+        existing_names.select("repo", "test_name")
+        .distinct()
+        .select("repo", "test_name", F.explode(candidates).alias("symbol"))
+        .select("repo", "test_name", text.capitalize(F.col("symbol")).alias("symbol_key"))
+        .join(present, ["repo", "symbol_key"], "left_semi")
+        .select("repo", "test_name")
+        .distinct()
+    )
+    return existing_names.where(F.size(candidates) > 0).join(alive, ["repo", "test_name"], "left_anti")

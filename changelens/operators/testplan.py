@@ -175,8 +175,9 @@ def generation_stats(
 ) -> DataFrame:
     """Generation counters: every function, class, high-impact change and module counts one.
 
-    The three inputs are stacked as rows of counters and summed once, so there
-    is one shuffle of pre-aggregated rows and no join.
+    The inputs are stacked as rows of counters and summed once, so there is one
+    shuffle of pre-aggregated rows and no join. Every change gives a row of zeros,
+    so a run without a modified file has its row, too.
     """
     modified = modified_files(changes)
     one = F.lit(1)
@@ -192,7 +193,8 @@ def generation_stats(
         return rows.select(*keys, *columns)
 
     stacked = (
-        counted(modified, files_processed=one)
+        counted(changes)
+        .unionByName(counted(modified, files_processed=one))
         .unionByName(
             counted(
                 symbol_rows,

@@ -13,6 +13,7 @@ from changelens.operators.dedup import SEPARATOR
 from changelens.plans.views import EXTENSIONS, HEADERS
 
 CONFIG = JobConfig()
+_FENCED = r"(?m)^[ \t]*```[^\n]*\n((?s:.*?))(?:\n?^[ \t]*```[ \t]*$|\n?\z)"
 NL = "chr(10)"
 TAB = "chr(9)"
 
@@ -134,6 +135,10 @@ def _is_test(path: str) -> str:
     return f"({base} like '%\\_test.go' escape '\\' or {base} like 'test\\_%' escape '\\' or {base} like '%.test.%')"
 
 
+def _generated_path() -> str:
+    return f"(case when doc_id % 7 = 3 then path else {_beside('path')} end)"
+
+
 def _by_language(language: str, table: dict[str, str], **values: str) -> str:
     if not table:
         return "''"
@@ -415,19 +420,22 @@ unit_files as (
     ),
     "generated_files": (
         ("code_files",),
-        f"generated_files as (select repo, path, {_GENERATED_BODY} as content from code_files where path like '%.py')",
+        f"""generated_files as (
+  select repo, path, content
+  from (select repo, {_generated_path()} as path, {_GENERATED_BODY} as content from code_files)
+  where {_is_test('path')})""",
     ),
     "generated_tests": (
         ("code_files",),
         f"""generated_tests as (
-  select repo, path, 'TestLoad_' || {_text('doc_id')} || suffix as name
-  from code_files, {_KINDS_SQL} where path like '%.py')""",
+  select repo, {_generated_path()} as path, 'TestLoad_' || {_text('doc_id')} || suffix as name
+  from code_files, {_KINDS_SQL})""",
     ),
     "existing_tests": (
         ("code_files",),
         f"""existing_tests as (
-  select repo, path, {_SUITE_BODY} || content as content
-  from code_files where path like '%.py' and doc_id % 5 <> 0)""",
+  select repo, {_generated_path()} as path, {_SUITE_BODY} || content as content
+  from code_files where doc_id % 5 <> 0)""",
     ),
     "existing_names": (
         ("existing_tests",),
@@ -533,13 +541,12 @@ json_percents as (
     from coverage_runs) where kind = 'pr')""",
     ),
     "report": (
-        ("with_baseline", "pr_files"),
+        ("with_baseline", "pr_files", "modified_symbols"),
         f"""line_totals as (
   select repo, pr_id, cast(sum(lines_changed) as bigint) as total from pr_files
   where status in ('M', 'A') group by repo, pr_id),
 symbol_totals as (
-  select repo, pr_id, count(*) as n from pr_files
-  where status = 'M' and lower({_ext('path')}) in ('.go', '.py', '.js', '.ts', '.java') group by repo, pr_id),
+  select repo, pr_id, count(*) as n from modified_symbols group by repo, pr_id),
 report as (
   select repo, pr_id, ts, coalesce(earlier, 0.0) as coverage_before, pct as coverage_after,
          pct - coalesce(earlier, 0.0) as coverage_delta,
@@ -601,7 +608,8 @@ select {keys}, files_processed,
        cast(coalesce(n_functions, 0) + coalesce(n_classes, 0) + coalesce(n_modules, 0) as bigint) as unit_tests_generated,
        cast(coalesce(n_functional, 0) as bigint) as functional_tests_generated,
        cast(coalesce(n_cases, 0) + coalesce(n_functional, 0) + coalesce(n_modules, 0) as bigint) as total_test_cases
-from (select {keys}, count(*) as files_processed from change_rows where status like 'M%' group by {keys})
+from (select {keys}, count(*) filter (where status like 'M%') as files_processed
+      from change_rows where substr(status, 1, 1) in ('M', 'A', 'D') group by {keys})
 left join (select {keys}, count(*) filter (where kind = 'function') as n_functions,
                   count(*) filter (where kind = 'class') as n_classes,
                   count(*) filter (where kind = 'class' and language = 'go') as n_functional,
@@ -683,10 +691,12 @@ union all
 select repo, pr_id, '', symbol, name, description, case_type, test_path, md5(code) from integration_cases"""
 
 _RUN_SUMMARY = f"""
-select repo, files_processed, unit_tests_generated, functional_tests_generated, total_test_cases,
+select repo, coalesce(files_processed, 0) as files_processed, coalesce(unit_tests_generated, 0) as unit_tests_generated,
+       coalesce(functional_tests_generated, 0) as functional_tests_generated,
+       coalesce(total_test_cases, 0) as total_test_cases,
        coalesce(files_integrated, 0) as files_integrated, coalesce(duplicates_skipped, 0) as duplicates_skipped,
        coalesce(tests_added, 0) as tests_added, pr_url
-from ({_stats('repo')}) left join ({_INTEGRATION}) using (repo)
+from ({_stats('repo')}) full join ({_INTEGRATION}) using (repo)
 left join (select repo, max_by(pr_url, (created_at, pr_id)) as pr_url from pull_requests group by repo) using (repo)"""
 
 
@@ -927,13 +937,13 @@ select repo, path, name from generated_tests g where not exists (
         "obsolete_tests": _sql(
             f"""
 select repo, test_name
-from (select repo, test_name, {_cap("symbol")} as symbol_key
-      from (select repo, test_name,
-                   coalesce(nullif(regexp_extract(test_name, '^(?:Test|test_)(.+?)(?:{endings})$', 1), ''),
-                            regexp_extract(test_name, '^(?:Test|test_)(.+)_[^_]*$', 1)) as symbol
-            from existing_names)) t
-where symbol_key <> '' and not exists (
-  select 1 from head_symbols h where h.repo = t.repo and {_cap('h.name')} = t.symbol_key)""",
+from (select *, regexp_extract(test_name, '^(?:Test|test_)(.+)$', 1) as whole,
+             regexp_extract(test_name, '^(?:Test|test_)(.+?)(?:{endings})$', 1) as stem,
+             regexp_extract(test_name, '^(?:Test|test_)(.+)_[^_]*$', 1) as owner from existing_names) t
+where whole <> ''
+  and not exists (select 1 from head_symbols h where h.repo = t.repo and {_cap('h.name')} = {_cap('whole')})
+  and not exists (select 1 from head_symbols h where h.repo = t.repo and {_cap('h.name')} = {_cap('stem')})
+  and not exists (select 1 from head_symbols h where h.repo = t.repo and {_cap('h.name')} = {_cap('owner')})""",
             "existing_names",
             "head_symbols",
         ),
@@ -999,14 +1009,15 @@ from report join (select repo, cast(60 + max(pr_id) % 30 as double) as threshold
             "pull_requests",
         ),
         "comment_body": _sql(
-            """
-select repo, pr_id, 'Unit tests: ' || cast(m as varchar) || chr(10) || 'Functional tests: ' || cast(a as varchar)
+            f"""
+select repo, pr_id, 'Unit tests: ' || cast(coalesce(unit_tests_generated, 0) as varchar)
+       || chr(10) || 'Functional tests: ' || cast(coalesce(functional_tests_generated, 0) as varchar)
        || chr(10) || printf('Coverage: %.2f%% to %.2f%% (%+.2f%%)', coverage_before, coverage_after, coverage_delta)
        as body
-from report join (select repo, pr_id, count(*) filter (where status = 'M') as m,
-                         count(*) filter (where status = 'A') as a from pr_files group by repo, pr_id)
-  using (repo, pr_id)""",
+from report left join ({_stats("repo, pr_id")}) using (repo, pr_id)""",
             "report",
+            "modified_symbols",
+            "modified_modules",
         ),
         "metrics_rollup": _sql(
             f"""
@@ -1047,12 +1058,12 @@ where lines_changed >= 5 and regexp_matches(path, {_lit(include)}) and not regex
         "response_text": _sql("select conv_id, turn, answer, first_answer from answer_texts", "answers"),
         "response_code": _sql(
             f"""
-select conv_id, turn, array_to_string(regexp_extract_all(answer, '(?s)```[^\\n]*\\n(.*?)\\n```', 1), {NL}) as code
+select conv_id, turn, array_to_string(regexp_extract_all(answer, {_lit(_FENCED)}, 1), {NL}) as code
 from answer_texts""",
             "answers",
         ),
         "fenced_documents": f"""
-select doc_id, md5(array_to_string(regexp_extract_all(r, '(?s)```[^\\n]*\\n(.*?)\\n```', 1), {NL})) as code_md5
+select doc_id, md5(array_to_string(regexp_extract_all(r, {_lit(_FENCED)}, 1), {NL})) as code_md5
 from (select doc_id, 'Here it is' || {NL} || '```text' || {NL} || text || {NL} || '```' || {NL} || 'Done' as r
       from documents)""".strip(),
         "response_tokens": _sql(

@@ -467,7 +467,7 @@ def obsolete_tests(v: Views) -> DataFrame:
 def run_summary(v: Views) -> DataFrame:
     keys = REPO
     changes = _changes(v)
-    found = sy.symbols(runs.modified_sources(changes, v.code_files(), CONFIG, keys))
+    found = runs.modified_symbols(changes, v.code_files(), CONFIG, keys)
     generation = tp.generation_stats(ch.routed(changes), found, CONFIG, keys)
     integration = dd.integration_stats(v.generated_files(), v.existing_tests())
     latest = v.pull_requests().groupBy("repo").agg(
@@ -551,9 +551,7 @@ def _report(v: Views) -> DataFrame:
     runs_ = cov.with_baseline(
         v.coverage_runs().select("run_id", "pr_id", "repo", "repo_key", "ts", "kind", "pct"), "repo_key"
     )
-    symbols_ = v.pr_files().where(
-        paths.is_analyzable(F.col("path")) & (F.col("status") == "M")
-    ).groupBy("repo", "pr_id").agg(F.count("*").alias("n_symbols"))
+    symbols_ = runs.symbol_counts(_analysis(v).symbols)
     return cov.coverage_report(runs_, ch.new_lines(v.pr_files()), symbols_, CONFIG)
 
 
@@ -601,12 +599,13 @@ def project_thresholds(v: Views) -> DataFrame:
 
 @query
 def comment_body(v: Views) -> DataFrame:
-    counts = ch.status_counts(v.pr_files()).select(
+    counts = _analysis(v).generation_stats().select(
         "repo", "pr_id",
-        F.col("files_modified").alias("unit_count"),
-        F.col("files_added").alias("functional_count"),
+        F.col("unit_tests_generated").alias("unit_count"),
+        F.col("functional_tests_generated").alias("functional_count"),
     )
-    return cov.comment_body(_report(v).join(counts, ["repo", "pr_id"])).select("repo", "pr_id", "body")
+    counted = _report(v).join(counts, ["repo", "pr_id"], "left").fillna(0, ["unit_count", "functional_count"])
+    return cov.comment_body(counted).select("repo", "pr_id", "body")
 
 
 @query

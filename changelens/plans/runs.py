@@ -16,10 +16,10 @@ from changelens.operators import testplan as tp
 def modified_sources(
     changes: DataFrame, files: DataFrame, config: JobConfig = JobConfig(), keys: tuple[str, ...] = ch.KEYS
 ) -> DataFrame:
-    """Source text of the files that are to be analyzed.
+    """Source text of the files that are to be analyzed, for prompts.
 
-    Status and extension are tested before the join, so the text of other
-    files is not shuffled on the change side; a missing file drops out.
+    The join shuffles the texts of all files of a supported language, unless the changes
+    are few enough to be broadcast. Where symbols are enough, use `modified_symbols`.
     """
     wanted = ch.analyzable_files(ch.modified_files(changes, config.include_added))
     return files.select(*keys, "path", "content").join(
@@ -27,6 +27,19 @@ def modified_sources(
     )
 
 
+def modified_symbols(
+    changes: DataFrame, files: DataFrame, config: JobConfig = JobConfig(), keys: tuple[str, ...] = ch.KEYS
+) -> DataFrame:
+    """Symbols of the files that are to be analyzed.
+
+    They are extracted where the text is read and joined as short rows, so no text is
+    shuffled; a file that did not change costs its extraction.
+    """
+    wanted = ch.analyzable_files(ch.modified_files(changes, config.include_added))
+    found = sy.symbols(ch.analyzable_files(files).select(*ch.KEYS, "path", "content"))
+    return found.join(wanted.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
+
+
 class ChangeAnalysis:
     """The tables of one analysis; all share (repo, pr_id) and are planned on first use."""
 
@@ -46,7 +59,7 @@ class ChangeAnalysis:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return sy.symbols(modified_sources(self._changes, self._files, self._config))
+        return modified_symbols(self._changes, self._files, self._config)
 
     @cached_property
     def semantic_changes(self) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.functions import fixed
+from changelens.functions import fixed, paths
 from changelens.functions.text import capitalize, fill, lookup
 
 # Extension by the identifier's remainder.
@@ -138,15 +138,19 @@ class Views:
         )
 
     def generated_tests(self) -> DataFrame:
-        """repo, path, name, kind, ord: one row per Python function and kind."""
+        """repo, path, name, kind, ord: one row per file and kind."""
         n = F.col("doc_id")
         kinds = F.array(*[F.lit(suffix) for _, suffix, _ in fixed.FUNCTION_KINDS])
-        python = self.code_files().where(F.endswith("path", F.lit(".py")))
         stem = F.concat(F.lit("Test"), capitalize(F.concat(F.lit("load_"), n.cast("string"))))
-        return python.select(
-            "repo", "path", stem.alias("stem"), F.posexplode(kinds).alias("ord", "kind")
+        return self.code_files().select(
+            "repo", self._test_path().alias("path"), stem.alias("stem"), F.posexplode(kinds).alias("ord", "kind")
         ).select("repo", "path", F.concat("stem", "kind").alias("name"), "kind", "ord")
 
+    @staticmethod
+    def _test_path() -> Column:
+        """Test path beside a source; some files keep a name that is no test's."""
+        return F.when(F.col("doc_id") % 7 == 3, F.col("path")).otherwise(paths.test_path_beside(F.col("path")))
+
     def generated_files(self) -> DataFrame:
         """repo, path, content: the generated tests of a path as one file."""
         ident = F.col("doc_id").cast("string")
@@ -158,8 +162,7 @@ class Views:
         ]
         return (
             self.code_files()
-            .where(F.endswith("path", F.lit(".py")))
-            .select("repo", "path", F.concat(F.lit("package main\n\n"), *blocks).alias("content"))
+            .select("repo", self._test_path().alias("path"), F.concat(F.lit("package main\n\n"), *blocks).alias("content"))
         )
 
     def existing_tests(self) -> DataFrame:
@@ -176,8 +179,8 @@ class Views:
         )
         return (
             self.code_files()
-            .where(F.endswith("path", F.lit(".py")) & (n % 5 != 0))
-            .select("repo", "path", body.alias("content"))
+            .where(n % 5 != 0)
+            .select("repo", self._test_path().alias("path"), body.alias("content"))
         )
 
     def coverage_runs(self) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+FENCED = r"(?m)^[ \t]*```[^\n]*\n((?s:.*?))(?:\n?^[ \t]*```[ \t]*$|\n?\z)"
+
 RESPONSE_SCHEMA = (
     "id STRING, type STRING, role STRING, model STRING, "
     "content ARRAY<STRUCT<type: STRING, text: STRING>>, "
@@ -28,6 +30,9 @@ def first_block(response: Column) -> Column:
 
 
 def fenced_code(answer: Column) -> Column:
-    """The fenced code of an answer without its fences, blocks joined by a newline."""
-    blocks = F.regexp_extract_all(answer, F.lit(r"(?s)```[^\n]*\n(.*?)\n```"), F.lit(1))
-    return F.array_join(blocks, "\n")
+    """The fenced code of an answer without its fences, blocks joined by a newline.
+
+    A fence begins a line, indented or not, and ends at the next line that is only a
+    fence; an answer that was cut off inside a block keeps what it has of it.
+    """
+    return F.array_join(F.regexp_extract_all(answer, F.lit(FENCED), F.lit(1)), "\n")

@@ -85,20 +85,32 @@ GENERATED = (
 
 
 def test_integration_actions(spark, rows):
-    generated = suite(spark, same=GENERATED, fresh=GENERATED, other=GENERATED)
-    existing = suite(spark, same="func TestAdd_More(t *testing.T) {\n}\n", other="nothing here", old="kept")
+    names = {n: f"{n}_test.go" for n in ("same", "fresh", "other", "old")}
+    generated = suite(spark, **{names[n]: GENERATED for n in ("same", "fresh", "other")}, **{"same.go": GENERATED})
+    existing = suite(
+        spark,
+        **{
+            names["same"]: "func TestAdd_More(t *testing.T) {\n}\n",
+            names["other"]: "nothing here",
+            names["old"]: "kept",
+            "same.go": "package main\n",
+        },
+    )
     found = {r.path: r for r in dd.integrate_files(generated, existing).collect()}
     assert {p: r.action for p, r in found.items()} == {
-        "same": "skipped", "fresh": "copied", "other": "merged", "old": "kept",
+        names["same"]: "skipped", names["fresh"]: "copied", names["other"]: "merged", names["old"]: "kept",
+        "same.go": "kept",
     }
-    assert found["fresh"].content == GENERATED
-    assert found["same"].content == "func TestAdd_More(t *testing.T) {\n}\n"
-    assert found["old"].content == "kept"
-    assert found["other"].content == "nothing here" + dd.SEPARATOR + (
+    assert found[names["fresh"]].content == GENERATED
+    assert found[names["same"]].content == "func TestAdd_More(t *testing.T) {\n}\n"
+    assert found[names["old"]].content == "kept"
+    assert found["same.go"].content == "package main\n"
+    assert found[names["other"]].content == "nothing here" + dd.SEPARATOR + (
         "func TestAdd(t *testing.T) {\n\tone()\n}\n\n\nfunc TestSub(t *testing.T) {\n\ttwo()\n}\n\n\n"
     )
     per_test = {r.path: r for r in dd.integrate_files(generated, existing, per_test=True).collect()}
-    assert "func TestSub" in per_test["same"].content and "one()" not in per_test["same"].content
+    same = per_test[names["same"]].content
+    assert "func TestSub" in same and "one()" not in same
     assert rows(dd.integration_stats(generated, existing)) == [("r", 2, 1, 4)]
 
 
@@ -128,15 +140,21 @@ def test_path_join_is_a_hash_or_merge_join(spark):
 
 
 def test_matched_paths(spark, rows):
-    found = dd.matched_paths(suite(spark, a="", b=""), suite(spark, b="", c=""))
-    assert rows(found, "path", "path_exists") == [("a", False), ("b", True)]
+    generated = suite(spark, **{"a_test.go": "", "test_b.py": "", "b.py": "", "x/c.test.js": ""})
+    found = dd.matched_paths(generated, suite(spark, **{"test_b.py": "", "b.py": "", "c.test.js": ""}))
+    assert rows(found, "path", "path_exists") == [("a_test.go", False), ("test_b.py", True), ("x/c.test.js", False)]
 
 
 def test_obsolete_tests(spark, rows):
     tests = spark.createDataFrame(
         [("r", n) for n in ("TestLoad_HappyPath", "TestGone_HappyPath", "test_load_edge", "TestPlain",
-                               "test_load_happy_path", "test_gone_edge_cases", "TestLoad_Run")],
+                               "test_load_happy_path", "test_gone_edge_cases", "TestLoad_Run", "test_load_user",
+                               "TestAdd", "TestParseURL", "Test", "test_save_file")],
         "repo STRING, test_name STRING",
     )
-    found = spark.createDataFrame([("r", "load")], "repo STRING, name STRING")
-    assert rows(dd.obsolete_tests(tests, found), "test_name") == [("TestGone_HappyPath",), ("test_gone_edge_cases",)]
+    found = spark.createDataFrame(
+        [("r", "load"), ("r", "save_file"), ("r", "add"), ("q", "gone")], "repo STRING, name STRING"
+    )
+    assert rows(dd.obsolete_tests(tests, found), "test_name") == [
+        ("TestGone_HappyPath",), ("TestParseURL",), ("TestPlain",), ("test_gone_edge_cases",)
+    ]

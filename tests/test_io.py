@@ -177,3 +177,16 @@ def test_globs(globs, path, hit):
     import re
 
     assert bool(re.search(text.glob_regex(globs), path)) is hit
+
+
+def test_fences_that_are_empty_indented_or_cut_off(spark):
+    answers = [
+        "a\n```go\nx := 1\n```\nb\n```\ny\n```\n",
+        "```\n```\nprose\n```go\ncode()\n```\n",
+        "list\n  ```py\n  f()\n  ```\n",
+        "cut\n```go\nfunc f() {\n\treturn",
+        "no code, only ``` inside a line",
+    ]
+    df = spark.createDataFrame(list(enumerate(answers)), "i INT, r STRING").orderBy("i")
+    found = [r[0] for r in df.select(fenced_code(F.col("r"))).collect()]
+    assert found == ["x := 1\ny", "\ncode()", "  f()", "func f() {\n\treturn", ""]
