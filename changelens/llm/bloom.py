@@ -9,21 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.stats import mixed
+
 SEGMENTS = 16
 _PROBES = 3
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose bits depend on all bits of the input."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     h = mixed(keys ^ np.uint64(0x9E3779B97F4A7C15))
     size = np.uint64(bits // SEGMENTS - 1)

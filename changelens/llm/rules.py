@@ -42,13 +42,13 @@ class Rules:
     min_words: int = 50
     max_repeated: int = 50
     buckets: int = 1 << 14
-    prior: float = 4.0
+    prior: float = 8.0
     threshold: float = -0.05
 
 
 def ngram_buckets(text: bytes, buckets: int) -> np.ndarray:
     """Buckets of the words and word pairs of a text."""
-    h = word_hashes(text.lower().split())
+    h = word_hashes(text.lower())
     pairs = mixed(h[:-1] * _FACTORS[0] + h[1:] * _FACTORS[1])
     return (np.concatenate([mixed(h), pairs]) & np.uint64(buckets - 1)).astype(np.int64)
 
@@ -75,7 +75,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules) -> np.ndarray:
     """Scaled integer log ratio of each bucket. Counts are summed by Spark; the driver
     gets two numbers per bucket."""
     known = trusted.select("doc_id").distinct()
-    target = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
+    # Labels grow with the corpus: the same join at every size, never a broadcast.
+    target = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id", "left_semi")
     both = _counted(docs, rules.buckets).withColumn("kind", F.lit(0)).union(
         _counted(target, rules.buckets).withColumn("kind", F.lit(1))
     )
@@ -92,11 +93,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules) -> np.ndarray:
 
 def judge(text: bytes, ratios: np.ndarray, rules: Rules) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept."""
-    words = text.split()
+    words = word_hashes(text)
     n = len(words)
     bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     chars = int(bytes_.sum() - bytes_[0x80:0xC0].sum())
-    repeated = covered_words(word_hashes(words))
+    repeated = covered_words(words)
     grams = ngram_buckets(text, rules.buckets)
     total = int(ratios[grams].sum())
     failed = n < rules.min_words or 100 * repeated > rules.max_repeated * n

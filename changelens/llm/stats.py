@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
@@ -53,24 +54,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _WordHashes(dict):
-    """Hashes of words, kept for the words seen last."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
+_RNG = np.random.default_rng(71)
+_BYTE_VALUES = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 _FACTORS = mixed(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers have inverses modulo 2^64
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(b" \t\n\x0b\f\r")] = True
+_SEGMENT = 1 << 18
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as texts have needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            steps = np.full(size, _BASE), np.full(size, _INVERSE)
+            for step in steps:
+                step[0] = 1
+            self.up, self.down = (np.cumprod(step, dtype=np.uint64) for step in steps)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def _segments(text: bytes) -> Iterator[np.ndarray]:
+    """The text in parts that end at white space, if it has any."""
+    data, at = np.frombuffer(text, np.uint8), 0
+    while len(data) - at > 2 * _SEGMENT:
+        spaces = np.flatnonzero(_IS_SPACE[data[at + _SEGMENT :]][: 64 * _SEGMENT])
+        cut = at + _SEGMENT + int(spaces[0]) if len(spaces) else len(data)
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and where it starts and ends, from running sums over the
+    bytes of the text: equal words have equal hashes wherever they are."""
+    found, begins, finishes, offset = [], [], [], 0
+    for data in _segments(text):
+        space = _IS_SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts = edge[~space[edge]]
+        ends = edge[space[edge]]
+        if len(data) and not space[0]:
+            starts = np.r_[0, starts]
+        if len(data) and not space[-1]:
+            ends = np.r_[ends, len(data)]
+        up, down = _powers.upto(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[data] * up, out=sums[1:])
+        found.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        begins.append(starts + offset)
+        finishes.append(ends + offset)
+        offset += len(data)
+    return np.concatenate(found), np.concatenate(begins), np.concatenate(finishes)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_at(text)[0]
 
 
 def covered_words(hashes: np.ndarray, width: int = 3) -> int:
