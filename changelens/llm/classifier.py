@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import pinned
+from changelens.llm.common import pinned, slices
 from changelens.llm.stats import repeated_lines, repeated_words, word_ids
 
 FEATURES = (
@@ -100,7 +100,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and features (array of doubles), from one reading of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"]
@@ -208,15 +208,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject; columns as in `docs`.
 
-    Learning reads the labelled texts, which the join with the labels picks out;
-    scoring reads all of them where they lie, so that no text is shuffled twice.
+    Texts are read twice, to learn and to score, and never shuffled: only the statistics
+    of labelled documents are joined with their labels.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
-    model = train(with_statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels)
+    model = train(with_statistics(docs), labels)
 
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        rows = np.stack([statistics(t) for t in text]) if len(text) else np.zeros((0, len(FEATURES)))
-        return pd.Series(model.scores(rows) >= 0.5)
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = np.stack([statistics(t) for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(model.scores(rows) >= 0.5))
 
-    return docs.where(accepted(docs["text"]))
+    return docs.mapInArrow(accepted, docs.schema)

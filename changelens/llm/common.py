@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from changelens.session import pinned, work_path
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-__all__ = ["SPACE", "WORD", "docs_of", "hash_fraction", "pinned", "table", "word_count", "work_path"]
+__all__ = ["SPACE", "WORD", "docs_of", "hash_fraction", "pinned", "slices", "table", "word_count", "work_path"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,3 +35,10 @@ def hash_fraction(seed: str, key: Column) -> Column:
 def docs_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns can't clash with derived ones."""
     return docs.select(*[docs[c] for c in columns])
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a task derives from a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
