@@ -38,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.bloom import mixed
+from changelens.llm.blocks import in_blocks, whole_groups
 from changelens.llm.common import pinned, slices
 from changelens.llm.components import components
+from changelens.llm.stats import mixed
 
 
 def _normal(x: float) -> float:
@@ -209,36 +210,14 @@ def _cells(nodes: DataFrame, finder: Finder) -> DataFrame:
     )
 
 
-def _in_blocks(cells: DataFrame, block: int) -> DataFrame:
-    """Adds grp and side; rows of cells over `block` are in one group per other block."""
-    big = cells.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
-    many = big.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(
-        F.sequence(F.lit(0), F.col("blocks") - 1)
-    )
-    joined = cells.join(many, "key", "left").withColumn("own", own).withColumn("other", F.explode(others))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    alone = F.col("blocks").isNull()
-    return joined.select(
-        F.when(alone, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("grp"),
-        F.when(alone | (F.col("own") == F.col("other")), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
-        "tab",
-        "node",
-        "weight",
-        "embedding",
-    )
-
-
 def linked_nodes(nodes: DataFrame, cosine: float, recall: float, block: int = 2048) -> DataFrame:
     """node, links (weight of the partners found in a group) and root (a node it is
     connected with); several rows per node."""
     finder = Finder(nodes.count(), cosine, recall)
-    groups = _in_blocks(_cells(nodes, finder), block).repartition("grp").sortWithinPartitions("grp")
+    groups = in_blocks(_cells(nodes, finder), "key", "node", block).repartition("grp").sortWithinPartitions("grp")
     names = ["node", "links", "root"]
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
         columns = {c: table.column(c).to_numpy() for c in ("grp", "side", "tab", "node", "weight")}
         vectors = table.column("embedding").combine_chunks()
         for at, values in _by_length(vectors):
@@ -253,18 +232,8 @@ def linked_nodes(nodes: DataFrame, cosine: float, recall: float, block: int = 20
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None  # rows of the last group seen, which may go on
-        for batch in slices(batches, 4096):
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            groups = table.column("grp").to_numpy()
-            cut = int(np.searchsorted(groups, groups[-1]))
-            rest = table.slice(cut)
-            if cut:
-                yield from compare(table.slice(0, cut))
-        if rest is not None:
-            yield from compare(rest)
+        for table in whole_groups(batches):
+            yield from compare(table)
 
     return groups.mapInArrow(run, "node long, links long, root long")
 

@@ -6,18 +6,26 @@ If two sets overlap enough to be similar, then for any level l their prefixes of
 n - t + l grams (t: least overlap) share l grams at least. Longer prefixes cost
 longer lists but need more matches, so every document picks the level with the
 least estimated candidate cost, and a pair must match as often as the lower of
-its two levels says before it is verified on the full sets.
+its two levels says before it is verified on the full sets. The rest of a set behind
+its prefix bounds what else can be shared, which asks for still more matches when the
+sizes are close.
 
 How it stays linear:
 
 * Equal sets are one class with one row (`key`); copies are never paired.
-* Which grams are frequent comes from counts over all texts, packed by task
-  before the shuffle; the frequent ones reach the tasks as a filter of fixed
-  size. A gram that the filter takes for frequent by mistake only changes the
-  order, never the result.
+* Which grams are frequent comes from counts over all texts, added up and packed
+  by task before the shuffle; the frequent ones reach the tasks as a filter of
+  fixed size. A gram taken for frequent by mistake only changes the order, never
+  the result.
+* Prefix grams are counted in the same packed way. If for some level a prefix has
+  fewer grams that may occur elsewhere than the level asks for, the document has
+  no partner and goes; only the others become rows of inverted lists.
 * Only components are wanted, so a pair whose ends are connected already needs
   no test. Star rounds first pair each class with one pivot of its lists; only
   lists that still hold several components are then paired, between components.
+* Lists that hold many components are not paired by a join: their classes are
+  compared block by block in tasks, on their prefixes, and only pairs that match
+  often enough come out.
 
 Defined results: words are runs of characters other than ASCII white space, with
 A-Z lower-cased; a text with fewer words than n is one gram of all its words; a
@@ -38,26 +46,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.bloom import Bloom, bloom_of, mixed
-from changelens.llm.common import pinned
+from changelens.llm.blocks import in_blocks, whole_groups
+from changelens.llm.bloom import Bloom, bloom_of
+from changelens.llm.common import pinned, slices
 from changelens.llm.components import components
+from changelens.llm.stats import mixed, word_hashes
 
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """width: words per gram; similarity: num / den; levels: most extra matches asked
-    for; frequent: a gram in at least so many tasks' classes comes last in the order;
+    """width: words per gram; similarity: num / den; levels: most matches asked for;
+    frequent: a gram that at least so many classes hold comes last in the order;
     verify_cost: cost of one verification in list entries; star_rounds: rounds that
-    pair with pivots before all remaining pairs are formed."""
+    pair with pivots before all remaining pairs are formed; filter_bits: size of the
+    filters that are sent to the tasks; wide: components of a list from which on it is
+    compared in blocks, of at most `block` classes each."""
 
     width: int = 5
     num: int = 80
     den: int = 100
-    levels: int = 6
+    levels: int = 16
     frequent: int = 32
     verify_cost: float = 40.0
     star_rounds: int = 2
     filter_bits: int = 1 << 25
+    wide: int = 64
+    block: int = 1024
 
 
 CONTRACT = JoinSettings(width=4, num=85, den=100)
@@ -65,28 +79,12 @@ CONTRACT = JoinSettings(width=4, num=85, den=100)
 _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    """Hashes of words, kept for the words seen last."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def gram_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    n = len(h)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
     if n < width:
         return mixed((h * _FACTORS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
     grams = h[: n - width + 1] * _FACTORS[0]
@@ -111,91 +109,169 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(offsets), _int64(values)).cast(pa.list_(pa.int64()))
 
 
-def frequent_grams(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """gram: those that `settings.frequent` classes or more hold, as counted over all
-    texts. A task counts a class once; what it sends is packed by hash range."""
-    width, least = settings.width, settings.frequent
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 1 << (8 * shuffles - 1).bit_length()
-    shift = np.uint64(64 - parts.bit_length() + 1)
+class _Counting:
+    """Counts of grams by range of their leading bits. A task adds up what it has seen
+    and sends, per range, 32 bits of each gram; two grams with equal leading bits are
+    counted as one, which filters can bear."""
+
+    FLUSH = 1_000_000
+
+    def __init__(self, docs: DataFrame) -> None:
+        shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.bits = (8 * shuffles - 1).bit_length()
+        self.shift = np.uint64(32 - self.bits)
 
-    def pack(pending: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(pending), return_counts=True)
-        cuts = np.searchsorted(grams >> shift, np.arange(parts + 1, dtype=np.uint64))
+    def coarse(self, grams: np.ndarray) -> np.ndarray:
+        return grams >> self.shift
+
+    def pack(self, pending: list[np.ndarray]) -> pa.RecordBatch:
+        grams, counts = np.unique(self.coarse(np.concatenate(pending)), return_counts=True)
+        low, many = grams.astype(np.uint32), counts > 1
+        cuts = np.searchsorted(grams >> np.uint64(32), np.arange((1 << self.bits) + 1, dtype=np.uint64))
         rows = []
-        for p in range(parts):
-            g, c = grams[cuts[p] : cuts[p + 1]], counts[cuts[p] : cuts[p + 1]]
-            if len(g):
-                many = c > 1
-                rows.append((p, g[~many].tobytes(), g[many].tobytes(), c[many].astype(np.uint32).tobytes()))
+        for p in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[p], cuts[p + 1])
+            g, m = low[part], many[part]
+            rows.append((p, g[~m].tobytes(), g[m].tobytes(), counts[part][m].astype(np.uint32).tobytes()))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
             ["part", "once", "many", "counts"],
         )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def packed(self, sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = gram_set(text, width)
-                key = _key(grams)
-                if not len(grams) or key in seen:
-                    continue
-                seen.add(key)
-                pending.append(grams)
-                size += len(grams)
-                if size >= 4_000_000:
-                    yield pack(pending)
-                    pending, size = [], 0
-        if pending:
-            yield pack(pending)
-
-    def merge(once: list[bytes], many: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-        grams = np.concatenate([np.frombuffer(x, np.uint64) for x in (*once, *many)])
+        for grams in sets:
+            pending.append(grams)
+            size += len(grams)
+            if size >= self.FLUSH:
+                yield self.pack(pending)
+                pending, size = [], 0
+        if size:
+            yield self.pack(pending)
+
+    def merge(self, part: int, once: list[bytes], many: list[bytes], counts: list[bytes], least: int) -> pa.RecordBatch:
+        grams = np.concatenate([np.frombuffer(x, np.uint32) for x in (*once, *many)])
         weights = np.ones(len(grams), np.int64)
-        weights[sum(map(len, once)) // 8 :] = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
+        weights[sum(map(len, once)) // 4 :] = np.concatenate([np.frombuffer(x, np.uint32) for x in counts])
         order = np.argsort(grams, kind="stable")
         grams, weights = grams[order], weights[order]
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        totals = np.add.reduceat(weights, starts)
-        return pa.RecordBatch.from_arrays([_int64(np.ascontiguousarray(grams[starts][totals >= least]))], ["gram"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, ([], [], [])
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if row[0] != part and held[0]:
-                    yield merge(*held)
-                    held = ([], [], [])
-                part = row[0]
-                for store, data in zip(held, row[1:], strict=True):
-                    store.append(data)
-        if held[0]:
-            yield merge(*held)
-
-    packed = docs.select("text").mapInArrow(count, "part int, once binary, many binary, counts binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(total, "gram long")
-
-
-def prefixes(docs: DataFrame, frequent: Bloom, settings: JoinSettings) -> DataFrame:
+        often = np.add.reduceat(weights, starts) >= least
+        return pa.RecordBatch.from_arrays([_int64(grams[starts][often].astype(np.uint64) + (np.uint64(part) << np.uint64(32)))], ["gram"])
+
+    def at_least(self, packed: DataFrame, least: int) -> DataFrame:
+        """gram (leading bits) of those counted `least` times or more."""
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, held = None, ([], [], [])
+            for batch in slices(batches):
+                for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if row[0] != part and held[0]:
+                        yield self.merge(part, *held, least)
+                        held = ([], [], [])
+                    part = row[0]
+                    for store, data in zip(held, row[1:], strict=True):
+                        store.append(data)
+            if held[0]:
+                yield self.merge(part, *held, least)
+
+        return packed.repartition("part").sortWithinPartitions("part").mapInArrow(total, "gram long")
+
+
+_PACKED = "part int, once binary, many binary, counts binary"
+
+
+def frequent_grams(docs: DataFrame, counting: _Counting, settings: JoinSettings) -> DataFrame:
+    """gram (leading bits) of those in `settings.frequent` texts or more. All texts count;
+    texts with equal sets count once per task."""
+    width = settings.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def sets() -> Iterator[np.ndarray]:
+            for batch in slices(batches):
+                for text in batch.column(0).to_pylist():
+                    grams = gram_set(text, width)
+                    key = _key(grams)
+                    if len(grams) and key not in seen:
+                        seen.add(key)
+                        yield grams
+
+        return counting.packed(sets())
+
+    return counting.at_least(docs.select("text").mapInArrow(run, _PACKED), settings.frequent)
+
+
+def _rows_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column of longs as arrays of uint64."""
+    values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return (values[i:j] for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True))
+
+
+def shared_grams(members: DataFrame, counting: _Counting) -> DataFrame:
+    """gram (leading bits) of those in several prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return counting.packed(x for batch in slices(batches) for x in _rows_of(batch.column(0)))
+
+    return counting.at_least(members.where("n > 0").select("prefix").mapInArrow(run, _PACKED), 2)
+
+
+def _least(n: int, settings: JoinSettings) -> int:
+    return -(-n * settings.num // settings.den)
+
+
+def possible_matches(members: DataFrame, shared: Bloom, counting: _Counting, settings: JoinSettings) -> DataFrame:
+    """key, n, grams and levels of documents that may have a partner: prefix grams that
+    others may hold, each with the first level at which the prefix includes it."""
+    sent = members.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, grams, levels = [], [], []
+            sizes = batch.column("n").to_pylist()
+            for i, prefix in enumerate(_rows_of(batch.column("prefix"))):
+                n = sizes[i]
+                least = _least(n, settings)
+                hit = sent.value.has(counting.coarse(prefix))
+                level = np.maximum(np.arange(len(prefix)) - (n - least), 1)
+                most = min(settings.levels, least)
+                have = np.cumsum(np.bincount(level[hit], minlength=most + 1)[: most + 1])[1:]
+                if (have >= np.arange(1, most + 1)).all():
+                    rows.append(i)
+                    grams.append(prefix[hit])
+                    levels.append(level[hit].astype(np.uint64))
+            picked = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [picked.column("key"), picked.column("n"), _lists(grams), _lists(levels)], ["key", "n", "grams", "levels"]
+            )
+
+    return (
+        members.where("n > 0")
+        .select("key", "n", "prefix")
+        .mapInArrow(run, "key long, n long, grams array<long>, levels array<long>")
+    )
+
+
+def prefixes(docs: DataFrame, frequent: Bloom, counting: _Counting, settings: JoinSettings) -> DataFrame:
     """doc_id, n (set size), key and prefix: the first n - t + levels grams in the order."""
-    width, levels, num, den = settings.width, settings.levels, settings.num, settings.den
+    width, levels = settings.width, settings.levels
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [gram_set(t, width) for t in batch.column("text").to_pylist()]
-            late = shared.value.has(np.concatenate(sets) if sets else np.empty(0, np.uint64))
+            late = shared.value.has(counting.coarse(np.concatenate(sets)))
             keys, kept, at = [], [], 0
             for grams in sets:
                 n = len(grams)
                 last = late[at : at + n]
                 at += n
-                least = -(-n * num // den)
-                kept.append(np.concatenate([grams[~last], grams[last]])[: n - least + levels])
+                kept.append(np.concatenate([grams[~last], grams[last]])[: n - _least(n, settings) + levels])
                 keys.append(_key(grams))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists(kept)],
@@ -207,34 +283,26 @@ def prefixes(docs: DataFrame, frequent: Bloom, settings: JoinSettings) -> DataFr
 
 
 def gram_sets(docs: DataFrame, wanted: Bloom, settings: JoinSettings) -> DataFrame:
-    """key and grams of the texts whose key the filter may hold; no text is shuffled."""
+    """key and grams of the documents whose hashed id the filter may hold; other texts
+    are not looked at and none is shuffled."""
     width = settings.width
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for batch in batches:
-            sets = [gram_set(t, width) for t in batch.column(0).to_pylist()]
-            keys = np.array([_key(s) for s in sets], np.int64)
-            hit = np.flatnonzero(shared.value.has(keys.view(np.uint64)))
-            new = [i for i in hit if not (int(keys[i]) in done or done.add(int(keys[i])))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[new]), _lists([sets[i] for i in new])], ["key", "grams"]
-            )
+        for batch in slices(batches):
+            hit = sent.value.has(batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64))
+            sets = [gram_set(t, width) for t in batch.column("text").filter(pa.array(hit)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], ["key", "grams"])
 
-    return docs.select("text").mapInArrow(run, "key long, grams array<long>")
+    return docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, "key long, grams array<long>")
 
 
 def postings(classes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """gram, key, n, level, df of prefix grams that several classes have: level is the
-    first at which the gram belongs to the prefix of the class."""
+    """gram, key, n, least (overlap), level, df of prefix grams that several classes have."""
     least = F.ceil(F.col("n") * settings.num / settings.den)
-    listed = classes.where("n > 0").select(
-        "key", "n", least.alias("least"), F.posexplode("prefix").alias("at", "gram")
-    )
-    listed = listed.select(
-        "gram", "key", "n", "least", F.greatest(F.lit(1), F.col("at") - F.col("n") + F.col("least") + 1).cast("int").alias("level")
-    )
+    listed = classes.select(
+        "key", "n", least.alias("least"), F.explode(F.arrays_zip("grams", "levels")).alias("p")
+    ).select("key", "n", "least", F.col("p.grams").alias("gram"), F.col("p.levels").cast("int").alias("level"))
     counts = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return listed.join(counts, "gram")
 
@@ -242,34 +310,48 @@ def postings(classes: DataFrame, settings: JoinSettings) -> DataFrame:
 def choose_levels(lists: DataFrame, settings: JoinSettings) -> DataFrame:
     """key and own level. With C the entries met in the lists of a prefix, at most
     C / l classes can match l times: the estimated cost is C * (1 + verify_cost / l).
-    Classes with fewer shared grams in their prefix than their level can't match."""
+    A class with fewer shared grams in any prefix than its level asks for has no partner."""
     levels = range(1, settings.levels + 1)
     met = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).alias(f"met{k}") for k in levels]
     have = [F.sum((F.col("level") <= k).cast("int")).alias(f"have{k}") for k in levels]
     sums = lists.groupBy("key").agg(F.first("least").alias("least"), *met, *have)
+    allowed = [(F.lit(k) == 1) | (F.lit(k) <= F.col("least")) for k in levels]
+    enough = [~ok | (F.col(f"have{k}") >= k) for k, ok in zip(levels, allowed, strict=True)]
     options = F.array(
         *[
-            F.when(
-                (F.lit(k) == 1) | (F.lit(k) <= F.col("least")),
-                F.struct(
-                    (F.col(f"met{k}") * (1 + settings.verify_cost / k)).alias("cost"),
-                    F.lit(k).alias("own"),
-                    F.col(f"have{k}").alias("have"),
-                ),
-            )
-            for k in levels
+            F.when(ok, F.struct((F.col(f"met{k}") * (1 + settings.verify_cost / k)).alias("cost"), F.lit(k).alias("own")))
+            for k, ok in zip(levels, allowed, strict=True)
         ]
     )
     best = F.array_min(F.filter(options, lambda o: o.isNotNull()))
-    return sums.select("key", best.alias("o")).where("o.have >= o.own").select("key", F.col("o.own").alias("own"))
+    for condition in enough:
+        sums = sums.where(condition)
+    return sums.select("key", best["own"].alias("own"))
 
 
 def _sizes_fit(a: Column, b: Column, settings: JoinSettings) -> Column:
     return F.least(a, b) * settings.den >= F.greatest(a, b) * settings.num
 
 
-def verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _matches_needed(na: Column, nb: Column, owna: Column, ownb: Column, settings: JoinSettings) -> Column:
+    """Least number of grams that similar sets share within their prefixes. The set whose
+    prefix ends first in the order shares at most what it has behind it besides."""
+
+    def behind(n: Column, own: Column) -> Column:
+        return F.ceil(n * settings.num / settings.den) - own
+
+    overlap = F.ceil((na + nb) * settings.num / (settings.num + settings.den))
+    return F.greatest(F.least(owna, ownb), overlap - F.greatest(behind(na, owna), behind(nb, ownb)))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. The sets come from the texts
+    of one document per class that a pair needs."""
+    pairs = pinned(pairs)
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    ids = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    wanted = bloom_of(ids.select(F.xxhash64("doc_id").alias("id")), settings.filter_bits)
+    sets = pinned(gram_sets(docs, wanted, settings))  # a set may come twice, which does no harm
     left = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
@@ -287,38 +369,105 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataF
 def _pivot_pairs(lists: DataFrame, seed: int, settings: JoinSettings) -> DataFrame:
     """Per class the pivot it shares most grams with; a pivot is one class of a list."""
     rank = F.xxhash64(F.col("key"), F.lit(seed)) if seed else F.col("key")
-    pivots = lists.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "component")).alias("p"))
+    pivots = lists.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "own", "component")).alias("p"))
     met = lists.join(pivots, "gram").where(
         (F.col("component") != F.col("p.component")) & _sizes_fit(F.col("n"), F.col("p.n"), settings)
     )
-    counted = met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"))
+    need = _matches_needed(F.col("n"), F.col("p.n"), F.col("own"), F.col("p.own"), settings)
+    counted = met.groupBy("key", F.col("p.key").alias("pivot")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first(need).alias("need")
+    )
+    counted = counted.where("shared >= need")
     return counted.groupBy("key").agg(F.max(F.struct("shared", "pivot")).alias("m")).select(
         F.col("key").alias("a"), F.col("m.pivot").alias("b")
     )
 
 
 def _rest_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """All pairs between different components that match often enough. Components
-    are paired per gram first, so lists within one component cost nothing."""
+    """All pairs between different components that may be similar. A pair that matches
+    in some narrow list comes from the join, any other from the blocks."""
     held = lists.select("gram", "component").distinct()
-    several = held.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    held = held.join(several, "gram", "left_semi")
-    apart = held.select("gram", F.col("component").alias("ca")).join(
-        held.select("gram", F.col("component").alias("cb")), "gram"
-    ).where("ca < cb")
+    spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rows = pinned(lists.join(spread, "gram"))
+    wide = rows.where(F.col("held") > settings.wide)
+    in_wide = wide.groupBy("key").agg(F.count(F.lit(1)).alias("in_wide"))
+    narrow = rows.where(F.col("held") <= settings.wide).join(in_wide, "key", "left").fillna(0, ["in_wide"])
+    return _narrow_pairs(narrow, settings).union(_wide_pairs(wide, lists, settings)).distinct()
+
+
+def _narrow_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Pairs by a join, between components of a list; lists of one component cost nothing.
+    Matches in wide lists are not seen here, so as many as there may be are conceded."""
+    held = lists.select("gram", "component").distinct()
+    apart = (
+        held.select("gram", F.col("component").alias("ca"))
+        .join(held.select("gram", F.col("component").alias("cb")), "gram")
+        .where("ca < cb")
+    )
 
     def side(s: str) -> DataFrame:
-        names = {"key": s, "n": f"n{s}", "level": f"level{s}", "own": f"own{s}", "component": f"c{s}"}
+        names = {"key": s, "n": f"n{s}", "level": f"level{s}", "own": f"own{s}", "component": f"c{s}", "in_wide": f"wide{s}"}
         return lists.select("gram", *[F.col(k).alias(v) for k, v in names.items()])
 
-    need = F.least("owna", "ownb")
+    low = F.least("owna", "ownb")
     met = (
         apart.join(side("a"), ["gram", "ca"])
         .join(side("b"), ["gram", "cb"])
-        .where(_sizes_fit(F.col("na"), F.col("nb"), settings) & (F.greatest("levela", "levelb") <= need))
+        .where(_sizes_fit(F.col("na"), F.col("nb"), settings))
     )
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(need).alias("need"))
-    return counted.where("shared >= need").select("a", "b")
+    need = _matches_needed(*map(F.col, ("na", "nb", "owna", "ownb")), settings)
+    counted = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.sum((F.greatest("levela", "levelb") <= low).cast("int")).alias("shared_low"),
+        F.first(need).alias("need"),
+        F.first(low).alias("low"),
+        F.first(F.least("widea", "wideb")).alias("unseen"),
+    )
+    return counted.where("shared + unseen >= need and shared_low + unseen >= low").select("a", "b")
+
+
+def _close_pairs(grams: list[np.ndarray], n: np.ndarray, own: np.ndarray, settings: JoinSettings) -> np.ndarray:
+    """For each two of the classes, whether their prefixes match often enough."""
+    values, column = np.unique(np.concatenate(grams), return_inverse=True)
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared = np.zeros((len(grams), len(grams)), np.float32)
+    for at in range(0, len(values), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(grams), min(4096, len(values) - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        shared += part @ part.T
+    behind = -(-n * settings.num // settings.den) - own
+    overlap = -(-(n[:, None] + n) * settings.num // (settings.num + settings.den))
+    need = np.maximum(np.minimum(own[:, None], own), overlap - np.maximum(behind[:, None], behind))
+    fit = np.minimum(n[:, None], n) * settings.den >= np.maximum(n[:, None], n) * settings.num
+    return fit & (shared >= need)
+
+
+def _wide_pairs(wide: DataFrame, lists: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Pairs of classes of different components that share a gram of level 1 in a wide list.
+    Similar sets share one at that level, so others need not be looked at."""
+    first = wide.where("level = 1").select("gram", "key", "n", "own", "component")
+    keys = first.select("key").distinct()
+    grams = lists.join(keys, "key", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams"))
+    dealt = in_blocks(first, "gram", "key", settings.block).join(grams, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 512):
+            columns = {c: table.column(c).to_numpy() for c in ("grp", "side", "key", "n", "own", "component")}
+            sets = list(_rows_of(table.column("grams").combine_chunks()))
+            cuts = np.flatnonzero(np.r_[True, columns["grp"][1:] != columns["grp"][:-1], True])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                _, side, key, n, own, component = (c[i:j] for c in columns.values())
+                close = _close_pairs(sets[i:j], n, own.astype(np.int64), settings)
+                close &= (component[:, None] != component) & ((side[:, None] == 2) | (side[:, None] < side))
+                a, b = np.nonzero(close & ((key[:, None] < key) | (side[:, None] != 2)))
+                pairs = np.sort(np.stack([key[a], key[b]]), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    ordered = dealt.select("grp", "side", "key", "n", "own", "component", "grams")
+    return ordered.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
 def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -331,21 +480,22 @@ def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
 def similar_classes(docs: DataFrame, settings: JoinSettings = CONTRACT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, key) and links (a, b) between keys whose components are
     those of all similar pairs of different sets."""
-    frequent = bloom_of(frequent_grams(docs, settings), settings.filter_bits)
-    members = pinned(prefixes(docs, frequent, settings))
-    classes = members.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    counting = _Counting(docs)
+    frequent = bloom_of(frequent_grams(docs, counting, settings), settings.filter_bits)
+    members = pinned(prefixes(docs, frequent, counting, settings))
+    shared = bloom_of(shared_grams(members, counting), settings.filter_bits)
+    classes = possible_matches(members, shared, counting, settings).dropDuplicates(["key"])
     lists = pinned(postings(classes, settings))
     own = choose_levels(lists, settings)
     lists = pinned(
         lists.join(own, "key").where("level <= own").select("gram", "key", "n", "level", "own")
     )
-    sets = pinned(gram_sets(docs, bloom_of(lists.select("key").distinct(), settings.filter_bits), settings).dropDuplicates(["key"]))
     links = None
     for seed in range(settings.star_rounds):
-        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), sets, settings)
+        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), docs, members, settings)
         links = pinned(found if links is None else links.union(found))
     labelled = pinned(_labelled(lists, links)) if links is not None else _labelled(lists, links)
-    found = verified(_rest_pairs(labelled, settings), sets, settings)
+    found = verified(_rest_pairs(labelled, settings), docs, members, settings)
     links = pinned(found if links is None else links.union(found))
     return members.select("doc_id", "n", "key"), links
 
