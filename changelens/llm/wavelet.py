@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.llm.common import slices
+from changelens.llm.stats import word_hashes, words_at
 from changelens.llm.storage import committed, opened
 
 MAGIC = b"WAVELET1"
 _BLOCK = 4096  # bits between two entries of the rank directory
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 1_500_000
 _NO_ID = -(1 << 63)
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WaveletMatrix:
@@ -166,13 +166,63 @@ def read_shard(stream) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     )
 
 
+class _Store:
+    """Ids of words by the hash of the word: sorted runs, merged now and then."""
+
+    RUNS = 6
+
+    def __init__(self, dtype: type) -> None:
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hash, start, length
+        self.ids = np.empty(1 << 16, self.dtype)
+        self.used = self.words = 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each word's ids; start -1 if the word is not here."""
+        start, length = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        open_ = np.arange(len(hashes))
+        for keys, starts, lengths in self.runs:
+            at = np.searchsorted(keys, hashes[open_])
+            at[at == len(keys)] = 0
+            hit = keys[at] == hashes[open_]
+            start[open_[hit]], length[open_[hit]] = starts[at[hit]], lengths[at[hit]]
+            open_ = open_[~hit]
+        return start, length
+
+    def add(self, hashes: np.ndarray, packed: list[bytes]) -> None:
+        """Distinct words that are not here, with their packed ids."""
+        if not packed:
+            return
+        new = np.frombuffer(b"".join(packed), self.dtype)
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype().itemsize
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(new), self.dtype)])
+        self.ids[self.used : self.used + len(new)] = new
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(new)
+        self.words += len(packed)
+        self.runs.append((hashes, starts, lengths))
+        if len(self.runs) > self.RUNS:
+            merged = [np.concatenate(column) for column in zip(*self.runs, strict=True)]
+            order = np.argsort(merged[0])
+            self.runs = [tuple(column[order] for column in merged)]
+        else:
+            order = np.argsort(hashes)
+            self.runs[-1] = (hashes[order], starts[order], lengths[order])
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that works on words.
 
     If the file says that white space is dropped before the merges and nothing is added
-    around words, white-space separated words can be encoded alone; else whole texts go
-    to the library. Distinct new words of letters go there in one string, whose ids are
-    cut where a token ends a word; the ids of words seen last are kept per Python worker.
+    around words, white-space separated words can be encoded alone; other tokenizers are
+    refused. Distinct new words go to the library: those of letters lower-cased if the
+    file lower-cases, without a closing stop or comma, and all in one string, whose ids
+    are cut where a token ends a word. The ids of words are kept per Python worker, by a
+    64-bit hash of the word.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -185,14 +235,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         kinds = json.loads(self.tokenizer.to_str())
         splits = (kinds.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in splits)
+        if not any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in splits):
+            raise ValueError("the tokenizer must drop white space and leave words alone")
+        self.folds = any(n["type"] == "Lowercase" for n in (kinds.get("normalizer") or {}).get("normalizers", []))
         suffix = kinds["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.bits = max(1, int(max(vocabulary.values())).bit_length())
         self.dtype = np.uint16 if self.bits <= 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.store = _Store(self.dtype)
+        self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -213,33 +266,68 @@ class WordEncoder:
         data, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        letters = {w for w in new if w.isalpha()}
-        closed = {w for w in new.difference(letters) if w[-1] in ".," and w[:-1].isalpha()}
-        others = list(new - letters - closed)
-        plain = list(letters.union(w[:-1] for w in closed))
-        ids: dict[str, bytes] = {}
-        for at in range(0, len(plain), self._CHUNK):
-            some = plain[at : at + self._CHUNK]
-            ids.update(zip(some, self._letters(some), strict=True))
-        self.known.update((w, ids[w]) for w in letters)
-        if closed:
-            marks = dict(zip(".,", self._library([".", ","]), strict=True))
-            self.known.update((w, ids[w[:-1]] + marks[w[-1]]) for w in closed)
-        self.known.update(zip(others, self._library(others), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        # str.split also cuts at the four separators below 32, which are no white space here.
-        words = [t.split() if self.by_word and not any(c in t for c in _SEPARATORS) else None for t in texts]
-        distinct = set().union(*(ws for ws in words if ws))
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > _KEPT_WORDS:
-            self.known.clear()
-            new = distinct
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+    def _stems(self, stems: set[str]) -> dict[str, bytes]:
+        """Packed ids of words of letters, from the store or else the library."""
+        ordered = list(stems)
+        hashes = word_hashes("\n".join(ordered).encode())
+        start, length = self.store.find(hashes)
+        new = np.flatnonzero(start < 0)
+        packed: list[bytes] = []
+        for at in range(0, len(new), self._CHUNK):
+            packed += self._letters([ordered[i] for i in new[at : at + self._CHUNK]])
+        self.store.add(hashes[new], packed)
+        found = {ordered[i]: p for i, p in zip(new.tolist(), packed, strict=True)}
+        for i in np.flatnonzero(start >= 0).tolist():
+            found[ordered[i]] = self.store.ids[start[i] : start[i] + length[i]].tobytes()
+        return found
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add distinct new words to the store."""
+        stem_of: list[str | None] = []
+        for w in words:
+            stem = w if w.isalpha() else w[:-1] if w[-1] in ".," and w[:-1].isalpha() else None
+            if stem is not None and self.folds:
+                if "\u0130" in stem:  # becomes a letter and a mark, which joins what follows
+                    stem = None
+                elif "\u03a3" not in stem:  # here the place in the word decides in Python
+                    stem = stem.lower()
+            stem_of.append(stem)
+        ids = self._stems({s for s in stem_of if s is not None}) if any(stem_of) else {}
+        others = iter(self._library([w for w, s in zip(words, stem_of, strict=True) if s is None]))
+        marks = self.marks
+        packed = [
+            next(others) if s is None else ids[s] if w.isalpha() else ids[s] + marks[w[-1]]
+            for w, s in zip(words, stem_of, strict=True)
+        ]
+        unknown = self.store.find(hashes)[0] < 0  # a word that is its own stem is there by now
+        self.store.add(hashes[unknown], [p for p, u in zip(packed, unknown.tolist(), strict=True) if u])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        data = [t.encode("utf-8", "replace") for t in texts]
+        parts = [words_at(d) for d in data]
+        hashes = np.concatenate([p[0] for p in parts])
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.store.words > _KEPT_WORDS:
+            self.store.clear()
+        start, length = self.store.find(distinct)
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            ends = np.cumsum([len(p[0]) for p in parts])
+            text_of = np.searchsorted(ends, first[new], "right")
+            words = []
+            for i, t in zip(first[new].tolist(), text_of.tolist(), strict=True):
+                k = i - (int(ends[t - 1]) if t else 0)
+                words.append(data[t][parts[t][1][k] : parts[t][2][k]].decode())
+            self._learn(distinct[new], words)
+            start, length = self.store.find(distinct)
+        lengths = length[inverse]
+        before = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        ids = self.store.ids[np.repeat(start[inverse] - before, lengths) + np.arange(total)]
+        bounds = np.r_[0, np.cumsum(lengths)]
+        cuts = bounds[np.r_[0, np.cumsum([len(p[0]) for p in parts])]]
+        return ids, np.diff(cuts)
 
 
 INDEX = "shard long, part long, file string, documents long, tokens long, bytes long"
@@ -253,31 +341,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         shard, part = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
-        documents: list[int] = []
-        pieces: list[bytes] = []
-        held = 0
+        documents: list[np.ndarray] = []
+        pieces: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             name = f"part-{shard:05d}-{part:05d}.wavelet"
-            sizes = np.array([len(p) for p in pieces], np.int64) // encoder.dtype().itemsize
-            ids = np.frombuffer(b"".join(pieces), encoder.dtype)
+            ids = np.concatenate(pieces)
             with committed(folder, name) as stream:
-                write_shard(stream, np.array(documents, np.int64), np.r_[0, np.cumsum(sizes)], ids, encoder.bits)
+                write_shard(stream, np.concatenate(documents), np.r_[0, np.cumsum(np.concatenate(sizes))], ids, encoder.bits)
                 size = stream.tell()
-            row = [shard, part, name, len(documents), len(ids), size]
+            row = [shard, part, name, sum(map(len, documents)), len(ids), size]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], INDEX.replace(",", "").split()[::2])
 
-        for batch in slices(batches, 1024):
-            keys = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for key, ids in zip(keys, encoder.encode(texts), strict=True):
-                documents.append(_NO_ID if key is None else key)
-                pieces.append(ids + end)
-                held += len(ids) // encoder.dtype().itemsize + 1
-                if held >= shard_tokens:
-                    yield flush()
-                    documents, pieces, held, part = [], [], 0, part + 1
+        for batch in slices(batches, 512):
+            keys = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            ids, counts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            documents.append(keys.copy())
+            pieces.append(np.insert(ids, np.cumsum(counts), end_id))
+            sizes.append(counts + 1)
+            if sum(map(len, pieces)) >= shard_tokens:
+                yield flush()
+                documents, pieces, sizes, part = [], [], [], part + 1
         if documents:
             yield flush()
 
