@@ -51,7 +51,7 @@ def near_copies(seed, groups=12):
     return rows
 
 
-@pytest.mark.parametrize("settings", [nj.CONTRACT, nj.JoinSettings(), nj.JoinSettings(frequent=3, levels=3, star_rounds=0)])
+@pytest.mark.parametrize("settings", [nj.CONTRACT, nj.JoinSettings(), nj.JoinSettings(frequent=3, levels=3, star_rounds=0), nj.JoinSettings(star_rounds=0, wide=1, block=8)])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(documents, settings, seed):
     rows = near_copies(seed)
