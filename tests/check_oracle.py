@@ -34,7 +34,10 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def sorted_frame(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows and columns in order; integers with nulls in one type, whichever engine made them."""
     frame = frame[sorted(frame.columns)]
+    nullable = {c: "float64" for c in frame.columns if str(frame[c].dtype) == "Int64"}
+    frame = frame.astype(nullable)
     return frame.sort_values(list(frame.columns), ignore_index=True)
 
 
