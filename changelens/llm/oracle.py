@@ -27,6 +27,52 @@ SELECT doc_id, size, source_size, target,
 FROM taken
 """
 
+# A word's unsigned CRC-32: a table of 256 entries, then one step per byte.
+_CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(CAST(i AS BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda a, b: xor(a >> 1, (a & 1) * 3988292384))) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text in a query that joins `tab`."""
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)])))"""
+
+
+def _words(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"coalesce(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+OP11_IMPORTANCE_RESAMPLING = f"""
+WITH {_CRC_TABLE},
+rows AS (SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
+held AS (SELECT row, unnest(words) AS w FROM rows),
+wanted AS (SELECT unnest({_words("text")}) AS w FROM benchmark),
+known AS (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM held UNION SELECT w FROM wanted), tab),
+raw AS (SELECT bucket, count(*) AS s FROM held JOIN known USING (w) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN known USING (w) GROUP BY bucket),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln(
+      CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM held) + 10000) AS DOUBLE)
+      / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM wanted) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN raw ON raw.bucket = b.bucket LEFT JOIN target ON target.bucket = b.bucket),
+weights AS (
+  SELECT row, CAST(sum(gain) AS BIGINT) AS weight FROM held JOIN known USING (w) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM rows LEFT JOIN weights USING (row)),
+ranks AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranks USING (row)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op9_mixing": OP9_MIXING}
+    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING}

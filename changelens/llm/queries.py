@@ -13,6 +13,7 @@ from changelens.llm.embeddings import near_duplicate_vectors
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
 from changelens.llm.pii import span_report
+from changelens.llm.resampling import Resampling, resampled
 from changelens.llm.rules import judged
 from changelens.llm.sentencepiece import encoded_digest
 from changelens.llm.urls import Rule, judged_urls
@@ -81,6 +82,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged_urls(table(spark, folder, "pages"), URL_RULES).drop("score")
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    settings = Resampling(width=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+    return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"), settings)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -93,4 +99,5 @@ def queries() -> dict[str, Query]:
         "op8_wavelet_tokens": op8_wavelet_tokens,
         "op9_mixing": op9_mixing,
         "op10_url_filters": op10_url_filters,
+        "op11_importance_resampling": op11_importance_resampling,
     }
