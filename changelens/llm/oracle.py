@@ -74,5 +74,39 @@ FROM scored LEFT JOIN ranks USING (row)
 """
 
 
+OP13_CONVERSATION_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY place) AS turns FROM turns GROUP BY conv_id),
+sized AS (SELECT own.*, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, tab),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns[:s.h], []), s.turns[s.h + 1:]) AS turns
+  FROM sized s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 5),
+members AS (
+  SELECT conv_id, len(turns) AS n_turns, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT depth, turns[:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n_turns = depth), '')) AS ends_sha256
+  FROM members GROUP BY ALL),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * strlen(n.path[n.depth].t) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c USING (conv_id, depth)),
+up AS (
+  SELECT conv_id, depth, parent_conv_id, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, saved FROM counted
+  UNION ALL
+  SELECT p.conv_id, p.depth, p.parent_conv_id, u.leaf, u.saved FROM up u JOIN linked p ON p.conv_id = u.parent_conv_id AND p.depth = u.depth - 1),
+sums AS (SELECT conv_id, depth, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted JOIN sums USING (conv_id, depth)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING}
+    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING, "op13_conversation_trie": OP13_CONVERSATION_TRIE}
