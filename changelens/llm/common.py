@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from changelens.session import pinned, work_path
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-__all__ = ["SPACE", "WORD", "docs_of", "hash_fraction", "pinned", "slices", "table", "word_count", "work_path"]
+__all__ = ["SPACE", "WORD", "docs_of", "hash_fraction", "let", "pinned", "slices", "table", "word_count", "work_path"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def docs_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[c] for c in columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what a task derives from a batch stays small."""
     for batch in batches:

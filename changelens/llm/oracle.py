@@ -74,6 +74,27 @@ FROM scored LEFT JOIN ranks USING (row)
 """
 
 
+OP12_DECONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
+items AS (SELECT item_id, {_words("text")} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(words[s:s + 9], ' ') AS passage, least(len(words), 10) AS n
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+runs AS (
+  SELECT row, s, n, array_to_string(words[s:s + n - 1], ' ') AS passage
+  FROM (SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM docs, sizes)),
+hits AS (SELECT r.row, r.s, r.n, w.item_id FROM runs r JOIN windows w USING (passage, n)),
+listed AS (
+  SELECT row, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY row),
+covered AS (
+  SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(s, s + n)) AS place FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN listed USING (row)
+"""
+
+
 OP13_CONVERSATION_TRIE = f"""
 WITH RECURSIVE {_CRC_TABLE},
 turns AS (
@@ -109,4 +130,4 @@ FROM counted JOIN sums USING (conv_id, depth)
 
 
 def statements() -> dict[str, str]:
-    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING, "op13_conversation_trie": OP13_CONVERSATION_TRIE}
+    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING, "op12_decontamination": OP12_DECONTAMINATION, "op13_conversation_trie": OP13_CONVERSATION_TRIE}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from changelens.llm.classifier import score_documents
 from changelens.llm.common import table, work_path
 from changelens.llm.conversations import shared_prefix_trie
+from changelens.llm.decontamination import Windows, contamination
 from changelens.llm.embeddings import near_duplicate_vectors
 from changelens.llm.mixing import mixture
 from changelens.llm.ngram_join import CONTRACT, near_duplicates
@@ -88,6 +89,10 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"), settings)
 
 
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), Windows(width=10))
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return shared_prefix_trie(table(spark, folder, "conversations"), limit=9, step=5)
 
@@ -105,5 +110,6 @@ def queries() -> dict[str, Query]:
         "op9_mixing": op9_mixing,
         "op10_url_filters": op10_url_filters,
         "op11_importance_resampling": op11_importance_resampling,
+        "op12_decontamination": op12_decontamination,
         "op13_conversation_trie": op13_conversation_trie,
     }
