@@ -45,10 +45,10 @@ def test_stages_one_by_one(spark):
 
 def test_run_and_registered_queries(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
-@pytest.mark.parametrize("name", list(queries.queries()))
+@pytest.mark.parametrize("name", [name for name in queries.queries() if not name.startswith("op13")])
 def test_every_query_gives_a_row_per_input_row(spark, name):
     table = {"op2": "embeddings", "op4": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
     assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
