@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from changelens.llm.blocks import in_blocks, whole_groups
 from changelens.llm.common import pinned, slices
-from changelens.llm.components import components
+from changelens.llm.components import components, local_roots
 from changelens.llm.stats import mixed
 
 
@@ -162,20 +162,6 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, values.reshape(len(at), dim)
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row number that each of n rows is connected with by edges a - b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def with_node(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding and node: a hash of the vector, null if it can't link."""
     numbers = F.transform("embedding", lambda x: x.cast("double"))
@@ -225,7 +211,7 @@ def linked_nodes(nodes: DataFrame, cosine: float, recall: float, block: int = 20
             a, b = finder.links(grp, side, tab, _unit(values))
             if len(a):
                 links = np.bincount(a, weight[b], len(at)) + np.bincount(b, weight[a], len(at))
-                root = node[_local_roots(len(at), a, b)]
+                root = node[local_roots(len(at), a, b)]
                 rows = np.unique(np.concatenate([a, b]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[rows]), pa.array(links[rows].astype(np.int64)), pa.array(root[rows])], names

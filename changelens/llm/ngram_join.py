@@ -21,11 +21,15 @@ How it stays linear:
   fewer grams that may occur elsewhere than the level asks for, the document has
   no partner and goes; only the others become rows of inverted lists.
 * Only components are wanted, so a pair whose ends are connected already needs
-  no test. Star rounds first pair each class with one pivot of its lists; only
-  lists that still hold several components are then paired, between components.
-* Lists that hold many components are not paired by a join: their classes are
-  compared block by block in tasks, on their prefixes, and only pairs that match
-  often enough come out.
+  no test. Star rounds first pair each class with one pivot of its lists. Of the lists
+  that still hold several components, short ones are paired by a join, and one link per
+  two components is kept.
+* Long lists are never paired by a join. Classes that such lists connect form a cluster,
+  which is compared block by block in tasks, on the full sets; a task gives a spanning
+  forest of what it finds, so links stay linear in the classes however many pairs are
+  similar.
+* Texts are read three times: for the counts, for the prefixes, and for the full sets of
+  the classes that may have a partner. The filters are sized by what they hold.
 
 Defined results: words are runs of characters other than ASCII white space, with
 A-Z lower-cased; a text with fewer words than n is one gram of all its words; a
@@ -49,7 +53,7 @@ from pyspark.sql import functions as F
 from changelens.llm.blocks import in_blocks, whole_groups
 from changelens.llm.bloom import Bloom, bloom_of
 from changelens.llm.common import pinned, slices
-from changelens.llm.components import components
+from changelens.llm.components import components, local_roots
 from changelens.llm.stats import mixed, word_hashes
 
 
@@ -58,9 +62,10 @@ class JoinSettings:
     """width: words per gram; similarity: num / den; levels: most matches asked for;
     frequent: a gram that at least so many classes hold comes last in the order;
     verify_cost: cost of one verification in list entries; star_rounds: rounds that
-    pair with pivots before all remaining pairs are formed; filter_bits: size of the
-    filters that are sent to the tasks; wide: components of a list from which on it is
-    compared in blocks, of at most `block` classes each."""
+    pair with pivots before all remaining pairs are formed; most_bits: largest size of a
+    filter that is sent to the tasks (a fuller one lets more pass, which costs time only);
+    wide: longest list that is paired by a join; longer ones are compared in blocks of at
+    most `block` classes."""
 
     width: int = 5
     num: int = 80
@@ -69,9 +74,9 @@ class JoinSettings:
     frequent: int = 32
     verify_cost: float = 40.0
     star_rounds: int = 2
-    filter_bits: int = 1 << 25
-    wide: int = 64
-    block: int = 1024
+    most_bits: int = 1 << 30
+    wide: int = 32
+    block: int = 512
 
 
 CONTRACT = JoinSettings(width=4, num=85, den=100)
@@ -183,6 +188,12 @@ class _Counting:
 _PACKED = "part int, once binary, many binary, counts binary"
 
 
+def _filter(keys: DataFrame, settings: JoinSettings) -> Bloom:
+    """A filter of the keys with 16 bits for each, within `most_bits`."""
+    keys = pinned(keys)
+    return bloom_of(keys, min(1 << max(16, (16 * keys.count()).bit_length()), settings.most_bits))
+
+
 def frequent_grams(docs: DataFrame, counting: _Counting, settings: JoinSettings) -> DataFrame:
     """gram (leading bits) of those in `settings.frequent` texts or more. All texts count;
     texts with equal sets count once per task."""
@@ -344,21 +355,36 @@ def _matches_needed(na: Column, nb: Column, owna: Column, ownb: Column, settings
     return F.greatest(F.least(owna, ownb), overlap - F.greatest(behind(na, owna), behind(nb, ownb)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. The sets come from the texts
-    of one document per class that a pair needs."""
-    pairs = pinned(pairs)
+def class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, settings: JoinSettings) -> DataFrame:
+    """key and full grams of the classes, from the text of one document each. A set may
+    come twice, and sets of other classes may come along."""
+    ids = members.join(classes.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), settings), settings)
+
+
+def _sets_of(sets: DataFrame, keys: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The sets of the keys, and few others; one look-up per set and no shuffle."""
+    sent = sets.sparkSession.sparkContext.broadcast(_filter(keys, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hit = sent.value.has(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit))
+
+    return sets.mapInArrow(run, "key long, grams array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = pinned(pairs.select("a", "b"))
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = bloom_of(ids.select(F.xxhash64("doc_id").alias("id")), settings.filter_bits)
-    sets = pinned(gram_sets(docs, wanted, settings))  # a set may come twice, which does no harm
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
+    wanted = pinned(_sets_of(sets, keys, settings))
+    left = wanted.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
+    right = wanted.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     union = F.size("grams_a") + F.size("grams_b") - F.col("common")
     return (
-        pairs.select("a", "b")
-        .join(left, "a")
+        pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", common.alias("common"), "grams_a", "grams_b")
         .where(F.col("common") * settings.den >= union * settings.num)
@@ -383,38 +409,36 @@ def _pivot_pairs(lists: DataFrame, seed: int, settings: JoinSettings) -> DataFra
     )
 
 
-def _rest_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """All pairs between different components that may be similar. A pair that matches
-    in some narrow list comes from the join, any other from the blocks."""
-    held = lists.select("gram", "component").distinct()
-    spread = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+def _rest_links(lists: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Links (a, b) between classes of different components that connect all that are
+    similar. Pairs that share a long list at level 1 are compared in blocks; any others
+    share only short lists at that level and come from the join."""
+    sizes = lists.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    spread = sizes.where("low <> high").select("gram", "held")
     rows = pinned(lists.join(spread, "gram"))
     wide = rows.where(F.col("held") > settings.wide)
     in_wide = wide.groupBy("key").agg(F.count(F.lit(1)).alias("in_wide"))
     narrow = rows.where(F.col("held") <= settings.wide).join(in_wide, "key", "left").fillna(0, ["in_wide"])
-    return _narrow_pairs(narrow, settings).union(_wide_pairs(wide, lists, settings)).distinct()
+    joined = verified(_narrow_pairs(narrow, settings), sets, settings)
+    components_of = lists.select("key", "component").distinct()
+    ends = joined.join(components_of.toDF("a", "ca"), "a").join(components_of.toDF("b", "cb"), "b")
+    links = ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    return links.union(_cluster_links(wide, sets, settings))
 
 
 def _narrow_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs by a join, between components of a list; lists of one component cost nothing.
-    Matches in wide lists are not seen here, so as many as there may be are conceded."""
-    held = lists.select("gram", "component").distinct()
-    apart = (
-        held.select("gram", F.col("component").alias("ca"))
-        .join(held.select("gram", F.col("component").alias("cb")), "gram")
-        .where("ca < cb")
-    )
+    """Pairs of classes of different components in short lists that match often enough.
+    Matches in long lists are not seen here, so as many as there may be are conceded."""
 
     def side(s: str) -> DataFrame:
         names = {"key": s, "n": f"n{s}", "level": f"level{s}", "own": f"own{s}", "component": f"c{s}", "in_wide": f"wide{s}"}
         return lists.select("gram", *[F.col(k).alias(v) for k, v in names.items()])
 
     low = F.least("owna", "ownb")
-    met = (
-        apart.join(side("a"), ["gram", "ca"])
-        .join(side("b"), ["gram", "cb"])
-        .where(_sizes_fit(F.col("na"), F.col("nb"), settings))
-    )
+    met = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    met = met.where(_sizes_fit(F.col("na"), F.col("nb"), settings))
     need = _matches_needed(*map(F.col, ("na", "nb", "owna", "ownb")), settings)
     counted = met.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("shared"),
@@ -426,47 +450,59 @@ def _narrow_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
     return counted.where("shared + unseen >= need and shared_low + unseen >= low").select("a", "b")
 
 
-def _close_pairs(grams: list[np.ndarray], n: np.ndarray, own: np.ndarray, settings: JoinSettings) -> np.ndarray:
-    """For each two of the classes, whether their prefixes match often enough."""
-    values, column = np.unique(np.concatenate(grams), return_inverse=True)
-    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+def _similar(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, settings: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of similar sets, one of `left` and one of `right` each. Grams that only
+    one set has take no part in the product that counts what two sets share."""
+    n = np.array([len(g) for g in grams])
+    _, column, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = often > 1
+    row = np.repeat(np.arange(len(grams)), n)[shared[column]]
+    column = (np.cumsum(shared) - 1)[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    shared = np.zeros((len(grams), len(grams)), np.float32)
-    for at in range(0, len(values), 4096):
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, [at, at + 4096])
-        part = np.zeros((len(grams), min(4096, len(values) - at)), np.float32)
+        part = np.zeros((len(grams), 4096), np.float32)
         part[row[a:b], column[a:b] - at] = 1
-        shared += part @ part.T
-    behind = -(-n * settings.num // settings.den) - own
-    overlap = -(-(n[:, None] + n) * settings.num // (settings.num + settings.den))
-    need = np.maximum(np.minimum(own[:, None], own), overlap - np.maximum(behind[:, None], behind))
-    fit = np.minimum(n[:, None], n) * settings.den >= np.maximum(n[:, None], n) * settings.num
-    return fit & (shared >= need)
-
-
-def _wide_pairs(wide: DataFrame, lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of classes of different components that share a gram of level 1 in a wide list.
-    Similar sets share one at that level, so others need not be looked at."""
-    first = wide.where("level = 1").select("gram", "key", "n", "own", "component")
-    keys = first.select("key").distinct()
-    grams = lists.join(keys, "key", "left_semi").groupBy("key").agg(F.collect_list("gram").alias("grams"))
-    dealt = in_blocks(first, "gram", "key", settings.block).join(grams, "key")
+        common += part[left] @ part[right].T
+    whole = common.astype(np.int64)
+    union = n[left][:, None] + n[right] - whole
+    i, j = np.nonzero(whole * settings.den >= union * settings.num)
+    return left[i], right[j]
+
+
+def _cluster_links(wide: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Links between components in clusters of classes that long lists connect at level 1.
+    Every two classes of a cluster meet in one block; links are those of a spanning forest
+    over the components of the block."""
+    first = wide.where("level = 1").select("gram", "key", "component")
+    leads = first.groupBy("gram").agg(F.min("key").alias("lead"))
+    found = components(first.join(leads, "gram").select("key", "lead")).toDF("key", "cluster")
+    alone = leads.select(F.col("lead").alias("key"), F.col("lead").alias("cluster")).join(found, "key", "left_anti")
+    clusters = first.select("key", "component").distinct().join(found.union(alone.distinct()), "key")
+    spread = clusters.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    clusters = pinned(clusters.join(spread.where("low <> high").select("cluster"), "cluster"))
+    whole = _sets_of(sets, clusters.select("key"), settings).dropDuplicates(["key"])
+    dealt = in_blocks(clusters.join(whole, "key"), "cluster", "key", settings.block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 512):
-            columns = {c: table.column(c).to_numpy() for c in ("grp", "side", "key", "n", "own", "component")}
-            sets = list(_rows_of(table.column("grams").combine_chunks()))
-            cuts = np.flatnonzero(np.r_[True, columns["grp"][1:] != columns["grp"][:-1], True])
+        for table in whole_groups(batches, 64):
+            grp, side, component = (table.column(c).to_numpy() for c in ("grp", "side", "component"))
+            grams = list(_rows_of(table.column("grams").combine_chunks()))
+            cuts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                _, side, key, n, own, component = (c[i:j] for c in columns.values())
-                close = _close_pairs(sets[i:j], n, own.astype(np.int64), settings)
-                close &= (component[:, None] != component) & ((side[:, None] == 2) | (side[:, None] < side))
-                a, b = np.nonzero(close & ((key[:, None] < key) | (side[:, None] != 2)))
-                pairs = np.sort(np.stack([key[a], key[b]]), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    ordered = dealt.select("grp", "side", "key", "n", "own", "component", "grams")
+                mine, names = side[i:j], component[i:j]
+                left, right = np.flatnonzero(mine != 1), np.flatnonzero(mine != 0)
+                if not len(left) or not len(right):
+                    continue
+                a, b = _similar(grams[i:j], left, right, settings)
+                known, index = np.unique(names, return_inverse=True)
+                root = local_roots(len(known), index[a], index[b])
+                moved = np.flatnonzero(root != np.arange(len(known)))
+                yield pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[root[moved]])], ["a", "b"])
+
+    ordered = dealt.select("grp", "side", "component", "grams")
     return ordered.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
@@ -481,21 +517,21 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = CONTRACT) -> tuple
     """Documents (doc_id, n, key) and links (a, b) between keys whose components are
     those of all similar pairs of different sets."""
     counting = _Counting(docs)
-    frequent = bloom_of(frequent_grams(docs, counting, settings), settings.filter_bits)
+    frequent = _filter(frequent_grams(docs, counting, settings), settings)
     members = pinned(prefixes(docs, frequent, counting, settings))
-    shared = bloom_of(shared_grams(members, counting), settings.filter_bits)
-    classes = possible_matches(members, shared, counting, settings).dropDuplicates(["key"])
+    shared = _filter(shared_grams(members, counting), settings)
+    classes = pinned(possible_matches(members, shared, counting, settings).dropDuplicates(["key"]))
     lists = pinned(postings(classes, settings))
     own = choose_levels(lists, settings)
     lists = pinned(
         lists.join(own, "key").where("level <= own").select("gram", "key", "n", "level", "own")
     )
+    sets = pinned(class_sets(docs, members, lists.select("key").distinct(), settings))
     links = None
     for seed in range(settings.star_rounds):
-        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), docs, members, settings)
+        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), sets, settings)
         links = pinned(found if links is None else links.union(found))
-    labelled = pinned(_labelled(lists, links)) if links is not None else _labelled(lists, links)
-    found = verified(_rest_pairs(labelled, settings), docs, members, settings)
+    found = _rest_links(pinned(_labelled(lists, links)), sets, settings)
     links = pinned(found if links is None else links.union(found))
     return members.select("doc_id", "n", "key"), links
 

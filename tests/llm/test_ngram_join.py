@@ -59,6 +59,23 @@ def test_components_equal_brute_force(documents, settings, seed):
     assert got == set(brute(rows, settings.width, settings.num, settings.den))
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_a_large_group_of_near_copies_gives_few_links(documents, edits):
+    rng = random.Random(edits)
+    words = sentence(5, 110).split()
+    rows = []
+    for i in range(900):
+        mine = list(words)
+        for _ in range(rng.randint(0, edits)):
+            mine[rng.randrange(len(mine))] = f"edit{rng.randrange(400)}"
+        rows.append((i, " ".join(mine), "a"))
+    docs = documents(rows)
+    members, links = nj.similar_classes(docs, nj.CONTRACT)
+    assert links.count() <= 2 * members.select("key").distinct().count()
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.near_duplicates(docs, nj.CONTRACT).collect()}
+    assert got == set(brute(rows, 4, 85, 100))
+
+
 def test_threshold_is_inclusive(documents):
     # 17 of 20 four-word grams are shared: 100 * 17 = 85 * 20.
     words = [f"w{i}" for i in range(20)]
