@@ -39,8 +39,9 @@ def with_baseline(runs: DataFrame, key: str = "repo") -> DataFrame:
 
 
 def before_after(before: Column, after: Column) -> dict[str, Column]:
-    """The pair with its defaults: no baseline is 0, no current value is the baseline."""
-    known = F.coalesce(before, F.lit(0.0))
+    """The pair with its defaults: without a baseline, the first run of a project, the
+    current state is the baseline; no current value is the baseline; neither is 0."""
+    known = F.coalesce(before, after, F.lit(0.0))
     current = F.coalesce(after, known)
     return {
         "coverage_before": known,
@@ -69,15 +70,21 @@ def coverage_report(
     symbol_counts: DataFrame,
     config: JobConfig = JobConfig(),
     keys: tuple[str, ...] = KEYS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """One report row per pull-request run.
 
     `runs` holds coverage_before and pct; `line_totals` new_lines_total and
-    `symbol_counts` n_symbols, one row per pull request each. These two meet
-    first, so that the runs, of which one request may have very many, take part
-    in a single join that adaptive execution can split.
+    `symbol_counts` n_symbols, one row per pull request each. `measured` may hold
+    n_covered, the new lines that ran by the coverage data; requests it lacks get the
+    estimate. All these meet first, so that the runs, of which one request may have
+    very many, take part in a single join that adaptive execution can split.
     """
     totals = line_totals.join(symbol_counts, list(keys), "full_outer")
+    if measured is None:
+        totals = totals.withColumn("n_covered", F.lit(None).cast("bigint"))
+    else:
+        totals = totals.join(measured.select(*keys, "n_covered"), list(keys), "full_outer")
     pair = before_after(F.col("coverage_before"), F.col("pct"))
     joined = (
         runs.withColumns({f"_{name}": value for name, value in pair.items()})
@@ -92,7 +99,7 @@ def coverage_report(
         *keys,
         "ts",
         *pair,
-        covered.alias("new_lines_covered"),
+        F.coalesce("n_covered", covered).alias("new_lines_covered"),
         covered.alias("new_lines_covered_est"),
         "new_lines_total",
         target.alias("coverage_target"),

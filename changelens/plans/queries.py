@@ -14,7 +14,9 @@ from changelens.config import JobConfig
 from changelens.functions import fixed, paths, text
 from changelens.operators import changes as ch
 from changelens.operators import coverage as cov
+from changelens.operators import covered
 from changelens.operators import dedup as dd
+from changelens.operators import hunks
 from changelens.operators import responses as rs
 from changelens.operators import rules
 from changelens.operators import symbols as sy
@@ -25,6 +27,7 @@ from changelens.session import work_path
 from changelens.sources import changes as src_changes
 from changelens.sources import code as src_code
 from changelens.sources import coverage as src_cov
+from changelens.sources import profiles
 from changelens.sources import sinks
 from changelens.streaming import pr_events as stream
 
@@ -78,6 +81,28 @@ def snapshot_lines(v: Views) -> DataFrame:
     return ch.line_changes(v.base_files(), v.head_files())
 
 
+@query
+def snapshot_hunks(v: Views) -> DataFrame:
+    return hunks.line_hunks(v.base_files(), v.head_files())
+
+
+@query
+def hunk_line_counts(v: Views) -> DataFrame:
+    return hunks.hunk_lines(hunks.line_hunks(v.base_files(), v.head_files()))
+
+
+@query
+def covered_lines(v: Views) -> DataFrame:
+    """New lines of the head snapshot that the coverage profiles of three tools say ran."""
+    changed = covered.hunk_ranges(hunks.line_hunks(v.base_files(), v.head_files()))
+    return covered.covered_lines(changed, profiles.profile_ranges(v.line_profiles(), REPO))
+
+
+@query
+def request_coverage(v: Views) -> DataFrame:
+    return _analysis(v).covered_lines(v.patches(), profiles.profile_ranges(v.line_profiles(), ch.KEYS))
+
+
 @query
 def name_status_files(v: Views) -> DataFrame:
     return ch.routed(_changes(v)).select("doc_id", "repo", "status", "status_class", "path")
@@ -468,7 +493,7 @@ def run_summary(v: Views) -> DataFrame:
     keys = REPO
     changes = _changes(v)
     found = runs.modified_symbols(changes, v.code_files(), CONFIG, keys)
-    generation = tp.generation_stats(ch.routed(changes), found, CONFIG, keys)
+    generation = tp.generation_stats(changes, found, CONFIG, keys)
     integration = dd.integration_stats(v.generated_files(), v.existing_tests())
     latest = v.pull_requests().groupBy("repo").agg(
         F.max_by("pr_url", F.struct("created_at", "pr_id")).alias("pr_url")
@@ -870,7 +895,7 @@ def test_file_sink(v: Views) -> DataFrame:
 def functional_sink(v: Views) -> DataFrame:
     out = work_path(v.spark, "functional-files")
     cases = tp.functional_cases(_analysis(v).semantic_changes)
-    files = tp.single_case_files(cases).select("repo", F.col("test_path").alias("path"), "content")
+    files = tp.single_case_files(cases).select("repo", "pr_id", F.col("test_path").alias("path"), "content")
     sinks.publish_functional_files(files, out)
     return src_code.read_code_table(v.spark, out).select("repo", "path", F.md5("content").alias("content_md5"))
 
@@ -880,12 +905,12 @@ def baseline_sink(v: Views) -> DataFrame:
     """Baselines appended in two writes, then the newest one per project."""
     out = work_path(v.spark, "baselines")
     found = v.coverage_runs().where(F.col("kind") == "baseline").select(
-        F.col("repo_key").cast("string").alias("repo"), "ts", F.col("pct").alias("coverage")
+        F.col("repo_key").cast("string").alias("repo"), "ts", "run_id", F.col("pct").alias("coverage")
     )
     high = F.col("coverage") >= CONFIG.coverage_target
     sinks.append_baselines(found.where(high), out)
     sinks.append_baselines(found.where(~high), out)
-    return v.spark.read.parquet(out).groupBy("repo").agg(F.max_by("coverage", "ts").alias("coverage"))
+    return sinks.newest_baselines(v.spark.read.parquet(out))
 
 
 # Streaming

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changelens.config import JobConfig
 from changelens.operators import changes as ch
+from changelens.operators import covered
 from changelens.operators import symbols as sy
 from changelens.operators import testplan as tp
 
@@ -49,6 +50,7 @@ class ChangeAnalysis:
         files: DataFrame,
         config: JobConfig = JobConfig(),
     ):
+        self._listed = changes
         self._changes = ch.routed(changes, config.include_renames)
         self._files = files
         self._config = config
@@ -73,7 +75,19 @@ class ChangeAnalysis:
         return tp.test_plan(self.symbols, self.modules, self._config)
 
     def generation_stats(self) -> DataFrame:
-        return tp.generation_stats(self._changes, self.symbols, self._config)
+        """Counters of every run in the change list, also of those without a routed change."""
+        return tp.generation_stats(self._listed, self.symbols, self._config)
+
+    def covered_lines(self, patches: DataFrame, ranges: DataFrame) -> DataFrame:
+        """Covered new lines per pull request: added lines of the patches against the line
+        ranges of coverage profiles (repo, pr_id, path, start, end, hits), estimated for
+        requests that no profile mentions."""
+        wanted = self._changes.where(ch.has_status("M", "A")).select(*ch.KEYS, "path")
+        added = covered.patch_ranges(patches.join(wanted, [*ch.KEYS, "path"], "left_semi"))
+        per_file = covered.covered_lines(added, ranges, (*ch.KEYS, "path"))
+        return covered.covered_totals(
+            per_file, ch.new_lines(self.file_changes(patches)), symbol_counts(self.symbols)
+        )
 
 
 def symbol_counts(symbols: DataFrame, keys: tuple[str, ...] = ch.KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.functions import fixed, paths
+from changelens.functions import fixed, paths, text
 from changelens.functions.text import capitalize, fill, lookup
 
 # Extension by the identifier's remainder.
@@ -79,15 +79,40 @@ class Views:
     def base_files(self) -> DataFrame:
         return self.code_files().where(F.col("doc_id") % 10 != 9).select("repo", "path", "content")
 
-    def head_files(self) -> DataFrame:
+    def _head(self) -> DataFrame:
         body = F.col("content")
         rest = F.substring(body, F.instr(body, "\n") + 1, F.length(body))
         edited = F.concat(rest, F.lit("\nadded "), F.col("doc_id").cast("string"))
-        return (
-            self.code_files()
-            .where(F.col("doc_id") % 10 != 8)
-            .select("repo", "path", F.when(F.col("doc_id") % 4 == 0, edited).otherwise(body).alias("content"))
+        files = self.code_files().where(F.col("doc_id") % 10 != 8)
+        return files.withColumn("content", F.when(F.col("doc_id") % 4 == 0, edited).otherwise(body))
+
+    def head_files(self) -> DataFrame:
+        return self._head().select("repo", "path", "content")
+
+    def line_profiles(self) -> DataFrame:
+        """repo, pr_id, tool, body: a coverage profile per head file, in the format of its tool."""
+        n, path, lines = F.col("doc_id"), F.col("path"), F.size(text.lines(F.col("content")))
+
+        def numbers(count: Column, keep) -> Column:
+            return F.filter(F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>")), keep)
+
+        def block(i: Column) -> Column:
+            first, hits = 4 * i - 3, (n + i - 1) % 3
+            return F.format_string("%s:%d.1,%d.9 2 %d", path, first, first + 2, hits)
+
+        def listed(rest: int) -> Column:
+            return F.array_join(F.transform(numbers(lines, lambda i: (i + n) % 3 == rest), lambda i: i.cast("string")), ", ")
+
+        blocks = F.array_join(F.transform(numbers(F.ceil(lines / 4).cast("int"), lambda i: i > 0), block), "\n")
+        lists = F.concat(
+            F.lit('{"files": {"'), path, F.lit('": {"executed_lines": ['), listed(0), F.lit('], "missing_lines": ['), listed(1), F.lit("]}}}")
         )
+        records = F.transform(numbers(lines, lambda i: i % 5 > 0), lambda i: F.format_string("DA:%d,%d", i, (i + n) % 2))
+        trace = F.concat(F.lit("TN:\nSF:"), path, F.lit("\n"), F.array_join(records, "\n"), F.lit("\nend_of_record\n"))
+        tool = lookup(paths.extension(path), {".go": "go", ".py": "python", ".js": "javascript", ".ts": "javascript"}, F.lit("none"))
+        body = F.when(F.col("tool") == "go", F.concat(F.lit("mode: count\n"), blocks)).when(F.col("tool") == "python", lists).otherwise(trace)
+        files = self._head().withColumn("tool", tool).where(F.col("tool") != "none")
+        return files.select("repo", "pr_id", "tool", body.alias("body"))
 
     def name_status(self) -> DataFrame:
         """doc_id, repo, pr_id, line: the change list."""

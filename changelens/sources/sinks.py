@@ -34,8 +34,10 @@ def functional_files(files: DataFrame) -> DataFrame:
 
 
 def publish_functional_files(files: DataFrame, path: str, folder: str = "tests/auto-generated") -> None:
-    """Write the functional test files, moved to the folder of the second location."""
-    moved = F.concat_ws("/", F.lit(folder), paths.base_name(F.col("path")))
+    """Write the functional test files, moved to the folder of the second location. Files of
+    several pull requests (pr_id) get a folder each, so equal base names don't meet."""
+    request = [F.col("pr_id").cast("string")] if "pr_id" in files.columns else []
+    moved = F.concat_ws("/", F.lit(folder), *request, paths.base_name(F.col("path")))
     write_test_files(functional_files(files).withColumn("path", moved), path)
 
 
@@ -44,5 +46,10 @@ def has_functional_files(files: DataFrame) -> bool:
 
 
 def append_baselines(baselines: DataFrame, path: str) -> None:
-    """Add (repo, ts, coverage) rows; the newest one before a run is its baseline."""
-    baselines.select("repo", "ts", "coverage").write.mode("append").parquet(path)
+    """Add (repo, ts, run_id, coverage) rows; the newest one before a run is its baseline."""
+    baselines.select("repo", "ts", "run_id", "coverage").write.mode("append").parquet(path)
+
+
+def newest_baselines(baselines: DataFrame) -> DataFrame:
+    """The newest baseline per repository; of equal times, that of the largest run_id."""
+    return baselines.groupBy("repo").agg(F.max_by("coverage", F.struct("ts", "run_id")).alias("coverage"))

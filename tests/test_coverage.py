@@ -39,6 +39,9 @@ def test_report_below_target(spark):
 def test_defaults_of_missing_values(spark):
     none = report(spark, None, None).collect()[0]
     assert (none.coverage_before, none.coverage_after, none.coverage_delta) == (0.0, 0.0, 0.0)
+    first = cov.gates(report(spark, None, 40.0), JobConfig(min_coverage_increase=1.0)).collect()[0]
+    assert (first.coverage_before, first.coverage_after, first.coverage_delta) == (40.0, 40.0, 0.0)
+    assert first.decrease_ok and not first.increase_ok
     kept = report(spark, 40.0, None).collect()[0]
     assert (kept.coverage_after, kept.coverage_delta) == (40.0, 0.0)
 
@@ -50,6 +53,17 @@ def test_estimate_is_truncated_from_a_double(spark):
     assert all(r.c == int(float(r.id) * 0.7) for r in df.collect())
 
 
+def test_measured_lines_go_before_the_estimate(spark, rows):
+    runs = spark.createDataFrame(
+        [("r", n, at(0), 1.0, 2.0) for n in (1, 2)], "repo STRING, pr_id INT, ts TIMESTAMP_NTZ, coverage_before DOUBLE, pct DOUBLE"
+    )
+    lines = spark.createDataFrame([("r", 1, 10), ("r", 2, 10)], "repo STRING, pr_id INT, new_lines_total BIGINT")
+    counts = spark.createDataFrame([("r", 1, 1), ("r", 2, 1)], "repo STRING, pr_id INT, n_symbols BIGINT")
+    measured = spark.createDataFrame([("r", 1, 3)], "repo STRING, pr_id INT, n_covered BIGINT")
+    found = cov.coverage_report(runs, lines, counts, measured=measured)
+    assert rows(found, "pr_id", "new_lines_covered", "new_lines_covered_est") == [(1, 3, 7), (2, 7, 7)]
+
+
 def test_request_without_files_or_symbols(spark):
     runs = spark.createDataFrame(
         [("r", 9, at(0), 1.0, 2.0)], "repo STRING, pr_id INT, ts TIMESTAMP_NTZ, coverage_before DOUBLE, pct DOUBLE"
@@ -85,7 +99,7 @@ def test_before_and_after_join(spark, rows):
     before = spark.createDataFrame([("r", 1, 50.0), ("r", 2, 30.0)], schema)
     after = spark.createDataFrame([("r", 1, 60.0), ("r", 3, 20.0)], schema)
     assert rows(cov.join_before_after(before, after)) == [
-        ("r", 1, 50.0, 60.0, 10.0), ("r", 2, 30.0, 30.0, 0.0), ("r", 3, 0.0, 20.0, 20.0),
+        ("r", 1, 50.0, 60.0, 10.0), ("r", 2, 30.0, 30.0, 0.0), ("r", 3, 20.0, 20.0, 0.0),
     ]
 
 

@@ -51,6 +51,17 @@ def test_functional_files_are_published(spark, rows, tmp_path):
     assert rows(code.read_code_table(spark, out), "path") == [("tests/auto-generated/test_A_functional.go",)]
 
 
+def test_functional_files_of_two_requests_stay_apart(spark, rows, tmp_path):
+    files = spark.createDataFrame(
+        [("r", 1, "x/test_A_functional.go", "1"), ("r", 2, "y/test_A_functional.go", "2")], "repo STRING, pr_id LONG, path STRING, content STRING"
+    )
+    out = str(tmp_path / "t")
+    sinks.publish_functional_files(files, out)
+    assert rows(code.read_code_table(spark, out), "path", "content") == [
+        ("tests/auto-generated/1/test_A_functional.go", "1"), ("tests/auto-generated/2/test_A_functional.go", "2")
+    ]
+
+
 def test_json_report_and_display(spark, rows, tmp_path):
     shown = spark.createDataFrame(
         [("r", 1.5, 2.5, 1.0, 80.0, False)],
@@ -80,9 +91,12 @@ def test_change_lines_scan(spark, rows, tmp_path):
 def test_baselines_are_appended(spark, tmp_path):
     out = str(tmp_path / "t")
     for value in (1.0, 2.0):
-        rows_ = spark.createDataFrame([("r", dt.datetime(2026, 1, int(value)), value)], "repo STRING, ts TIMESTAMP_NTZ, coverage DOUBLE")
+        rows_ = spark.createDataFrame([("r", dt.datetime(2026, 1, int(value)), 7, value)], "repo STRING, ts TIMESTAMP_NTZ, run_id LONG, coverage DOUBLE")
         sinks.append_baselines(rows_, out)
     assert spark.read.parquet(out).count() == 2
+    tied = spark.createDataFrame([("r", dt.datetime(2026, 1, 2), 9, 0.5)], rows_.schema)
+    sinks.append_baselines(tied, out)
+    assert sinks.newest_baselines(spark.read.parquet(out)).collect()[0]["coverage"] == 0.5
 
 
 BODY = json.dumps(

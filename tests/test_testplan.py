@@ -46,6 +46,12 @@ def test_unsupported_pairs_have_no_code(spark, rows):
     ]
 
 
+def test_run_of_renames_only_has_counters_of_zero(spark, rows):
+    listed = spark.createDataFrame([("r", 4, "R100\ta.go\tb.go"), ("r", 5, "T\tx.go")], "repo STRING, pr_id INT, line STRING")
+    analysis = runs.ChangeAnalysis(parse_change_lines(listed), files(spark))
+    assert rows(analysis.generation_stats()) == [("r", 4, 0, 0, 0, 0), ("r", 5, 0, 0, 0, 0)]
+
+
 def test_plan_and_counters_agree(spark, rows):
     listed = spark.createDataFrame(
         [("r", 1, line) for line in ("M\tx/a.go", "M\ty/b.py", "A\tz/c.py", "D\td.go", "M\te.md")],
