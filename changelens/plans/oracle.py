@@ -251,6 +251,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   where b.content is distinct from h.content)""",
     ),
     "snapshot_hunks": (("snapshot_status",), oracle_lines.SNAPSHOT_HUNKS),
+    "snapshot_renames": (("base_files", "head_files"), oracle_lines.SNAPSHOT_RENAMES),
     "profile_lines": (("head_files",), oracle_lines.PROFILE_LINES),
     "hunk_lines": (
         ("snapshot_hunks",),
@@ -736,6 +737,9 @@ from snapshot_status join snapshot_lines using (repo, path) group by 1, 2, 3""",
         "snapshot_hunks": _sql(
             "select repo, path, base_start, base_lines, head_start, head_lines from snapshot_hunks", "snapshot_hunks"
         ),
+        "snapshot_renames": _sql(
+            "select repo, path, status, old_path, similarity from snapshot_renames", "snapshot_renames"
+        ),
         "hunk_line_counts": _sql(
             "select repo, path, cast(sum(head_lines) as bigint) as lines_added, "
             "cast(sum(base_lines) as bigint) as lines_removed from snapshot_hunks group by repo, path",

@@ -81,3 +81,61 @@ from (select {keys}, c.no, p.ran, f.path is not null as mentioned from {changed}
       left join profile_lines p using ({keys}, no)
       left join (select distinct {keys} from profile_lines) f using ({keys}))
 group by {keys}"""
+
+
+# Deleted and added files of one repository: equal texts by rank, then mutual best partners.
+SNAPSHOT_RENAMES = """moved_files as (
+  select repo, unnest(case when doc_id % 6 = 1 then ['moved/' || path] when doc_id % 60 = 2 then [path, 'moved/' || path]
+                      else [path] end) as path,
+         case when doc_id % 12 = 7 then h.content || chr(10) || 'moved' else h.content end as content
+  from head_files h join (select repo, path, doc_id from code_files) using (repo, path)),
+moved_status as (
+  select repo, path, case when b.content is null then 'A' when h.content is null then 'D' else 'M' end as status
+  from base_files b full join moved_files h using (repo, path) where b.content is distinct from h.content),
+moved as (
+  select s.repo, s.path, s.status, coalesce(b.content, h.content) as content
+  from moved_status s left join base_files b on s.repo = b.repo and s.path = b.path
+  left join moved_files h on s.repo = h.repo and s.path = h.path where s.status in ('A', 'D')),
+ranked as (select *, row_number() over (partition by repo, content, status order by path) as k from moved),
+equal_files as (
+  select d.repo, d.path as old_path, a.path from ranked d join ranked a using (repo, content, k)
+  where d.status = 'D' and a.status = 'A'),
+rest as (
+  select * from moved m
+  where not exists (select 1 from equal_files e where e.repo = m.repo
+                    and ((m.status = 'D' and e.old_path = m.path) or (m.status = 'A' and e.path = m.path)))
+  union all
+  select repo, path, 'kept', content from base_files b
+  where not exists (select 1 from moved_status s where s.repo = b.repo and s.path = b.path and s.status = 'D')),
+bags as (
+  select repo, path, status, line, count(*) as n, sum(count(*)) over (partition by repo, path, status) as n_all
+  from (select repo, path, status, unnest(string_split(content, chr(10))) as line from rest)
+  group by repo, path, status, line),
+shares as (
+  select d.status, d.repo, d.path as old_path, a.path,
+         cast(sum(least(d.n, a.n)) as double) / cast(greatest(any_value(d.n_all), any_value(a.n_all)) as double) as share
+  from bags d join bags a using (repo, line) where d.status in ('D', 'kept') and a.status = 'A'
+  group by d.status, d.repo, d.path, a.path),
+mutual as (
+  select repo, old_path, path, share,
+         row_number() over (partition by repo, old_path order by share desc, path) as from_old,
+         row_number() over (partition by repo, path order by share desc, old_path) as from_new
+  from shares where share >= 0.5 and status = 'D'),
+renamed as (
+  select repo, old_path, path, cast(100 as bigint) as similarity from equal_files
+  union all
+  select repo, old_path, path, cast(floor(share * 100) as bigint) from mutual where from_old = 1 and from_new = 1),
+copied as (
+  select s.repo, s.old_path, s.path, cast(floor(share * 100) as bigint) as similarity
+  from shares s where share >= 0.5 and status = 'kept'
+    and not exists (select 1 from renamed r where r.repo = s.repo and r.path = s.path)
+  qualify row_number() over (partition by s.repo, s.path order by share desc, s.old_path) = 1),
+snapshot_renames as (
+  select repo, path, 'R' as status, old_path, similarity from renamed
+  union all
+  select repo, path, 'C', old_path, similarity from copied
+  union all
+  select repo, path, status, '', cast(0 as bigint) from moved_status s
+  where not exists (select 1 from renamed r where r.repo = s.repo
+                    and ((s.status = 'A' and r.path = s.path) or (s.status = 'D' and r.old_path = s.path)))
+    and not exists (select 1 from copied c where s.status = 'A' and c.repo = s.repo and c.path = s.path))"""

@@ -18,7 +18,7 @@ from changelens.operators import covered
 from changelens.operators import dedup as dd
 from changelens.operators import hunks
 from changelens.operators import responses as rs
-from changelens.operators import rules
+from changelens.operators import renames, rules
 from changelens.operators import symbols as sy
 from changelens.operators import testplan as tp
 from changelens.plans import runs
@@ -91,6 +91,11 @@ def hunk_line_counts(v: Views) -> DataFrame:
     return hunks.hunk_lines(hunks.line_hunks(v.base_files(), v.head_files()))
 
 
+@query
+def snapshot_renames(v: Views) -> DataFrame:
+    return renames.snapshot_renames(v.base_files(), v.moved_files(), copies=True)
+
+
 @query
 def covered_lines(v: Views) -> DataFrame:
     """New lines of the head snapshot that the coverage profiles of three tools say ran."""

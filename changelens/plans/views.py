@@ -89,6 +89,14 @@ class Views:
     def head_files(self) -> DataFrame:
         return self._head().select("repo", "path", "content")
 
+    def moved_files(self) -> DataFrame:
+        """The head snapshot with files moved to another folder, some of them edited, some copied there."""
+        n, path, body = F.col("doc_id"), F.col("path"), F.col("content")
+        edited = F.when(n % 12 == 7, F.concat(body, F.lit("\nmoved"))).otherwise(body)
+        moved = F.concat(F.lit("moved/"), path)
+        places = F.when(n % 6 == 1, F.array(moved)).when(n % 60 == 2, F.array(path, moved)).otherwise(F.array(path))
+        return self._head().select("repo", F.explode(places).alias("path"), edited.alias("content"))
+
     def line_profiles(self) -> DataFrame:
         """repo, pr_id, tool, body: a coverage profile per head file, in the format of its tool."""
         n, path, lines = F.col("doc_id"), F.col("path"), F.size(text.lines(F.col("content")))
