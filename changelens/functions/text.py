@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,6 +93,45 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def indices(n: Column) -> Column:
+    """0 to n - 1 as an array, empty if n is 0 or less."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+_BLOCK = 64
+
+
+def sums_before(values: Column, levels: int = 3) -> Column:
+    """For each element of an array of integers the sum of those before it.
+
+    Sums run over blocks, and over blocks of blocks, so an element costs a block's length
+    per level at most."""
+
+    def summed(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda total, v: total + v)
+
+    if not levels:
+        return F.transform(values, lambda _, i: summed(F.slice(values, F.lit(1), i)))
+
+    def blocks(bound: Column) -> Column:
+        many = F.ceil(F.size(bound) / _BLOCK).cast("int")
+        return F.transform(indices(many), lambda b: summed(F.slice(bound, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def inside(bound: Column, starts: Column) -> Column:
+        def before(_: Column, i: Column) -> Column:
+            rest = i % _BLOCK
+            return F.get(starts, F.floor(i / _BLOCK).cast("int")) + summed(F.slice(bound, i - rest + 1, rest))
+
+        return F.transform(bound, before)
+
+    return let(values, lambda v: let(let(blocks(v), lambda b: sums_before(b, levels - 1)), lambda starts: inside(v, starts)))
+
+
 def first_parsed(candidates: Column) -> Column:
     """First non-null element of an array."""
     return F.get(F.filter(candidates, lambda x: x.isNotNull()), F.lit(0))

@@ -11,45 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths, text
+from changelens.operators import declarations
 
-# Beginning of a top-level Go declaration.
-_GO_DECLARATION = r"(?md)^(?=(?:func|type)\s)"
-_GO_FUNCTION = (
-    r"(?d)\Afunc\s+(?:\(\s*(?:\w+\s+)?\*?(\w+)[^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(([^)]*)\)"
-)
-_GO_STRUCT = r"(?d)\Atype\s+(\w+)(?:\[[^\]]*\])?\s+struct\b"
-# First words of unnamed Go parameters that consist of two words.
-_GO_TYPE_WORDS = r"^(?:chan|func|map|interface|struct)\b"
-_GO_NAMED = r"^\w+\s+\S"
 # The same matches in less than half the time: most positions fail on one character.
 _SCRIPT_FUNCTION = "(?=[fclv])" + fixed.SCRIPT_FUNCTION
 _WITH_SYMBOLS = ("go", "python", "javascript", "typescript")
 
 
-def go_arguments(params: Column) -> Column:
-    """Names in a Go parameter list; a list of types only has none."""
-    parts = F.filter(
-        F.transform(F.split(params, ",", -1), text.trim_space), lambda part: part != ""
-    )
-
-    def is_named(part: Column) -> Column:
-        return F.rlike(part, F.lit(_GO_NAMED)) & ~F.rlike(part, F.lit(_GO_TYPE_WORDS))
-
-    words = F.transform(parts, lambda part: F.regexp_extract(part, r"^(\w+)", 1))
-    return F.when(F.exists(parts, is_named), words).otherwise(F.array().cast("array<string>"))
-
-
-def _declarations(chunks: Column) -> Column:
-    """Top-level Go declarations with the line each one begins on."""
-    begins = F.aggregate(
-        F.transform(chunks, text.newline_count),
-        F.array(F.lit(1)),
-        lambda seen, count: F.array_append(seen, F.element_at(seen, -1) + count),
-    )
-    numbered = F.zip_with(chunks, begins, lambda chunk, line: F.struct(line.alias("line"), chunk.alias("text")))
-    return F.filter(numbered, lambda d: F.rlike(d["text"], F.lit(r"\A(?:func|type)\s")))
-
-
 def _symbol(kind: str, type_: str | Column, name: Column, **more: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.struct(
@@ -64,43 +32,24 @@ def _symbol(kind: str, type_: str | Column, name: Column, **more: Column) -> Col
     )
 
 
-def _go_symbols(chunks: Column) -> Column:
-    declared = _declarations(chunks)
-
-    def as_function(d: Column) -> Column:
-        return _symbol(
-            "function",
-            "function",
-            F.regexp_extract(d["text"], _GO_FUNCTION, 2),
-            line=d["line"],
-            args=go_arguments(F.regexp_extract(d["text"], _GO_FUNCTION, 3)),
-            receiver=F.regexp_extract(d["text"], _GO_FUNCTION, 1),
+def _go_symbols(declared: Column) -> Column:
+    def as_symbol(d: Column) -> Column:
+        function = _symbol(
+            "function", "function", d["name"], line=d["line"],
+            args=declarations.arguments(d["parameters"]), receiver=d["receiver"],
         )
+        return F.when(d["kind"] == "function", function).otherwise(_symbol("class", "struct", d["name"], line=d["line"]))
 
-    def as_struct(d: Column) -> Column:
-        return _symbol("class", "struct", F.regexp_extract(d["text"], _GO_STRUCT, 1), line=d["line"])
-
-    is_function = F.lit(r"\Afunc\s")
-    return F.filter(
-        F.transform(
-            declared,
-            lambda d: F.when(F.rlike(d["text"], is_function), as_function(d)).otherwise(as_struct(d)),
-        ),
-        lambda s: s["name"] != "",
-    )
+    return F.transform(declared, as_symbol)
 
 
 def _attach_methods(symbols: Column) -> Column:
     """Give every struct the names of the methods that have it as receiver."""
-
-    def methods_of(struct: Column) -> Column:
-        own = F.filter(symbols, lambda s: (s["receiver"] != "") & (s["receiver"] == struct["name"]))
-        return F.transform(own, lambda s: s["name"])
-
-    return F.transform(
-        symbols,
-        lambda s: F.when(s["type"] == "struct", s.withField("methods", methods_of(s))).otherwise(s),
+    is_struct = F.exists(symbols, lambda s: s["type"] == "struct")
+    attached = declarations.with_methods(
+        symbols, lambda s: F.when(s["type"] == "struct", s["name"]).otherwise(""), lambda s: s["receiver"]
     )
+    return F.when(is_struct, attached).otherwise(symbols)
 
 
 def _named(names: Column, kind: str, type_: str) -> Column:
@@ -142,7 +91,7 @@ def _found(files: DataFrame) -> DataFrame:
     content = F.coalesce(F.col("content"), F.lit(""))
     language = F.col("language")
     found = (
-        F.when(language == "go", _go_symbols(F.col("_chunks")))
+        F.when(language == "go", _go_symbols(F.col("_declared")))
         .when(language == "python", _python_symbols(content))
         .when(language.isin("javascript", "typescript"), _script_symbols(content))
     )
@@ -150,13 +99,14 @@ def _found(files: DataFrame) -> DataFrame:
     def of_kind(kind: str) -> Column:
         return F.filter("_found", lambda s: s["kind"] == kind)
 
+    known = files.where(paths.language(F.col("path")).isin(*_WITH_SYMBOLS)).withColumn(
+        "language", paths.language(F.col("path"))
+    )
     return (
-        files.where(paths.language(F.col("path")).isin(*_WITH_SYMBOLS))
-        .withColumn("language", paths.language(F.col("path")))
-        .withColumn("_chunks", F.when(language == "go", F.split(content, _GO_DECLARATION, -1)))
+        declarations.with_declarations(known, F.when(language == "go", content), "_declared")
         .withColumn("_found", found)
         .withColumn("_ordered", F.concat(of_kind("function"), of_kind("class")))
-        .drop("_chunks", "_found")
+        .drop("_declared", "_found")
     )
 
 

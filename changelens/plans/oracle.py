@@ -11,7 +11,7 @@ from changelens.functions import fixed, templates
 from changelens.functions.text import glob_regex
 from changelens.operators.dedup import SEPARATOR
 from changelens.plans import oracle_lines
-from changelens.plans.views import EXTENSIONS, HEADERS
+from changelens.plans.views import EXTENSIONS, HEADERS, NESTED_DECLARATIONS
 
 CONFIG = JobConfig()
 _FENCED = r"(?m)^[ \t]*```[^\n]*\n((?s:.*?))(?:\n?^[ \t]*```[ \t]*$|\n?\z)"
@@ -829,6 +829,10 @@ from (select path, name, unnest(string_split(args, ',')) as arg,
       from symbols where language = 'go' and kind = 'function' and args <> '')""",
             "symbols",
         ),
+        "nested_declarations": f"""
+select doc_id, kind, replace(name, '{{id}}', {_text('doc_id')}) as name, cast(line as bigint) as line, args,
+       replace(methods, '{{id}}', {_text('doc_id')}) as methods
+from documents, (values {', '.join(str(d) for d in NESTED_DECLARATIONS)}) as d(kind, name, line, args, methods)""".strip(),
         "go_structs": _symbol_query("repo, path, name, line", "language = 'go' and kind = 'class'"),
         "struct_methods": _symbol_query("path, name, methods", "language = 'go' and kind = 'class'"),
         "symbols_all": _symbol_query(

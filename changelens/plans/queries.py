@@ -237,6 +237,14 @@ def struct_methods(v: Views) -> DataFrame:
     return rows.select("path", "name", _joined("methods").alias("methods"))
 
 
+@query
+def nested_declarations(v: Views) -> DataFrame:
+    """Grouped types, headers over several lines, function-typed parameters, local types."""
+    return sy.symbols(v.nested_sources()).select(
+        "doc_id", "kind", "name", _big("line").alias("line"), _joined("args").alias("args"), _joined("methods").alias("methods")
+    )
+
+
 @query
 def symbols_all(v: Views) -> DataFrame:
     return sy.symbols(v.code_files()).select(

@@ -28,6 +28,21 @@ HEADERS = {
     ".js": "function f{id}(x) {\n  return x;\n}\nconst g{id} = async (x) => x;\nclass C{id} {\n}\n",
     ".ts": "export function f{id}(x) {\n  return x;\n}\nlet g{id} = function (x) { return x; };\n",
 }
+# A file header whose declarations are nested, grouped and broken over lines, and what it declares:
+# kind, name, line, arguments, methods.
+NESTED_HEADER = (
+    "package p{id}\n// func Commented{id}() {}\n/* type Blocked{id} struct {\n}\n*/\nvar raw = `\nfunc Raw{id}() {}\n`\n"
+    "type (\n\tInner{id} struct {\n\t\tpart struct{ deep int }\n\t}\n\tPair{id}[K comparable] struct{ key K }\n\tFixed{id} [5]struct{}\n)\n"
+    "func Call{id}(cb func(int, string) (a, b error), n int) {\n\ttype Local{id} struct{ q int }\n}\n"
+    "func\n(x *Inner{id})\nOpen{id}(\n\tsize int,\n\tdone func(left, right int) bool,\n) {}\n"
+)
+NESTED_DECLARATIONS = (
+    ("function", "Call{id}", 16, "cb,n", ""),
+    ("function", "Open{id}", 19, "size,done", ""),
+    ("class", "Inner{id}", 10, "", "Open{id}"),
+    ("class", "Pair{id}", 13, "", ""),
+    ("class", "Local{id}", 17, "", ""),
+)
 ROOT_MARKERS = {"0": "go.mod", "1": "setup.py", "2": "package.json", "3": "pyproject.toml"}
 
 
@@ -76,6 +91,14 @@ class Views:
         """doc_id, repo, pr_id, path, content; one source file per document."""
         return self._code_files
 
+    def nested_sources(self) -> DataFrame:
+        """doc_id, repo, path, content: Go files with nested declarations before the document's text."""
+        ident = F.col("doc_id").cast("string")
+        return self.table("documents").select(
+            "doc_id", self._repo(F.col("doc_id")).alias("repo"), F.concat(F.lit("n"), ident, F.lit(".go")).alias("path"),
+            F.concat(fill(NESTED_HEADER, id=ident), F.col("text")).alias("content"),
+        )
+
     def base_files(self) -> DataFrame:
         return self.code_files().where(F.col("doc_id") % 10 != 9).select("repo", "path", "content")
 

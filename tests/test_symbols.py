@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -71,11 +72,82 @@ def test_go_declarations(spark, rows):
     ]
 
 
+NESTED = """package x
+// func Commented() {}
+/* type Blocked struct {
+}
+func Blocked() {} */
+var text = `
+func Raw() {}
+` + "func Quoted() { \\" {" + string('{')
+
+type (
+\tInner struct {
+\t\tpart struct{ deep int }
+\t}
+\tPair[K comparable, V any] struct{ key K }
+\tFixed [5]struct{}
+\tShape interface{ Area() float64 }
+\tOther = struct{}
+)
+
+func F(cb func(int, string) (a, b error), n int, m map[string]func()) {}
+
+func
+(x *Inner)
+Open(
+\tsize int, // bytes
+\tgo_on func(left, right int) (ok bool),
+) (err error) {
+\ttype Local struct{ q int }
+\tlater := func(y int) int { return y }
+\treturn nil
+}
+
+  func Indented(a,
+    b int) {}
+
+func Make[T interface{ ~int }](in []T) *Pair[string, T] { return nil }
+func (p *Pair[K, V]) Key() K { return p.key }
+func (Other) Done(struct{}, chan<- int) {}
+"""
+
+
+def test_go_headers_over_lines_groups_and_nesting(spark, rows):
+    found = sy.symbols(files(spark, ("a.go", NESTED)))
+    assert rows(sy.functions(found), "line", "name", "args") == sorted(
+        [
+            (20, "F", ["cb", "n", "m"]), (22, "Open", ["size", "go_on"]), (33, "Indented", ["a", "b"]),
+            (36, "Make", ["in"]), (37, "Key", []), (38, "Done", []),
+        ],
+        key=repr,
+    )
+    assert rows(sy.classes(found), "line", "name", "methods") == sorted(
+        [(11, "Inner", ["Open"]), (14, "Pair", []), (17, "Other", ["Done"]), (28, "Local", [])], key=repr
+    )
+
+
 def test_go_known_limits(spark, rows):
-    """A header pattern is no parser: grouped types are missed, function-typed parameters cut."""
-    text = "type (\n\tInner struct {\n\t}\n)\nfunc F(cb func(int) error, n int) {}\n"
-    found = sy.symbols(files(spark, ("a.go", text)))
-    assert rows(found, "kind", "name", "args") == [("function", "F", ["cb"])]
+    """Type groups inside functions are not looked into; a missing bracket ends the search."""
+    text = "func A() {\n\ttype (\n\t\tB struct{}\n\t)\n}\nfunc C() { (\nfunc D() {}\n"
+    assert rows(sy.symbols(files(spark, ("a.go", text))), "name") == [("A",), ("C",)]
+
+
+def test_equal_names_share_their_methods(spark, rows):
+    text = "type A struct{}\nfunc f() { type A struct{} }\nfunc (a A) M() {}\nfunc (a *A) N() {}\n"
+    assert rows(sy.classes(sy.symbols(files(spark, ("a.go", text)))), "name", "line", "methods") == [
+        ("A", 1, ["M", "N"]), ("A", 2, ["M", "N"])
+    ]
+
+
+def test_a_file_of_very_many_declarations(spark):
+    text = "".join(f"type T{i} struct{{ a int }}\nfunc (t *T{i}) M{i}(x, y int) {{}}\n" for i in range(30_000))
+    begin = time.time()
+    row = sy.symbols(files(spark, ("a.go", text))).selectExpr(
+        "count(*) n", "max(line) last", "sum(size(methods)) methods", "sum(size(args)) args"
+    ).first()
+    assert tuple(row) == (60_000, 60_000, 30_000, 60_000)
+    assert time.time() - begin < 60
 
 
 def test_python_top_level_only(spark, rows):
@@ -149,7 +221,7 @@ def test_patterns_run_once_per_text(spark, tmp_path):
     for df in (sy.symbols(source), sy.with_symbols(source)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("(?md)^def") == 1
-        assert plan.count("(?md)^(?=(?:func|type)") == 1
+        assert plan.count("//[^\\n]*+") == 2  # once for what is between, once for the line ends
 
 
 def test_fast_script_pattern_finds_the_same(spark):
