@@ -15,11 +15,15 @@ the text of p and q gives back p and q. A sequence is the merge result exactly
 if all its neighbours are, so one path survives at each position, and the column
 is its last piece.
 
+A column is one piece (and a score), and the ids are read off once per word from its
+last piece back, so memory and time are linear in the longest run without a space.
+
 Defined results: a null text is encoded like an empty one, into no ids; repeated
-rows get equal ids; ids of documents may be null; other columns are ignored.
+rows get equal ids; ids of documents may be null; other columns are ignored; texts are
+encoded whole, whatever their length; an empty table gives an empty result.
 Characters without a piece become byte pieces, or the unknown id if the model
 has none. Decoding gives back the text itself whenever bytes stand for unknown
-characters. Words and pairs of pieces seen last are kept per Python worker.
+characters. Short words and pairs of pieces seen last are kept per Python worker.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ MARK = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _KEPT_WORDS = 500_000
+_KEPT_LENGTH = 64
 _KEPT_PAIRS = 400_000
 
 
@@ -188,7 +193,6 @@ class Trie:
         self.word = ""
         self.last: list[str] = [""]  # last piece of the best segmentation up to each position
         self.total: list[float] = [0.0]  # its score (unigram)
-        self.coded: list[bytes] = [b""]  # its ids
 
     def encode(self, word: str) -> bytes:
         before, keep = self.word, 0
@@ -196,16 +200,26 @@ class Trie:
             if a != b:
                 break
             keep += 1
-        del self.last[keep + 1 :], self.coded[keep + 1 :], self.total[keep + 1 :]
+        del self.last[keep + 1 :], self.total[keep + 1 :]
         self.word = word
         if self.pieces.merges:
             self._merge_columns(word, keep)
         else:
             self._score_columns(word, keep)
-        return self.coded[-1]
+        return self._walked_back()
+
+    def _walked_back(self) -> bytes:
+        """The ids of the word, from its last piece to its first."""
+        last, packed, found, at = self.last, self.packed, [], len(self.word)
+        while at:
+            piece = last[at]
+            found.append(packed[piece])
+            at -= len(piece)
+        found.reverse()
+        return b"".join(found)
 
     def _merge_columns(self, word: str, keep: int) -> None:
-        pieces, last, coded, lengths, packed = self.pieces, self.last, self.coded, self.lengths, self.packed
+        pieces, last, lengths = self.pieces, self.last, self.lengths
         ids, known = pieces.ids, pieces.pairs
         for end in range(keep + 1, len(word) + 1):
             for n in lengths[word[end - 3 : end] if end > 2 else word[:end]]:
@@ -221,7 +235,6 @@ class Trie:
                     fits = pieces.may_follow(*pair)
                 if fits:
                     last.append(piece)
-                    coded.append(coded[start] + packed[piece])
                     break
             else:
                 raise ValueError(f"no segmentation of {word[:end]!r}")
@@ -239,7 +252,6 @@ class Trie:
                     best, at = score, end - n
             self.last.append(word[at:end])
             self.total.append(best)
-            self.coded.append(self.coded[at] + self.packed[word[at:end]])
 
 
 class Encoder:
@@ -266,11 +278,14 @@ class Encoder:
             self.known.clear()
             new = distinct
         trie = Trie(self.pieces, self.lengths, self.packed)
-        known = self.known
+        known, long = self.known, [word for word in new if len(word) > _KEPT_LENGTH]
         for word in sorted(new):
             known[word] = trie.encode(word)
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in words]
+        rows = [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in words]
+        for word in long:
+            del known[word]
+        return rows
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.pieces.texts.__getitem__, ids)).decode("utf-8", "replace")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -77,3 +78,26 @@ def test_documents_round_trip(messy, messy_rows, empty, library):
 def test_mark_in_a_text_decodes_to_a_space():
     encoder = sp.Encoder(MODEL)
     assert encoder.decode(encoder.encode(["a▁b"])[0].tolist()) == "a b"
+
+
+@pytest.mark.parametrize("kind", ["letters", "chinese", "digits"])
+def test_long_runs_without_a_space(kind):
+    rng = random.Random(4)
+    alphabet = {"letters": "abcdefghijklmnopqrstuvwxyz", "chinese": "的一是不了人我在有他这为之大来以个中上们", "digits": "0123456789"}[kind]
+    text = "".join(rng.choice(alphabet) for _ in range(300_000))
+    path = MODEL
+    encoder = sp.Encoder(path)
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    (ids,) = encoder.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert not any(len(word) > 64 for word in encoder.known)
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    assert encoder.decode(ids.tolist()) == text
+
+
+def test_empty_table(empty):
+    assert sp.encode(empty, MODEL).count() == 0
+    assert sp.encoded_digest(empty, MODEL).count() == 0
