@@ -558,8 +558,9 @@ def without_near_duplicates(docs: DataFrame, settings: JoinSettings | None = Non
     """One document of each component, that with the smallest id; columns as in `docs`.
     Rows that repeat an id are one document, of which one row stays; documents without
     an id stay unless a document with one has the same or a similar set."""
-    found = near_duplicates(docs, settings or JoinSettings())
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).union(rows.where("doc_id is null"))
-
+    found = pinned(near_duplicates(docs, settings or JoinSettings()).select("doc_id", "component_id"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    # The join and the choice among repeated rows share one exchange of the texts.
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alone = found.where("doc_id is null and component_id is null").limit(1).count()
+    return named.select(*docs.columns).union(docs.where("doc_id is null")) if alone else named.select(*docs.columns)
