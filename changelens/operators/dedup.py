@@ -1,13 +1,17 @@
 """Test deduplication: which generated tests the existing suites already hold.
 
-Generated and existing test files meet in one equi-join on (repo, path), one
-row per file on either side. Names and blocks are taken out of the texts next
-to the scan and compared inside the joined row.
+Names and blocks are taken out of the generated files next to their scan, and so
+are the mentions of the existing ones: what stands behind each `Test` or `test_`
+up to the next white space. A test name begins with one of these and holds no white
+space, so a text contains it exactly if a mention begins with it. Names and mentions
+meet as short rows of one path, in sorted order: of all mentions from a name on, the
+first begins with it if any does. No text of a suite is shuffled to answer which tests
+are new; texts are joined only where the merged file itself is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths, text
@@ -17,6 +21,8 @@ SEPARATOR = "\n// Tests added by a job\n\n"
 
 _GO_START = "func Test"
 _PY_START = "def test_"
+_MENTION = r"(?=((?:Test|test_)\S*))"
+_IS_MENTION = r"^(?:Test|test_)\S*$"
 _BLOCK_START = r"(?md)^(?=[^\S\n]*(?:func Test|def test_))"
 _GO_BLOCK = r"(?sd)\A(.*?\n[^\S\n]*\}[^\S\n]*\n)"
 _GO_BLOCK_UNINDENTED = r"(?sd)\A(.*?\n\}[^\S\n]*\n)"
@@ -101,39 +107,65 @@ def matched_paths(generated: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def _paired(generated: DataFrame, existing: DataFrame, how: str) -> DataFrame:
-    return generated_tests_only(generated).select(*PATH_KEYS, F.col("content").alias("source")).join(
-        existing.select(*PATH_KEYS, F.col("content").alias("target")), list(PATH_KEYS), how
-    )
+def mentions(content: Column) -> Column:
+    """Distinct stretches without white space that begin with a test prefix, from any place."""
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(_MENTION), F.lit(1)))
+
+
+def contained_names(names: DataFrame, existing: DataFrame) -> DataFrame:
+    """The rows (repo, path, name) of which the existing file at the path contains the name.
+    Names are distinct, begin with a test prefix and hold no white space."""
+    asked = names.select(*PATH_KEYS, F.col("name").alias("text"), F.lit(True).alias("is_name"))
+    held = existing.select(*PATH_KEYS, F.explode(mentions(F.col("content"))).alias("text"), F.lit(False).alias("is_name"))
+    # Names and mentions of one file; mentions that equal a name come behind it.
+    behind = Window.partitionBy(*PATH_KEYS).orderBy("text", F.col("is_name").desc()).rowsBetween(0, Window.unboundedFollowing)
+    following = F.first(F.when(~F.col("is_name"), F.col("text")), ignorenulls=True).over(behind)
+    met = asked.union(held).withColumn("following", following)
+    return met.where(F.col("is_name") & F.startswith("following", F.col("text"))).select(*PATH_KEYS, F.col("text").alias("name"))
+
+
+def _block_names(content: Column, unindented: bool = False) -> Column:
+    return F.filter(F.transform(test_blocks(content, unindented), block_name), lambda name: name != "")
 
 
-def _is_duplicate(source: Column, target: Column) -> Column:
-    return F.coalesce(
-        F.exists(test_names(source), lambda name: F.contains(target, name)), F.lit(False)
+def _compared(generated: DataFrame, existing: DataFrame, unindented: bool = False) -> DataFrame:
+    """Per generated test file: names, block_names (arrays), path_exists and present (the
+    names among both that the existing file contains)."""
+    files = generated_tests_only(generated).select(
+        *PATH_KEYS, test_names(F.col("content")).alias("names"), _block_names(F.col("content"), unindented).alias("block_names")
+    )
+    every = F.array_distinct(F.concat("names", "block_names"))
+    asked = files.select(*PATH_KEYS, F.explode(every).alias("name"))
+    found = contained_names(asked, existing).groupBy(*PATH_KEYS).agg(F.collect_set("name").alias("present"))  # names of one file
+    known = existing.select(*PATH_KEYS, F.lit(True).alias("path_exists"))
+    none = F.array().cast("array<string>")
+    return (
+        files.join(known, list(PATH_KEYS), "left")
+        .join(found, list(PATH_KEYS), "left")
+        .withColumns({"path_exists": F.coalesce("path_exists", F.lit(False)), "present": F.coalesce("present", none)})
+        .withColumn("is_duplicate", F.arrays_overlap("names", "present"))
     )
 
 
 def duplicate_files(generated: DataFrame, existing: DataFrame) -> DataFrame:
     """Generated files of which at least one test name occurs in the existing file."""
-    return (
-        _paired(generated, existing, "inner")
-        .where(_is_duplicate(F.col("source"), F.col("target")))
-        .select(*PATH_KEYS)
-    )
+    names = generated_tests_only(generated).select(*PATH_KEYS, F.explode(F.array_distinct(test_names(F.col("content")))).alias("name"))
+    return contained_names(names, existing).select(*PATH_KEYS).distinct()
 
 
-def new_tests(tests: DataFrame, existing: DataFrame) -> DataFrame:
+def new_tests(tests: DataFrame, existing: DataFrame, any_name: bool = False) -> DataFrame:
     """Generated tests (repo, path, name) that do not occur in the existing file.
 
-    A name that is part of another name counts as present.
-    """
+    A name that is part of another name counts as present. `any_name` admits names that
+    are no test names; these are looked for in the texts themselves."""
+    names = tests.select(*PATH_KEYS, "name").distinct()
+    if not any_name:
+        return tests.join(contained_names(names, existing), [*PATH_KEYS, "name"], "left_anti")
+    plain = F.rlike("name", F.lit(_IS_MENTION))
     e = existing.select(F.col("repo").alias("e_repo"), F.col("path").alias("e_path"), "content")
-    known = (
-        (F.col("repo") == F.col("e_repo"))
-        & (F.col("path") == F.col("e_path"))
-        & F.contains(F.col("content"), F.col("name"))
-    )
-    return tests.join(e, known, "left_anti")
+    within = (F.col("repo") == F.col("e_repo")) & (F.col("path") == F.col("e_path")) & F.contains(F.col("content"), F.col("name"))
+    found = contained_names(names.where(plain), existing).union(names.where(~plain).join(e, within, "left_semi"))
+    return tests.join(found, [*PATH_KEYS, "name"], "left_anti")
 
 
 def new_tests_exact(tests: DataFrame, existing: DataFrame) -> DataFrame:
@@ -148,19 +180,10 @@ def test_name_difference(tests: DataFrame, existing: DataFrame) -> DataFrame:
     return tests.select(*PATH_KEYS, "name").exceptAll(names)
 
 
-def _new_blocks(source: Column, target: Column, unindented: bool) -> Column:
-    def is_new(block: Column) -> Column:
-        name = block_name(block)
-        return (name != "") & ~F.contains(target, name)
-
-    return F.filter(test_blocks(source, unindented), is_new)
-
-
-def merged_text(source: Column, target: Column, unindented: bool = False) -> Column:
-    """Existing text with the new test blocks appended; unchanged when there are none."""
-    blocks = _new_blocks(source, target, unindented)
-    added = F.array_join(F.transform(blocks, lambda b: F.concat(b, F.lit("\n\n"))), "")
-    return F.when(added == "", target).otherwise(F.concat(target, F.lit(SEPARATOR), added))
+def _added_text(blocks: Column, present: Column) -> Column:
+    """The blocks whose name is not present, each followed by an empty line."""
+    kept = F.filter(blocks, lambda b: (block_name(b) != "") & ~F.array_contains(present, block_name(b)))
+    return F.array_join(F.transform(kept, lambda b: F.concat(b, F.lit("\n\n"))), "")
 
 
 def integrate_files(
@@ -169,37 +192,39 @@ def integrate_files(
     """The suite after integration, with the action taken per path.
 
     A path the suite lacks is copied. A duplicate file is skipped as a whole;
-    with `per_test` its new tests are merged all the same.
+    with `per_test` its new tests are merged all the same. The existing texts are joined
+    with what is added to them, the generated ones only with short rows.
     """
-    source, target = F.col("source"), F.col("target")
-    action = F.when(source.isNull(), "kept").when(target.isNull(), "copied")
-    if not per_test:
-        action = action.when(_is_duplicate(source, target), "skipped")
-    return (
-        _paired(generated, existing, "full_outer")
-        .withColumn("action", action.otherwise("merged"))
-        .select(
-            *PATH_KEYS,
-            "action",
-            F.when(F.col("action") == "copied", source)
-            .when(F.col("action") == "merged", merged_text(source, target, unindented))
-            .otherwise(target)
-            .alias("content"),
-        )
+    keys = list(PATH_KEYS)
+    compared = _compared(generated, existing, unindented)
+    known = compared.where("path_exists")
+    skipped = F.lit(False) if per_test else F.col("is_duplicate")
+    actions = known.select(*keys, "present", F.when(skipped, "skipped").otherwise("merged").alias("action"))
+    sources = generated_tests_only(generated).select(*keys, test_blocks(F.col("content"), unindented).alias("blocks"))
+    added = sources.join(actions, keys).select(
+        *keys, "action", F.when(F.col("action") == "merged", _added_text(F.col("blocks"), F.col("present"))).otherwise("").alias("added")
+    )
+    merged = existing.select(*keys, "content").join(added, keys, "left").select(
+        *keys,
+        F.coalesce("action", F.lit("kept")).alias("action"),
+        F.when(F.coalesce("added", F.lit("")) == "", F.col("content"))
+        .otherwise(F.concat("content", F.lit(SEPARATOR), "added"))
+        .alias("content"),
+    )
+    copied = generated_tests_only(generated).select(*keys, F.lit("copied").alias("action"), "content").join(
+        existing.select(*keys), keys, "left_anti"
     )
+    return merged.union(copied)
 
 
 def integration_stats(
     generated: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("repo",)
 ) -> DataFrame:
     """Files integrated, duplicates skipped and tests added."""
-    source, target = F.col("source"), F.col("target")
-    added = F.when(
-        target.isNull(), F.size(test_names(source))
-    ).otherwise(F.size(_new_blocks(source, target, False)))
+    fresh = F.size(F.filter("block_names", lambda name: ~F.array_contains(F.col("present"), name)))
+    added = F.when(F.col("path_exists"), fresh).otherwise(F.size("names"))
     return (
-        _paired(generated, existing, "left")
-        .withColumn("is_duplicate", _is_duplicate(source, target))
+        _compared(generated, existing)
         .withColumn("n_added", F.when(F.col("is_duplicate"), 0).otherwise(added))
         .groupBy(*keys)
         .agg(

@@ -133,6 +133,21 @@ def test_new_and_matched_are_all(spark):
     assert dd.new_tests(tests, existing.limit(0)).count() == 60
 
 
+def test_contained_names_equal_a_search_of_the_text(spark, rows):
+    rng = random.Random(8)
+    parts = ["Test", "test_", "A", "b", "_", "(", " ", "\n", "t", "Te", "\u00a0", "é"]
+    texts = {f"p{i}": "".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for i in range(40)}
+    names = {(p, rng.choice(["Test", "test_"]) + "".join(rng.choice(["A", "b", "_", "(", "Test", "é"]) for _ in range(rng.randint(0, 3)))) for p in texts for _ in range(12)}
+    tests = spark.createDataFrame([("r", p, n) for p, n in names], "repo STRING, path STRING, name STRING")
+    existing = suite(spark, **texts)
+    want = sorted((p, n) for p, n in names if n not in texts[p])
+    assert 50 < len(want) < len(names) - 50
+    assert rows(dd.new_tests(tests, existing), "path", "name") == sorted(want, key=repr)
+    others = spark.createDataFrame([("r", "p1", "b"), ("r", "p1", "no such"), ("r", "p1", "TestNone")], tests.schema)
+    found = rows(dd.new_tests(others, suite(spark, p1="a b c"), any_name=True), "name")
+    assert found == [("TestNone",), ("no such",)]
+
+
 def test_path_join_is_a_hash_or_merge_join(spark):
     tests = spark.createDataFrame([("r", "p", "n")], "repo STRING, path STRING, name STRING")
     plan = dd.new_tests(tests, suite(spark, p="x"))._jdf.queryExecution().executedPlan().toString()
