@@ -1217,6 +1217,20 @@ from functional_cases""",
             "coverage_runs",
         ),
         # Streaming
+        "run_requests": f"""
+select {_repo('user_id')} as repo, user_id % 100 as pr_id, {_text('event_id')} as event_id,
+       case event_type when 'signup' then 'opened' when 'purchase' then 'synchronize' else 'reopened' end as kind,
+       case when row_number() over (partition by user_id % 10, user_id % 100 order by ts desc, {_text('event_id')} desc) = 1
+            then 'run' else 'superseded' end as outcome
+from events where event_type in ('signup', 'purchase', 'error')""".strip(),
+        "started_analyses": _sql(
+            f"""
+select * from ({_stats("repo, pr_id")})
+semi join (select {_repo('user_id')} as repo, user_id % 100 as pr_id from events
+           where event_type in ('signup', 'purchase', 'error')) using (repo, pr_id)""",
+            "modified_symbols",
+            "modified_modules",
+        ),
         "pr_events": """
 select event_id, user_id, case event_type when 'signup' then 'opened' when 'purchase' then 'synchronize'
        else 'reopened' end as kind

@@ -6,6 +6,7 @@ Long texts are returned as digests; the digest covers the whole text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from changelens.sources import coverage as src_cov
 from changelens.sources import profiles
 from changelens.sources import sinks
 from changelens.streaming import pr_events as stream
+from changelens.streaming import requests
 
 Query = Callable[[Views], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -946,6 +948,35 @@ def pr_events(v: Views) -> DataFrame:
     return v.spark.read.parquet(out).select("event_id", "user_id", "kind")
 
 
+def _run_requests(v: Views, analyse=None) -> str:
+    """Events as events of the pull requests of the change list, taken through keyed state."""
+    raw = stream.read_events(v.spark, v.sf_dir, v.table("events").schema, "events.parquet")
+    kinds = {"signup": "opened", "purchase": "synchronize", "error": "reopened"}
+    user = F.col("user_id")
+    events = raw.select(
+        F.concat(F.lit("repo"), (user % 10).cast("string")).alias("repo"), (user % 100).alias("pr_id"), "event_id",
+        F.col("ts").cast("timestamp").alias("ts"), text.lookup(F.col("event_type"), kinds, F.lit("other")).alias("kind"),
+    )
+    out = work_path(v.spark, "run-requests")
+    now = requests.Timing(pause=timedelta(0))
+    requests.start(events, out, work_path(v.spark, "run-requests-state"), now, analyse).awaitTermination()
+    return out
+
+
+@query
+def run_requests(v: Views) -> DataFrame:
+    """What became of every event: the newest of each request starts a run."""
+    rows = v.spark.read.parquet(f"{_run_requests(v)}/outcomes")
+    return rows.select("repo", "pr_id", "event_id", "kind", "outcome")
+
+
+@query
+def started_analyses(v: Views) -> DataFrame:
+    """The counters of the analyses that the stream has started."""
+    out = _run_requests(v, runs.analysis_of(_changes(v).drop("doc_id"), v.code_files(), CONFIG))
+    return v.spark.read.parquet(f"{out}/analysis").drop("batch")
+
+
 def as_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries in the form the driver calls."""
 

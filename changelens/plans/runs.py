@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -90,5 +91,18 @@ class ChangeAnalysis:
         )
 
 
+def analysis_of(
+    changes: DataFrame, files: DataFrame, config: JobConfig = JobConfig()
+) -> Callable[[DataFrame], DataFrame]:
+    """What a stream of run requests (repo, pr_id, ...) starts: the counters of these requests."""
+
+    def analyse(requests: DataFrame) -> DataFrame:
+        wanted = requests.select(*ch.KEYS).distinct()
+        mine = [table.join(wanted, list(ch.KEYS), "left_semi") for table in (changes, files)]
+        return ChangeAnalysis(*mine, config).generation_stats()
+
+    return analyse
+
+
 def symbol_counts(symbols: DataFrame, keys: tuple[str, ...] = ch.KEYS) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.count("*").alias("n_symbols"))
