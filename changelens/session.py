@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder of `spark.checkpoint.dir`; a temporary one only in local mode."""
@@ -28,6 +34,26 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, unless they find it by themselves:
+    its folder is on PYTHONPATH, or workers start in it."""
+    package = Path(__file__).resolve().parent
+    root, sc = str(package.parent), spark.sparkContext
+    by_path = root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if by_path or (sc.master.startswith("local") and os.getcwd() == root) or sc.applicationId in _SHIPPED:
+        return
+    # Spark serves the file as long as the session lives, so it stays.
+    shared = re.sub(r"^file:/+", "/", work_path(spark, "package"))
+    folder = shared if shared.startswith("/") else tempfile.mkdtemp(prefix="changelens-")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The same rows from reliable storage, so that no recomputation can change them."""
     shared_dir(df.sparkSession)
