@@ -356,35 +356,24 @@ def _matches_needed(na: Column, nb: Column, owna: Column, ownb: Column, settings
 
 
 def class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """key and full grams of the classes, from the text of one document each. A set may
-    come twice, and sets of other classes may come along."""
+    """key and full grams of the classes, from the text of one document each; some others
+    come along. Dealt and sorted by key and pinned like that, so that joins on the key move
+    the other side only."""
     ids = members.join(classes.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    return gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), settings), settings)
-
-
-def _sets_of(sets: DataFrame, keys: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The sets of the keys, and few others; one look-up per set and no shuffle."""
-    sent = sets.sparkSession.sparkContext.broadcast(_filter(keys, settings))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hit = sent.value.has(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(hit))
-
-    return sets.mapInArrow(run, "key long, grams array<long>")
+    found = gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), settings), settings)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pinned(found.repartition(parts, "key").dropDuplicates(["key"]).sortWithinPartitions("key"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    pairs = pinned(pairs.select("a", "b"))
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = pinned(_sets_of(sets, keys, settings))
-    left = wanted.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    right = wanted.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
+    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     union = F.size("grams_a") + F.size("grams_b") - F.col("common")
     return (
-        pairs.join(left, "a")
+        pairs.select("a", "b")
+        .join(left, "a")
         .join(right, "b")
         .select("a", "b", common.alias("common"), "grams_a", "grams_b")
         .where(F.col("common") * settings.den >= union * settings.num)
@@ -483,8 +472,7 @@ def _cluster_links(wide: DataFrame, sets: DataFrame, settings: JoinSettings) ->
     clusters = first.select("key", "component").distinct().join(found.union(alone.distinct()), "key")
     spread = clusters.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     clusters = pinned(clusters.join(spread.where("low <> high").select("cluster"), "cluster"))
-    whole = _sets_of(sets, clusters.select("key"), settings).dropDuplicates(["key"])
-    dealt = in_blocks(clusters.join(whole, "key"), "cluster", "key", settings.block)
+    dealt = in_blocks(clusters.join(sets, "key"), "cluster", "key", settings.block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 64):
@@ -526,7 +514,7 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = CONTRACT) -> tuple
     lists = pinned(
         lists.join(own, "key").where("level <= own").select("gram", "key", "n", "level", "own")
     )
-    sets = pinned(class_sets(docs, members, lists.select("key").distinct(), settings))
+    sets = class_sets(docs, members, lists.select("key").distinct(), settings)
     links = None
     for seed in range(settings.star_rounds):
         found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), sets, settings)
