@@ -2,16 +2,19 @@
 
 A shard file holds the ids of a run of documents as bit planes, highest bit first.
 Each plane is kept in the order that the planes above it give: rows with a 0 first,
-rows with a 1 after, both in their old order. With the number of ones before each
-block of a plane the file answers, without decoding the shard,
+rows with a 1 after, both in their old order. The file also holds, per plane, the number
+of ones before each block (the rank directory), and the planes are compressed in frames of
+their own with an offset table. An opened file (`ShardFile`) answers from the directory
+and the few frames that a question needs, without decoding the shard:
 
 * `access(i)`: the id at position i,
 * `count(id, end)`: how often an id occurs before a position,
 * `occurrence(id, k)`: where it occurs for the k-th time.
 
-Format, little-endian: 8 bytes magic, 4 bytes length of a JSON header, header,
-sections. The header names bits, tokens, and per section (documents, starts, one
-per plane) its place and size; sections are Zstandard frames.
+Format, little-endian: 8 bytes magic, 4 bytes length of a JSON header, header, sections.
+The header names bits, tokens, documents and the compressed size of every section:
+documents, starts, one directory per plane, then the frames of each plane, of `frame`
+bytes before compression. Sections are Zstandard frames.
 
 Documents are range-sorted by id, so shards and the documents in them are in
 ascending order. Defined results: a null text is encoded as an empty one (the end
@@ -38,8 +41,10 @@ from changelens.llm.common import slices
 from changelens.llm.stats import word_hashes, words_at
 from changelens.llm.storage import committed, opened
 
-MAGIC = b"WAVELET1"
+MAGIC = b"WAVELET2"
 _BLOCK = 4096  # bits between two entries of the rank directory
+_STEP = _BLOCK // 8
+_FRAME = 32 * _STEP  # bytes of a plane in one frame
 _KEPT_WORDS = 1_500_000
 _NO_ID = -(1 << 63)
 
@@ -72,20 +77,29 @@ class WaveletMatrix:
             rows = back
         return rows
 
+    def directory(self, plane: int) -> np.ndarray:
+        """Ones before each block of a plane, and in all of it."""
+        if self._before[plane] is None:
+            bits = self.planes[plane]
+            counts = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), _STEP), dtype=np.int64) if len(bits) else []
+            self._before[plane] = np.r_[0, np.cumsum(counts)].astype(np.int64)
+        return self._before[plane]
+
+    def block(self, plane: int, number: int) -> np.ndarray:
+        """The packed bits of a block."""
+        return self.planes[plane][number * _STEP : (number + 1) * _STEP]
+
     def _ones(self, plane: int, end: int) -> int:
         """Ones among the first `end` bits of a plane."""
-        bits, before = self.planes[plane], self._before[plane]
-        step = _BLOCK // 8
-        if before is None:
-            counts = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), step), dtype=np.int64) if len(bits) else []
-            before = self._before[plane] = np.r_[0, np.cumsum(counts)]
-        block = end // _BLOCK
-        part = bits[block * step : -(-end // 8)]
-        rest = np.unpackbits(part, bitorder="little")[: end - block * _BLOCK]
-        return int(before[block]) + int(np.count_nonzero(rest))
+        number, rest = divmod(end, _BLOCK)
+        before = int(self.directory(plane)[number])
+        if not rest:
+            return before
+        return before + int(np.count_nonzero(np.unpackbits(self.block(plane, number), bitorder="little")[:rest]))
 
     def _bit(self, plane: int, at: int) -> int:
-        return int(self.planes[plane][at >> 3]) >> (at & 7) & 1
+        number, rest = divmod(at, _BLOCK)
+        return int(self.block(plane, number)[rest >> 3]) >> (rest & 7) & 1
 
     def _down(self, plane: int, at: int, bit: int) -> int:
         ones = self._ones(plane, at)
@@ -127,71 +141,131 @@ class WaveletMatrix:
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """Position of the k-th bit (from 0) of a value in a plane."""
-        self._ones(plane, 0)
-        before = self._before[plane]
+        before = self.directory(plane)
         counts = before if bit else np.minimum(np.arange(len(before)) * _BLOCK, self.size) - before
-        block = int(np.searchsorted(counts, k, "right")) - 1
-        start = block * _BLOCK
-        count = min(_BLOCK, self.size - start)
-        step = _BLOCK // 8
-        part = np.unpackbits(self.planes[plane][block * step : (block + 1) * step], count=count, bitorder="little")
-        return start + int(np.flatnonzero(part == bit)[k - int(counts[block])])
+        number = int(np.searchsorted(counts, k, "right")) - 1
+        start = number * _BLOCK
+        part = np.unpackbits(self.block(plane, number), count=min(_BLOCK, self.size - start), bitorder="little")
+        return start + int(np.flatnonzero(part == bit)[k - int(counts[number])])
 
 
 def write_shard(stream, documents: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int) -> None:
     """documents: ids as int64, in order; starts: where each begins, and the end of the last."""
     packer = zstandard.ZstdCompressor(level=1)
     matrix = WaveletMatrix.of(ids, bits)
-    sections = [documents.astype("<i8"), starts.astype("<i8"), *matrix.planes]
+    frames = [plane[at : at + _FRAME] for plane in matrix.planes for at in range(0, len(plane), _FRAME)]
+    directories = [matrix.directory(plane).astype("<i8") for plane in range(bits)]
+    sections = [documents.astype("<i8"), starts.astype("<i8"), *directories, *frames]
     packed = [packer.compress(section.tobytes()) for section in sections]
-    sizes = [len(p) for p in packed]
-    header = json.dumps({"bits": bits, "tokens": len(ids), "documents": len(documents), "sections": sizes}).encode()
-    stream.write(MAGIC + len(header).to_bytes(4, "little") + header)
+    header = {"bits": bits, "tokens": len(ids), "documents": len(documents), "frame": _FRAME, "sections": list(map(len, packed))}
+    text = json.dumps(header).encode()
+    stream.write(MAGIC + len(text).to_bytes(4, "little") + text)
     for part in packed:
         stream.write(part)
 
 
-def read_shard(stream) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Documents, starts and matrix of a shard file."""
-    if stream.read(8) != MAGIC:
-        raise ValueError("not a wavelet shard")
-    header = json.loads(stream.read(int.from_bytes(stream.read(4), "little")))
-    unpack = zstandard.ZstdDecompressor().decompress
-    sections = [unpack(stream.read(size)) for size in header["sections"]]
-    planes = [np.frombuffer(s, np.uint8) for s in sections[2:]]
-    return (
-        np.frombuffer(sections[0], "<i8"),
-        np.frombuffer(sections[1], "<i8"),
-        WaveletMatrix(planes, header["tokens"]),
-    )
+class ShardFile(WaveletMatrix):
+    """An opened shard file; sections are read when a question needs them, and frames read
+    last are kept."""
+
+    KEPT = 64
+
+    def __init__(self, stream) -> None:
+        if stream.read(8) != MAGIC:
+            raise ValueError("not a wavelet shard")
+        size = int.from_bytes(stream.read(4), "little")
+        header = json.loads(stream.read(size))
+        self.stream, self.frame, self.sections = stream, header["frame"], header["sections"]
+        self.places = np.r_[0, np.cumsum(self.sections)] + 12 + size
+        self.size, self.bits = header["tokens"], header["bits"]
+        self.frames = -(-(-(-self.size // 8)) // self.frame)  # per plane
+        self._before = [None] * self.bits
+        self._kept: dict[int, bytes] = {}
+        self._unpack = zstandard.ZstdDecompressor().decompress
+
+    def _section(self, number: int) -> bytes:
+        self.stream.seek(int(self.places[number]))
+        return self._unpack(self.stream.read(self.sections[number]))
+
+    def documents(self) -> np.ndarray:
+        return np.frombuffer(self._section(0), "<i8")
+
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self._section(1), "<i8")
+
+    def directory(self, plane: int) -> np.ndarray:
+        if self._before[plane] is None:
+            self._before[plane] = np.frombuffer(self._section(2 + plane), "<i8")
+        return self._before[plane]
+
+    def block(self, plane: int, number: int) -> np.ndarray:
+        frame, at = divmod(number * _STEP, self.frame)
+        section = 2 + self.bits + plane * self.frames + frame
+        if section not in self._kept:
+            if len(self._kept) >= self.KEPT:
+                self._kept.pop(next(iter(self._kept)))
+            self._kept[section] = self._section(section)
+        return np.frombuffer(self._kept[section], np.uint8)[at : at + _STEP]
+
+    @property
+    def planes(self) -> list[np.ndarray]:
+        """All planes, decoded."""
+        first = 2 + self.bits
+        return [
+            np.frombuffer(b"".join(self._section(first + p * self.frames + i) for i in range(self.frames)), np.uint8)
+            for p in range(self.bits)
+        ]
 
 
 class _Store:
-    """Ids of words by the hash of the word: sorted runs, merged now and then."""
-
-    RUNS = 6
+    """Ids of words by the hash of the word, in a table with open addressing whose look-ups
+    and insertions work on whole arrays. At most half of the table is in use."""
 
     def __init__(self, dtype: type) -> None:
         self.dtype = dtype
         self.clear()
 
     def clear(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hash, start, length
         self.ids = np.empty(1 << 16, self.dtype)
         self.used = self.words = 0
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._empty(1 << 16)
+
+    def _empty(self, size: int) -> None:
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros(size, np.uint64)  # 0: free
+        self.rows = np.zeros(size, np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of each word's ids; start -1 if the word is not here."""
+        wanted = np.maximum(hashes, np.uint64(1))
+        at = wanted & self.mask
+        held = self.keys[at]
+        row = np.where(held == wanted, self.rows[at], -1)
+        open_ = np.flatnonzero((held != wanted) & (held != 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + np.uint64(1)) & self.mask
+            held, mine = self.keys[at], wanted[open_]
+            hit = held == mine
+            row[open_[hit]] = self.rows[at[hit]]
+            going = ~hit & (held != 0)
+            open_, at = open_[going], at[going]
+        known = row >= 0
         start, length = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        open_ = np.arange(len(hashes))
-        for keys, starts, lengths in self.runs:
-            at = np.searchsorted(keys, hashes[open_])
-            at[at == len(keys)] = 0
-            hit = keys[at] == hashes[open_]
-            start[open_[hit]], length[open_[hit]] = starts[at[hit]], lengths[at[hit]]
-            open_ = open_[~hit]
+        start[known], length[known] = self.starts[row[known]], self.lengths[row[known]]
         return start, length
 
+    def _insert(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        wanted = np.maximum(hashes, np.uint64(1))
+        at = wanted & self.mask
+        while len(wanted):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = wanted[free]  # of several for one place the last stays
+            placed = self.keys[at] == wanted
+            self.rows[at[placed]] = rows[placed]
+            wanted, rows, at = wanted[~placed], rows[~placed], (at[~placed] + np.uint64(1)) & self.mask
+
     def add(self, hashes: np.ndarray, packed: list[bytes]) -> None:
         """Distinct words that are not here, with their packed ids."""
         if not packed:
@@ -201,17 +275,17 @@ class _Store:
         if self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(new), self.dtype)])
         self.ids[self.used : self.used + len(new)] = new
-        starts = self.used + np.cumsum(lengths) - lengths
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(new)
         self.words += len(packed)
-        self.runs.append((hashes, starts, lengths))
-        if len(self.runs) > self.RUNS:
-            merged = [np.concatenate(column) for column in zip(*self.runs, strict=True)]
-            order = np.argsort(merged[0])
-            self.runs = [tuple(column[order] for column in merged)]
-        else:
-            order = np.argsort(hashes)
-            self.runs[-1] = (hashes[order], starts[order], lengths[order])
+        rows = np.arange(self.words - len(packed), self.words, dtype=np.int32)
+        if 2 * self.words > len(self.keys):
+            full = self.keys != 0
+            held, old = self.keys[full], self.rows[full]
+            self._empty(1 << (4 * self.words - 1).bit_length())
+            self._insert(held, old)
+        self._insert(hashes, rows)
 
 
 class WordEncoder:
@@ -307,24 +381,24 @@ class WordEncoder:
         data = [t.encode("utf-8", "replace") for t in texts]
         parts = [words_at(d) for d in data]
         hashes = np.concatenate([p[0] for p in parts])
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if self.store.words > _KEPT_WORDS:
             self.store.clear()
-        start, length = self.store.find(distinct)
-        new = np.flatnonzero(start < 0)
-        if len(new):
+        start, lengths = self.store.find(hashes)
+        missing = np.flatnonzero(start < 0)
+        if len(missing):
+            distinct, first = np.unique(hashes[missing], return_index=True)
+            first = missing[first]
             ends = np.cumsum([len(p[0]) for p in parts])
-            text_of = np.searchsorted(ends, first[new], "right")
+            text_of = np.searchsorted(ends, first, "right")
             words = []
-            for i, t in zip(first[new].tolist(), text_of.tolist(), strict=True):
+            for i, t in zip(first.tolist(), text_of.tolist(), strict=True):
                 k = i - (int(ends[t - 1]) if t else 0)
                 words.append(data[t][parts[t][1][k] : parts[t][2][k]].decode())
-            self._learn(distinct[new], words)
-            start, length = self.store.find(distinct)
-        lengths = length[inverse]
+            self._learn(distinct, words)
+            start[missing], lengths[missing] = self.store.find(hashes[missing])
         before = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
-        ids = self.store.ids[np.repeat(start[inverse] - before, lengths) + np.arange(total)]
+        ids = self.store.ids[np.repeat(start - before, lengths) + np.arange(total)]
         bounds = np.r_[0, np.cumsum(lengths)]
         cuts = bounds[np.r_[0, np.cumsum([len(p[0]) for p in parts])]]
         return ids, np.diff(cuts)
@@ -388,8 +462,9 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
         for batch in batches:
             for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with opened(folder, name) as stream:
-                    documents, starts, matrix = read_shard(stream)
-                ids = matrix.values(np.uint16 if matrix.bits <= 16 else np.uint32).astype("<u4")
+                    shard = ShardFile(stream)
+                    documents, starts = shard.documents(), shard.starts()
+                    ids = shard.values(np.uint16 if shard.bits <= 16 else np.uint32).astype("<u4")
                 for at in range(0, len(documents), 4096):
                     some = documents[at : at + 4096]
                     cuts = starts[at : at + len(some) + 1]

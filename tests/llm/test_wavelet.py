@@ -19,8 +19,8 @@ def test_access_count_and_occurrence(size):
     stream = io.BytesIO()
     wv.write_shard(stream, np.array([4]), np.array([0, size]), ids, 9)
     stream.seek(0)
-    documents, starts, matrix = wv.read_shard(stream)
-    assert documents.tolist() == [4] and starts.tolist() == [0, size]
+    matrix = wv.ShardFile(stream)
+    assert matrix.documents().tolist() == [4] and matrix.starts().tolist() == [0, size]
     assert matrix.values(np.uint16).tolist() == ids.tolist()
     for at in range(0, size, 41):
         assert matrix.access(at) == ids[at]
@@ -33,6 +33,47 @@ def test_access_count_and_occurrence(size):
             matrix.occurrence(value, len(places))
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_an_opened_file_reads_only_the_frames_it_needs():
+    size = 2_000_000
+    ids = np.random.default_rng(3).integers(0, 40_000, size).astype(np.uint16)
+    plain = io.BytesIO()
+    wv.write_shard(plain, np.array([1]), np.array([0, size]), ids, 16)
+    value = int(ids[1_234_567])
+    places = np.flatnonzero(ids == value)
+    for question, answer, share in (
+        (lambda m: m.access(1_234_567), value, 0.1),
+        (lambda m: m.count(value, size // 2), int((ids[: size // 2] == value).sum()), 0.15),
+        (lambda m: m.occurrence(value, len(places) - 1), int(places[-1]), 0.2),
+    ):
+        stream = Counted(plain.getvalue())
+        assert question(wv.ShardFile(stream)) == answer
+        assert stream.taken < share * len(plain.getvalue())
+
+
+def test_store_finds_what_was_added():
+    rng = np.random.default_rng(9)
+    store, known = wv._Store(np.uint16), {}
+    for _ in range(6):
+        hashes = np.unique(np.r_[rng.integers(0, 1 << 63, 30_000, np.uint64), rng.integers(0, 300, 20, np.uint64) << np.uint64(40)])
+        hashes = hashes[[int(h) not in known for h in hashes]]
+        packed = [np.arange(int(h) % 5, dtype=np.uint16).tobytes() for h in hashes]
+        store.add(hashes, packed)
+        known.update(zip(hashes.tolist(), packed, strict=True))
+    asked = np.array([*known, *range(2, 500)], np.uint64)
+    start, length = store.find(asked)
+    assert (start[len(known) :] < 0).all() and (start[: len(known)] >= 0).all()
+    assert all(store.ids[s : s + n].tobytes() == p for s, n, p in zip(start.tolist(), length.tolist(), known.values(), strict=False))
+
+
 def texts():
     rng = random.Random(1)
     made = ["".join(rng.choice("aB'sdé 1.,!\n\tΣÅİ") for _ in range(40)) for _ in range(1500)]
