@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 RECORD_SPACE = uuid.UUID("8c1f1c54-6d0e-5d55-9a53-1c0b3f6a2b11")
 DATE = "2000-01-01T00:00:00Z"
 
+_LENGTH = re.compile(rb"(?im)^content-length: *([0-9]+) *\r?$")
 MANIFEST = "file string, records long, bytes long, sha1 string"
 
 
@@ -173,19 +175,25 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, mi
     return pages.sparkSession.read.parquet(path)
 
 
+_READ, _FEED = 1 << 20, 1 << 14
+
+
 def _members(stream: pa.NativeFile) -> Iterator[bytes]:
-    """The decompressed gzip members of a file, one at a time."""
-    data = b""
+    """The decompressed gzip members of a file, one at a time. A member is fed in small
+    pieces, so what is left over at its end, and copied, is small."""
+    data, at = memoryview(b""), 0
     while True:
         reader, parts = zlib.decompressobj(31), []
         while not reader.eof:
-            data = data or stream.read(1 << 20)
-            if not data:
-                if parts:
-                    raise ValueError("the file ends inside a record")
-                return
-            parts.append(reader.decompress(data))
-            data = reader.unused_data if reader.eof else b""
+            if at == len(data):
+                data, at = memoryview(stream.read(_READ)), 0
+                if not len(data):
+                    if parts:
+                        raise ValueError("the file ends inside a record")
+                    return
+            piece = data[at : at + _FEED]
+            parts.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
         yield b"".join(parts)
 
 
@@ -209,9 +217,9 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 
 
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """page_id, url, record_type, payload_digest, refers_to and payload (null for revisits,
-    or a null column) of all records that the manifest names; digests are checked. Also
-    payload_bytes, which a revisit has from its response."""
+    """page_id, url, record_type, payload_digest, refers_to, payload (null for revisits, or
+    a null column) and payload_bytes of all records that the manifest names, in one reading;
+    digests are checked. A revisit holds the response's headers, which state the length."""
     names = spark.read.parquet(f"{folder.rstrip('/')}/_manifest").select("file")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +245,11 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
             return None
         if headers["warc-block-digest"] != f"sha1:{digest(block)}":
             raise ValueError(f"damaged block of {headers['warc-record-id']}")
-        payload, size = None, None
         stated = headers["warc-payload-digest"].removeprefix("sha1:")
-        if kind == "response":
-            payload = block.partition(b"\r\n\r\n")[2]
-            size = len(payload)
-            if digest(payload) != stated:
-                raise ValueError(f"damaged payload of {headers['warc-record-id']}")
+        head, _, payload = block.partition(b"\r\n\r\n")
+        size = int(_LENGTH.search(head)[1])
+        if kind == "response" and (len(payload) != size or digest(payload) != stated):
+            raise ValueError(f"damaged payload of {headers['warc-record-id']}")
         page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
         return (
             None if page is None else int(page),
@@ -251,7 +257,7 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
             kind,
             stated,
             None if refers is None else int(refers),
-            payload if with_payload else None,
+            payload if with_payload and kind == "response" else None,
             size,
         )
 
@@ -261,21 +267,9 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
         arrays[5] = arrays[5].cast(pa.string())
         return pa.RecordBatch.from_arrays(
-            arrays, ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "stored_bytes"]
+            arrays, ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "payload_bytes"]
         )
 
-    # One partition a file, so that files are read side by side.
-    files = names.repartition(max(1, names.count()), "file")
-    read = files.mapInArrow(records, f"{RECORDS}, stored_bytes long")
-    sizes = (
-        read.where("record_type = 'response'")
-        .select(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"), "stored_bytes")
-        .withColumnRenamed("stored_bytes", "of_bytes")
-        .dropDuplicates(["of_page", "of_digest"])
-    )
-    resolved = read.join(
-        sizes, (F.col("refers_to") == F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest")), "left"
-    )
-    return resolved.withColumn("payload_bytes", F.coalesce("stored_bytes", "of_bytes")).drop(
-        "stored_bytes", "of_page", "of_digest", "of_bytes"
-    )
+    # By ranges of the name each file is a partition of its own.
+    files = names.repartitionByRange(max(1, names.count()), "file")
+    return files.mapInArrow(records, f"{RECORDS}, payload_bytes long")
