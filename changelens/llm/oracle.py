@@ -45,6 +45,20 @@ def _words(text: str) -> str:
     return f"coalesce(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
 
 
+# Base32 of a SHA-1: each five hexadecimal digits are four letters.
+OP4_WARC = """
+WITH hashed AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM last
+"""
+
+
 OP11_IMPORTANCE_RESAMPLING = f"""
 WITH {_CRC_TABLE},
 rows AS (SELECT row_number() OVER () AS row, doc_id, {_words("text")} AS words FROM documents),
@@ -130,4 +144,10 @@ FROM counted JOIN sums USING (conv_id, depth)
 
 
 def statements() -> dict[str, str]:
-    return {"op9_mixing": OP9_MIXING, "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING, "op12_decontamination": OP12_DECONTAMINATION, "op13_conversation_trie": OP13_CONVERSATION_TRIE}
+    return {
+        "op4_warc": OP4_WARC,
+        "op9_mixing": OP9_MIXING,
+        "op11_importance_resampling": OP11_IMPORTANCE_RESAMPLING,
+        "op12_decontamination": OP12_DECONTAMINATION,
+        "op13_conversation_trie": OP13_CONVERSATION_TRIE,
+    }
