@@ -6,15 +6,19 @@ pages; an unknown word of k letters counts 10 / (N * 10^k). Multinomial naive Ba
 then scores host words and path tokens, learned from the pages that rules decide. Log
 ratios are rounded to a multiple of 2^-20, so that sums don't depend on their order.
 
-Words reach names by a join on the name's substrings (at most `longest` per letter),
-so the vocabulary is never broadcast; names, hosts and urls are worked on once each,
-however many pages have them.
+Words reach names by a join on the name's substrings (at most `longest` per letter):
+words of more letters are not counted, and a longer name is always split. Names, hosts
+and urls are worked on once each, however many pages have them. The vocabulary and the
+weights of features are broadcast while they have at most 500,000 rows, because some
+words and features are very frequent, and are joined by exchange beyond that.
 
 Defined results: a null url, or one without "://", has an empty host and path; no rule
 fits these and only the share of blocked pages speaks for them; without any page that
 a rule decides all scores are 0; a score of 0 or less allows; repeated rows get equal
-verdicts; a null html has no words; ids may be null; an empty table gives an empty
-result. Other columns are ignored.
+verdicts; a null html has no words; html, hosts and paths of any length are read whole;
+scripts and styles count up to their closing tag, an opening one that nothing closes is a
+tag like others; ids may be null; an empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import pinned, slices
+from changelens.llm.common import let, pinned, slices
 
 # (verdict, host, path)
 Rule = tuple[str, str, str]
 _SCALE = 1 << 20
+_BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,10 +62,28 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return names, verdicts
 
 
+def _without(html: Column, kind: str) -> Column:
+    """The text without elements of a kind; an opening tag that nothing closes stays."""
+
+    def kept(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.transform(
+            parts, lambda p, i: F.when(i < last, F.regexp_replace(p, rf"(?is)<{kind}\b.*", " ")).otherwise(p)
+        )
+
+    return F.array_join(let(F.split(html, f"(?i)</{kind}>", -1), kept), " ")
+
+
+def visible_text(html: Column) -> Column:
+    """The text of a page without scripts, styles and tags. Whatever precedes a closing tag
+    is searched once for its opening tag, so many unclosed ones cost no more than few."""
+    return F.regexp_replace(_without(_without(html, "script"), "style"), "<[^<>]*>", " ")
+
+
 def page_words(pages: DataFrame, longest: int) -> DataFrame:
-    """word and n: counts over the visible text of all pages, added up before the shuffle."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
-    words = F.split(F.lower(text), r"\P{L}+")
+    """word and n: counts over the visible text of all pages, added up before the shuffle.
+    Words of more than `longest` letters are left out."""
+    words = F.split(F.lower(visible_text(F.col("html"))), r"\P{L}+")
     return (
         pages.select(F.explode(words).alias("word"))
         .where(F.length("word").between(1, longest))
@@ -69,6 +92,11 @@ def page_words(pages: DataFrame, longest: int) -> DataFrame:
     )
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, broadcast if it is small: what it is joined with has very frequent keys."""
+    return F.broadcast(table) if rows <= _BROADCAST_ROWS else table
+
+
 def best_split(name: str, known: dict[tuple[int, int], int], total: int, longest: int) -> list[str]:
     """Unigram Viterbi: known has the count of the word at (start, end)."""
     best = [(0.0, 0)]
@@ -95,6 +123,7 @@ def segmented_names(names: DataFrame, words: DataFrame, longest: int) -> DataFra
         "name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name") - F.col("start")))).alias("size")
     )
     parts = parts.withColumn("word", F.substring(F.col("name"), F.col("start") + 1, F.col("size")))
+    words = _small(words, words.count())
     found = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +181,7 @@ def judged_urls(pages: DataFrame, rules: Sequence[Rule], longest: int = 20) -> D
     weights = counts.select("feature", F.round(ratio * _SCALE).cast("long").alias("weight"))
     if not (known[0] or known[1]):
         weights = weights.withColumn("weight", F.lit(0).cast("long"))
-    scores = features.where("decided is null").join(weights, "feature").groupBy("host", "path").agg(F.sum("weight").alias("sum"))
+    scores = features.where("decided is null").join(_small(weights, total[0]), "feature").groupBy("host", "path").agg(F.sum("weight").alias("sum"))
     start = round(prior * _SCALE)
     scored = placed.join(scores, ["host", "path"], "left")
     score = F.when(F.col("decided").isNull(), (F.coalesce("sum", F.lit(0)) + start) / _SCALE)

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -106,3 +107,28 @@ def test_without_decided_pages_and_empty(spark):
     rows = urls.judged_urls(table(spark, [(1, "http://x.org/a", None), (2, None, None)]), URL_RULES).collect()
     assert {(r["verdict"], r["score"]) for r in rows} == {("allow", 0.0)}
     assert urls.judged_urls(table(spark, []), URL_RULES).collect() == []
+
+
+def test_visible_text(spark):
+    pages = {
+        "a<script>x</SCRIPT>b": "a b", "a<style t=1>x\ny</style>b<p>c</p>": "a b c", "a<script>b": "a b",
+        "<scripts>a</scripts>": "a", "a</script>b": "a b", "<style><script>x</script>y</style>z": "z", None: "", "1 < 2 <b>x</b>": "1 < 2 x",
+    }
+    df = spark.createDataFrame([(h,) for h in pages], "h string")
+    got = {r["h"]: " ".join((r["t"] or "").split()) for r in df.select("h", urls.visible_text(F.col("h")).alias("t")).collect()}
+    assert got == pages
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<style x", "<", "<script></style>"])
+def test_a_long_page_of_open_tags_takes_linear_time(spark, piece):
+    html = piece * (1_000_000 // len(piece)) + " end"
+    begin = time.time()
+    words = urls.page_words(table(spark, [(1, "u", html)]), 20).collect()
+    assert time.time() - begin < 10 and "end" in {r["word"] for r in words}
+
+
+def test_small_and_large_word_tables_agree(spark, monkeypatch):
+    rows = [*pages(), (300, f"http://{'ab' * 3000}.org/{'x' * 20_000}", "<p>" * 20_000)]
+    first = sorted(map(str, urls.judged_urls(table(spark, rows), URL_RULES).collect()))
+    monkeypatch.setattr(urls, "_BROADCAST_ROWS", 0)
+    assert sorted(map(str, urls.judged_urls(table(spark, rows), URL_RULES).collect())) == first
