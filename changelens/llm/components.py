@@ -61,17 +61,20 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest reachable id) of every node that has an edge.
 
     `edges` has two columns of one integer type, in any order, with repeats and
-    loops allowed; edges with a null end are ignored.
+    loops allowed; edges with a null end are ignored. They are read twice, so they should
+    be pinned. Every round is written in few files, a million edges each.
     """
     a, b = edges.columns
+    files = 1 + edges.count() // 1_000_000
     stars = pinned(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
+        .coalesce(files)
     )
     seen = _print(stars)
     while seen[0]:
-        stars = pinned(_small_star(_large_star(stars)))
+        stars = pinned(_small_star(_large_star(stars)).coalesce(files))
         now = _print(stars)
         if now == seen:
             break

@@ -65,7 +65,8 @@ class JoinSettings:
     pair with pivots before all remaining pairs are formed; most_bits: largest size of a
     filter that is sent to the tasks (a fuller one lets more pass, which costs time only);
     wide: longest list that is paired by a join; longer ones are compared in blocks of at
-    most `block` classes."""
+    most `block` classes; docs_per_file: intermediate tables are kept in one file for so
+    many documents."""
 
     width: int = 5
     num: int = 80
@@ -77,6 +78,7 @@ class JoinSettings:
     most_bits: int = 1 << 30
     wide: int = 32
     block: int = 512
+    docs_per_file: int = 50_000
 
 
 CONTRACT = JoinSettings(width=4, num=85, den=100)
@@ -188,9 +190,14 @@ class _Counting:
 _PACKED = "part int, once binary, many binary, counts binary"
 
 
-def _filter(keys: DataFrame, settings: JoinSettings) -> Bloom:
+def _kept(rows: DataFrame, files: int) -> DataFrame:
+    """The rows pinned in so many files at most."""
+    return pinned(rows.coalesce(files))
+
+
+def _filter(keys: DataFrame, files: int, settings: JoinSettings) -> Bloom:
     """A filter of the keys with 16 bits for each, within `most_bits`."""
-    keys = pinned(keys)
+    keys = _kept(keys, files)
     return bloom_of(keys, min(1 << max(16, (16 * keys.count()).bit_length()), settings.most_bits))
 
 
@@ -355,12 +362,12 @@ def _matches_needed(na: Column, nb: Column, owna: Column, ownb: Column, settings
     return F.greatest(F.least(owna, ownb), overlap - F.greatest(behind(na, owna), behind(nb, ownb)))
 
 
-def class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, settings: JoinSettings) -> DataFrame:
+def class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
     """key and full grams of the classes, from the text of one document each; some others
     come along. Dealt and sorted by key and pinned like that, so that joins on the key move
     the other side only."""
     ids = members.join(classes.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    found = gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), settings), settings)
+    found = gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), files, settings), settings)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pinned(found.repartition(parts, "key").dropDuplicates(["key"]).sortWithinPartitions("key"))
 
@@ -398,7 +405,7 @@ def _pivot_pairs(lists: DataFrame, seed: int, settings: JoinSettings) -> DataFra
     )
 
 
-def _rest_links(lists: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+def _rest_links(lists: DataFrame, sets: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
     """Links (a, b) between classes of different components that connect all that are
     similar. Pairs that share a long list at level 1 are compared in blocks; any others
     share only short lists at that level and come from the join."""
@@ -406,7 +413,7 @@ def _rest_links(lists: DataFrame, sets: DataFrame, settings: JoinSettings) -> Da
         F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     spread = sizes.where("low <> high").select("gram", "held")
-    rows = pinned(lists.join(spread, "gram"))
+    rows = _kept(lists.join(spread, "gram"), files)
     wide = rows.where(F.col("held") > settings.wide)
     in_wide = wide.groupBy("key").agg(F.count(F.lit(1)).alias("in_wide"))
     narrow = rows.where(F.col("held") <= settings.wide).join(in_wide, "key", "left").fillna(0, ["in_wide"])
@@ -414,7 +421,7 @@ def _rest_links(lists: DataFrame, sets: DataFrame, settings: JoinSettings) -> Da
     components_of = lists.select("key", "component").distinct()
     ends = joined.join(components_of.toDF("a", "ca"), "a").join(components_of.toDF("b", "cb"), "b")
     links = ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    return links.union(_cluster_links(wide, sets, settings))
+    return links.union(_cluster_links(wide, sets, files, settings))
 
 
 def _narrow_pairs(lists: DataFrame, settings: JoinSettings) -> DataFrame:
@@ -461,17 +468,17 @@ def _similar(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, setti
     return left[i], right[j]
 
 
-def _cluster_links(wide: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+def _cluster_links(wide: DataFrame, sets: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
     """Links between components in clusters of classes that long lists connect at level 1.
     Every two classes of a cluster meet in one block; links are those of a spanning forest
     over the components of the block."""
     first = wide.where("level = 1").select("gram", "key", "component")
     leads = first.groupBy("gram").agg(F.min("key").alias("lead"))
-    found = components(first.join(leads, "gram").select("key", "lead")).toDF("key", "cluster")
+    found = components(_kept(first.join(leads, "gram").select("key", "lead"), files)).toDF("key", "cluster")
     alone = leads.select(F.col("lead").alias("key"), F.col("lead").alias("cluster")).join(found, "key", "left_anti")
     clusters = first.select("key", "component").distinct().join(found.union(alone.distinct()), "key")
     spread = clusters.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    clusters = pinned(clusters.join(spread.where("low <> high").select("cluster"), "cluster"))
+    clusters = _kept(clusters.join(spread.where("low <> high").select("cluster"), "cluster"), files)
     dealt = in_blocks(clusters.join(sets, "key"), "cluster", "key", settings.block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,22 +512,21 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = CONTRACT) -> tuple
     """Documents (doc_id, n, key) and links (a, b) between keys whose components are
     those of all similar pairs of different sets."""
     counting = _Counting(docs)
-    frequent = _filter(frequent_grams(docs, counting, settings), settings)
+    files = 1 + docs.count() // settings.docs_per_file
+    frequent = _filter(frequent_grams(docs, counting, settings), files, settings)
     members = pinned(prefixes(docs, frequent, counting, settings))
-    shared = _filter(shared_grams(members, counting), settings)
-    classes = pinned(possible_matches(members, shared, counting, settings).dropDuplicates(["key"]))
-    lists = pinned(postings(classes, settings))
+    shared = _filter(shared_grams(members, counting), files, settings)
+    classes = _kept(possible_matches(members, shared, counting, settings).dropDuplicates(["key"]), files)
+    lists = _kept(postings(classes, settings), files)
     own = choose_levels(lists, settings)
-    lists = pinned(
-        lists.join(own, "key").where("level <= own").select("gram", "key", "n", "level", "own")
-    )
-    sets = class_sets(docs, members, lists.select("key").distinct(), settings)
+    lists = _kept(lists.join(own, "key").where("level <= own").select("gram", "key", "n", "level", "own"), files)
+    sets = class_sets(docs, members, lists.select("key").distinct(), files, settings)
     links = None
     for seed in range(settings.star_rounds):
-        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), sets, settings)
-        links = pinned(found if links is None else links.union(found))
-    found = _rest_links(pinned(_labelled(lists, links)), sets, settings)
-    links = pinned(found if links is None else links.union(found))
+        found = verified(_kept(_pivot_pairs(_labelled(lists, links), seed, settings), files), sets, settings)
+        links = _kept((found if links is None else links.union(found)).repartition(files), files)
+    found = _rest_links(_kept(_labelled(lists, links), files), sets, files, settings)
+    links = _kept((found if links is None else links.union(found)).repartition(files), files)
     return members.select("doc_id", "n", "key"), links
 
 
