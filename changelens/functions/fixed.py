@@ -78,6 +78,9 @@ TEST_NAME_ENDINGS = (
     "_error_handling",
 )
 
+# Words before a parenthesis that are no call.
+NOT_CALLED = ("and", "assert", "def", "elif", "for", "func", "if", "in", "not", "or", "return", "switch", "while")
+
 # Share of changed lines taken as covered when symbols changed.
 COVERED_SHARE = 0.7
 

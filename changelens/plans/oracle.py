@@ -175,6 +175,15 @@ _SUITE_BODY = _fill(
     id=_text("doc_id"),
     kind="(case when doc_id % 3 = 0 then '_HappyPath' else '_Other' end)",
 )
+_HELPER_BODY = _fill(
+    "package suite\n\nfunc TestDeep_{id}(t *testing.T) {\n\tcheck_{id}(t)\n}\n\nfunc check_{id}(t *testing.T) {\n"
+    "\tif (true) { verify_{id} (t, 1) }\n}\n\nfunc verify_{id}(t *testing.T, n int) {\n\tload_{id}(n, 2)\n}\n\n"
+    "func TestRound_{id}(t *testing.T) {\n\tping_{id}()\n}\nfunc ping_{id}() { pong_{id}() }\nfunc pong_{id}() { ping_{id}() }\n"
+    "func TestNext_{id}(t *testing.T) {\n\tcheck_{next}(t)\n}\nfunc TestNothing_{id}(t *testing.T) {}\n"
+    "def test_direct_{id}():\n    assert load_{id}(1, 2)\n",
+    id=_text("doc_id"),
+    next=_text("doc_id + 10"),
+)
 _GENERATED_BODY = "('package main' || chr(10) || chr(10)" + "".join(
     " || "
     + _fill(
@@ -375,6 +384,27 @@ symbols as (
            regexp_extract_all(content, '{fixed.SCRIPT_FUNCTION}', 2),
            regexp_extract_all(content, 'class\\s+(\\w+)', 1)) end) as name
   from head_files)""",
+    ),
+    "test_calls": (
+        ("head_symbols",),
+        f"""helper_lines as (
+  select {_repo('doc_id')} as repo, doc_id, unnest(string_split(content, {NL})) as line,
+         generate_subscripts(string_split(content, {NL}), 1) as line_no
+  from (select doc_id, {_HELPER_BODY} || text as content from documents)),
+helper_heads as (
+  select *, sum(case when regexp_matches(line, '^[ \\t]*(?:func|def)[ \\t]') then 1 else 0 end)
+            over (partition by doc_id order by line_no) as part from helper_lines),
+helper_names as (
+  select repo, doc_id, part, line, first_value(regexp_extract(line, '^[ \\t]*(?:func|def)[ \\t]+(?:\\([^)]*\\)[ \\t]*)?(\\w+)', 1))
+            over (partition by doc_id, part order by line_no) as caller from helper_heads where part > 0),
+test_calls as (
+  select distinct repo, caller, callee
+  from (select repo, caller, unnest(regexp_extract_all(line, '(\\w+)[ \\t]*\\(', 1)) as callee from helper_names where caller <> '')
+  where callee <> caller and callee not in ({', '.join(_lit(w) for w in fixed.NOT_CALLED)})),
+alive_functions as (
+  select e.repo, e.caller as name from test_calls e join head_symbols h on h.repo = e.repo and h.name = e.callee
+  union
+  select e.repo, e.caller from alive_functions a join test_calls e on a.repo = e.repo and a.name = e.callee)""",
     ),
     "modified_symbols": (
         ("symbols", "change_rows"),
@@ -997,6 +1027,13 @@ where whole <> ''
             "existing_names",
             "head_symbols",
         ),
+        "unreached_tests": _sql(
+            f"""
+select distinct repo, caller as test_name from test_calls e
+where regexp_matches(caller, '^(Test|test_)')
+  and not exists (select 1 from alive_functions a where a.repo = e.repo and a.name = e.caller)""",
+            "test_calls",
+        ),
         "run_summary": _sql(_RUN_SUMMARY, "modified_symbols", "modified_modules", "pairs", "pull_requests"),
         # Coverage
         "coverage_from_log": _sql("select run_id, go_first as pct from log_percents", "log_percents"),
@@ -1216,6 +1253,14 @@ from functional_cases""",
             "where kind = 'baseline' group by repo_key",
             "coverage_runs",
         ),
+        "stored_suite": _sql(
+            f"select repo, path, content_md5 from ({_merged(True)})", "pairs"
+        ),
+        "stored_baselines": _sql(
+            "select cast(repo_key as varchar) as repo, max_by(pct, (ts, run_id)) as coverage from coverage_runs "
+            "where kind = 'baseline' group by repo_key",
+            "coverage_runs",
+        ),
         # Streaming
         "run_requests": f"""
 select {_repo('user_id')} as repo, user_id % 100 as pr_id, {_text('event_id')} as event_id,

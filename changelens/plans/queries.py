@@ -19,7 +19,7 @@ from changelens.operators import covered
 from changelens.operators import dedup as dd
 from changelens.operators import hunks
 from changelens.operators import responses as rs
-from changelens.operators import renames, rules
+from changelens.operators import reach, renames, rules
 from changelens.operators import symbols as sy
 from changelens.operators import testplan as tp
 from changelens.plans import runs
@@ -29,7 +29,7 @@ from changelens.sources import changes as src_changes
 from changelens.sources import code as src_code
 from changelens.sources import coverage as src_cov
 from changelens.sources import profiles
-from changelens.sources import sinks
+from changelens.sources import sinks, versions
 from changelens.streaming import pr_events as stream
 from changelens.streaming import requests
 
@@ -503,6 +503,12 @@ def obsolete_tests(v: Views) -> DataFrame:
     return dd.obsolete_tests(names, sy.symbols(v.head_files())).select("repo", "test_name")
 
 
+@query
+def unreached_tests(v: Views) -> DataFrame:
+    """Tests that reach no symbol of the head snapshot, also not through helper functions."""
+    return reach.unreached_tests(v.helper_tests(), sy.symbols(v.head_files()))
+
+
 @query
 def run_summary(v: Views) -> DataFrame:
     keys = REPO
@@ -928,6 +934,30 @@ def baseline_sink(v: Views) -> DataFrame:
     return sinks.newest_baselines(v.spark.read.parquet(out))
 
 
+@query
+def stored_suite(v: Views) -> DataFrame:
+    """The suite as a versioned table: stored, integrated by a run, the run repeated."""
+    suite = versions.VersionedTable(v.spark, work_path(v.spark, "suite"), ["repo", "path"], buckets=8)
+    existing = v.existing_tests()
+    suite.upsert(existing, "suite")
+    changed = dd.integrate_files(v.generated_files(), existing).where(F.col("action").isin("copied", "merged"))
+    for _ in range(2):
+        suite.upsert(changed.select("repo", "path", "content"), "integration")
+    return suite.read().select("repo", "path", F.md5("content").alias("content_md5"))
+
+
+@query
+def stored_baselines(v: Views) -> DataFrame:
+    """The newest baseline per project after two updates that overlap in time."""
+    found = v.coverage_runs().where(F.col("kind") == "baseline").select(
+        F.col("repo_key").cast("string").alias("repo"), "ts", "run_id", F.col("pct").alias("coverage")
+    )
+    table = versions.VersionedTable(v.spark, work_path(v.spark, "baselines"), ["repo"], ["ts", "run_id"], buckets=8)
+    for n in (1, 0):
+        table.upsert(found.where(F.col("run_id") % 2 == n), f"part {n}")
+    return table.read().select("repo", "coverage")
+
+
 # Streaming
 
 

@@ -239,6 +239,21 @@ class Views:
             .select("repo", self._test_path().alias("path"), body.alias("content"))
         )
 
+    def helper_tests(self) -> DataFrame:
+        """repo, path, content: test files whose tests go through helpers; the document's text follows."""
+        body = fill(
+            "package suite\n\nfunc TestDeep_{id}(t *testing.T) {\n\tcheck_{id}(t)\n}\n\nfunc check_{id}(t *testing.T) {\n"
+            "\tif (true) { verify_{id} (t, 1) }\n}\n\nfunc verify_{id}(t *testing.T, n int) {\n\tload_{id}(n, 2)\n}\n\n"
+            "func TestRound_{id}(t *testing.T) {\n\tping_{id}()\n}\nfunc ping_{id}() { pong_{id}() }\nfunc pong_{id}() { ping_{id}() }\n"
+            "func TestNext_{id}(t *testing.T) {\n\tcheck_{next}(t)\n}\nfunc TestNothing_{id}(t *testing.T) {}\n"
+            "def test_direct_{id}():\n    assert load_{id}(1, 2)\n{text}",
+            id=F.col("doc_id").cast("string"), next=(F.col("doc_id") + 10).cast("string"), text=F.col("text"),
+        )
+        n = F.col("doc_id")
+        return self.table("documents").select(
+            self._repo(n).alias("repo"), F.concat(F.lit("t"), n.cast("string"), F.lit("_test.go")).alias("path"), body.alias("content")
+        )
+
     def coverage_runs(self) -> DataFrame:
         run = F.col("event_id")
         return self.table("events").select(
