@@ -40,22 +40,24 @@ def cached_answers(
     """For every request the newest earlier answer to the same prompt, if young enough.
 
     `requests` holds (request_id, ts, prompt), `answers` (request_id, ts,
-    prompt, answer). Both are laid on one time line per prompt digest, so a
-    prompt that is asked very often does not multiply rows.
+    prompt, answer), one row per request_id and ts. Both are laid on one time line per
+    prompt digest, so a prompt that is asked very often does not multiply rows. The line
+    carries ids; the texts of the answers that are used are joined last.
     """
     digest = F.sha2("prompt", 256).alias("digest")
-    none = F.lit(None).cast("string").alias("answer")
-    line = answers.select("request_id", "ts", digest, "answer", F.lit(0).alias("side")).unionByName(
-        requests.select("request_id", "ts", digest, none, F.lit(1).alias("side"))
+    line = answers.select("request_id", "ts", digest, F.lit(0).alias("side")).unionByName(
+        requests.select("request_id", "ts", digest, F.lit(1).alias("side"))
     )
-    known = F.when(F.col("side") == 0, F.struct("ts", "answer"))
+    known = F.when(F.col("side") == 0, F.struct("ts", "request_id"))
     found = carry_forward(
         line, ["digest"], ["ts", "side", "request_id"], known, "hit"
     ).where(F.col("side") == 1)
-    young = F.col("hit.ts") >= F.col("ts") - F.expr(f"INTERVAL '{config.cache_hours}' HOUR")
-    return found.select(
-        "request_id",
-        "ts",
-        F.coalesce(young, F.lit(False)).alias("is_hit"),
-        F.when(young, F.col("hit.answer")).alias("answer"),
+    young = F.coalesce(
+        F.col("hit.ts") >= F.col("ts") - F.expr(f"INTERVAL '{config.cache_hours}' HOUR"), F.lit(False)
     )
+    asked = found.select(
+        "request_id", "ts", young.alias("is_hit"),
+        F.when(young, F.col("hit.request_id")).alias("answer_id"), F.when(young, F.col("hit.ts")).alias("answer_ts"),
+    )
+    texts = answers.select(F.col("request_id").alias("answer_id"), F.col("ts").alias("answer_ts"), "answer")
+    return asked.join(texts, ["answer_id", "answer_ts"], "left").select("request_id", "ts", "is_hit", "answer")

@@ -7,6 +7,8 @@ structs inside the row. No shuffle is needed up to the flat symbol table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +140,26 @@ def symbols(files: DataFrame, keep_content: bool = False) -> DataFrame:
     )
 
 
+def symbol_numbers(files: DataFrame) -> DataFrame:
+    """n_symbols of every file of a supported language, counted without making the symbols."""
+    content, language = F.coalesce(F.col("content"), F.lit("")), F.col("language")
+
+    def matches(*patterns: str) -> Column:
+        return reduce(Column.__add__, [F.regexp_count(content, F.lit(pattern)) for pattern in patterns])
+
+    known = files.where(paths.language(F.col("path")).isin(*_WITH_SYMBOLS)).withColumn(
+        "language", paths.language(F.col("path"))
+    )
+    n = (
+        F.when(language == "go", F.size("_declared"))
+        .when(language == "python", matches(fixed.PYTHON_FUNCTION, fixed.PYTHON_CLASS))
+        .otherwise(matches(_SCRIPT_FUNCTION, fixed.SCRIPT_CLASS))
+    )
+    found = declarations.with_declarations(known, F.when(language == "go", content), "_declared")
+    rest = [c for c in files.columns if c not in ("content", "language")]
+    return found.select(*rest, n.cast("long").alias("n_symbols"))
+
+
 def functions(symbol_rows: DataFrame) -> DataFrame:
     return symbol_rows.where(F.col("kind") == "function").drop("methods")
 

@@ -597,8 +597,7 @@ def _report(v: Views) -> DataFrame:
     runs_ = cov.with_baseline(
         v.coverage_runs().select("run_id", "pr_id", "repo", "repo_key", "ts", "kind", "pct"), "repo_key"
     )
-    symbols_ = runs.symbol_counts(_analysis(v).symbols)
-    return cov.coverage_report(runs_, ch.new_lines(v.pr_files()), symbols_, CONFIG)
+    return cov.coverage_report(runs_, ch.new_lines(v.pr_files()), _analysis(v).symbol_counts(), CONFIG)
 
 
 @query

@@ -64,6 +64,13 @@ class ChangeAnalysis:
     def symbols(self) -> DataFrame:
         return modified_symbols(self._changes, self._files, self._config)
 
+    def symbol_counts(self) -> DataFrame:
+        """n_symbols per pull request over the files that are to be analyzed."""
+        wanted = ch.analyzable_files(ch.modified_files(self._changes, self._config.include_added))
+        numbers = sy.symbol_numbers(ch.analyzable_files(self._files).select(*ch.KEYS, "path", "content"))
+        mine = numbers.join(wanted.select(*ch.KEYS, "path").distinct(), [*ch.KEYS, "path"], "left_semi")
+        return mine.groupBy(*ch.KEYS).agg(F.sum("n_symbols").alias("n_symbols"))
+
     @cached_property
     def semantic_changes(self) -> DataFrame:
         return sy.semantic_changes(self.symbols)
@@ -87,7 +94,7 @@ class ChangeAnalysis:
         added = covered.patch_ranges(patches.join(wanted, [*ch.KEYS, "path"], "left_semi"))
         per_file = covered.covered_lines(added, ranges, (*ch.KEYS, "path"))
         return covered.covered_totals(
-            per_file, ch.new_lines(self.file_changes(patches)), symbol_counts(self.symbols)
+            per_file, ch.new_lines(self.file_changes(patches)), self.symbol_counts()
         )
 
 
@@ -103,6 +110,3 @@ def analysis_of(
 
     return analyse
 
-
-def symbol_counts(symbols: DataFrame, keys: tuple[str, ...] = ch.KEYS) -> DataFrame:
-    return symbols.groupBy(*keys).agg(F.count("*").alias("n_symbols"))
