@@ -363,24 +363,34 @@ def _matches_needed(na: Column, nb: Column, owna: Column, ownb: Column, settings
 
 
 def class_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
-    """key and full grams of the classes, from the text of one document each; some others
-    come along. Dealt and sorted by key and pinned like that, so that joins on the key move
-    the other side only."""
+    """key and full grams of the classes, from the text of one document each, pinned. A set
+    may come twice, and sets of other classes may come along."""
     ids = members.join(classes.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    found = gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), files, settings), settings)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pinned(found.repartition(parts, "key").dropDuplicates(["key"]).sortWithinPartitions("key"))
+    return pinned(gram_sets(docs, _filter(ids.select(F.xxhash64("doc_id").alias("id")), files, settings), settings))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFrame:
+def _sets_of(sets: DataFrame, keys: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
+    """The sets of the keys, and few others; one look-up per set, and no shuffle of the rest."""
+    sent = sets.sparkSession.sparkContext.broadcast(_filter(keys, files, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hit = sent.value.has(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit))
+
+    return sets.mapInArrow(run, "key long, grams array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, files: int, settings: JoinSettings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
+    pairs = _kept(pairs.select("a", "b"), files)
+    wanted = _sets_of(sets, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), files, settings)
+    left = wanted.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
+    right = wanted.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     union = F.size("grams_a") + F.size("grams_b") - F.col("common")
     return (
-        pairs.select("a", "b")
-        .join(left, "a")
+        pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", common.alias("common"), "grams_a", "grams_b")
         .where(F.col("common") * settings.den >= union * settings.num)
@@ -417,7 +427,7 @@ def _rest_links(lists: DataFrame, sets: DataFrame, files: int, settings: JoinSet
     wide = rows.where(F.col("held") > settings.wide)
     in_wide = wide.groupBy("key").agg(F.count(F.lit(1)).alias("in_wide"))
     narrow = rows.where(F.col("held") <= settings.wide).join(in_wide, "key", "left").fillna(0, ["in_wide"])
-    joined = verified(_narrow_pairs(narrow, settings), sets, settings)
+    joined = verified(_narrow_pairs(narrow, settings), sets, files, settings)
     components_of = lists.select("key", "component").distinct()
     ends = joined.join(components_of.toDF("a", "ca"), "a").join(components_of.toDF("b", "cb"), "b")
     links = ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
@@ -479,7 +489,8 @@ def _cluster_links(wide: DataFrame, sets: DataFrame, files: int, settings: JoinS
     clusters = first.select("key", "component").distinct().join(found.union(alone.distinct()), "key")
     spread = clusters.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     clusters = _kept(clusters.join(spread.where("low <> high").select("cluster"), "cluster"), files)
-    dealt = in_blocks(clusters.join(sets, "key"), "cluster", "key", settings.block)
+    whole = _sets_of(sets, clusters.select("key").distinct(), files, settings).dropDuplicates(["key"])
+    dealt = in_blocks(clusters.join(whole, "key"), "cluster", "key", settings.block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 64):
@@ -523,7 +534,7 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = CONTRACT) -> tuple
     sets = class_sets(docs, members, lists.select("key").distinct(), files, settings)
     links = None
     for seed in range(settings.star_rounds):
-        found = verified(_kept(_pivot_pairs(_labelled(lists, links), seed, settings), files), sets, settings)
+        found = verified(_pivot_pairs(_labelled(lists, links), seed, settings), sets, files, settings)
         links = _kept((found if links is None else links.union(found)).repartition(files), files)
     found = _rest_links(_kept(_labelled(lists, links), files), sets, files, settings)
     links = _kept((found if links is None else links.union(found)).repartition(files), files)
