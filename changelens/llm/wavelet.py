@@ -378,9 +378,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
-        data = [t.encode("utf-8", "replace") for t in texts]
-        parts = [words_at(d) for d in data]
-        hashes = np.concatenate([p[0] for p in parts])
+        parts = [t.encode("utf-8", "replace") for t in texts]
+        data = b"\n".join(parts)  # white space, so no word reaches into the next text
+        hashes, begins, ends = words_at(data)
         if self.store.words > _KEPT_WORDS:
             self.store.clear()
         start, lengths = self.store.find(hashes)
@@ -388,19 +388,15 @@ class WordEncoder:
         if len(missing):
             distinct, first = np.unique(hashes[missing], return_index=True)
             first = missing[first]
-            ends = np.cumsum([len(p[0]) for p in parts])
-            text_of = np.searchsorted(ends, first, "right")
-            words = []
-            for i, t in zip(first.tolist(), text_of.tolist(), strict=True):
-                k = i - (int(ends[t - 1]) if t else 0)
-                words.append(data[t][parts[t][1][k] : parts[t][2][k]].decode())
-            self._learn(distinct, words)
+            cuts = zip(begins[first].tolist(), ends[first].tolist(), strict=True)
+            self._learn(distinct, [data[i:j].decode() for i, j in cuts])
             start[missing], lengths[missing] = self.store.find(hashes[missing])
         before = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
         ids = self.store.ids[np.repeat(start - before, lengths) + np.arange(total)]
         bounds = np.r_[0, np.cumsum(lengths)]
-        cuts = bounds[np.r_[0, np.cumsum([len(p[0]) for p in parts])]]
+        text_ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = bounds[np.r_[0, np.searchsorted(begins, text_ends)]]
         return ids, np.diff(cuts)
 
 
