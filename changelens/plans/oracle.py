@@ -1221,6 +1221,7 @@ select doc_id, {_case(_language('path'), fixed.FRAMEWORKS, "'none'")} as framewo
             "code_files",
         ),
         # Sources and sinks
+        "small_files": _sql("select repo, pr_id, path, md5(content) as content_md5 from code_files", "code_files"),
         "source_files": _sql("select repo, path, md5(content) as content_md5 from code_files", "code_files"),
         "test_dir_files": _sql(
             f"select repo, test_path as path, md5(content) as content_md5 from unit_files where {_is_test('test_path')}",

@@ -29,7 +29,7 @@ from changelens.sources import changes as src_changes
 from changelens.sources import code as src_code
 from changelens.sources import coverage as src_cov
 from changelens.sources import profiles
-from changelens.sources import sinks, versions
+from changelens.sources import sinks, smallfiles, versions
 from changelens.streaming import pr_events as stream
 from changelens.streaming import requests
 
@@ -856,6 +856,17 @@ def source_files(v: Views) -> DataFrame:
     return src_code.read_code_table(v.spark, out).select("repo", "path", F.md5("content").alias("content_md5"))
 
 
+@query
+def small_files(v: Views) -> DataFrame:
+    """Source files written one by one, listed, and read in partitions of equal bytes."""
+    root, listing = work_path(v.spark, "tree"), work_path(v.spark, "listing")
+    smallfiles.write_small_files(v.code_files(), root)
+    smallfiles.write_listing(v.spark, root, listing)
+    return smallfiles.read_small_files(v.spark, listing, target=1 << 20).select(
+        "repo", "pr_id", "path", F.md5("content").alias("content_md5")
+    )
+
+
 @query
 def test_dir_files(v: Views) -> DataFrame:
     """Test files below a root folder, with paths relative to it."""
