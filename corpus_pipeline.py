@@ -7,7 +7,14 @@
 5. Texts are encoded to SentencePiece ids.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as
-Parquet and read again before the next; all but the last keep the columns.
+Parquet and read again before the next; all but the last keep the columns, further ones
+and those with names that operators use inside included.
+
+Defined results: null and empty texts are scored like any other and go on if they are
+accepted; they are no one's duplicates, hold no personal data, are never repeated (their
+size is 0) and have no ids. Rows that repeat an id are scored each and then one of them
+stays; rows without an id go on unless a document with one has their text or a similar
+one. Texts of any length are worked on whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
