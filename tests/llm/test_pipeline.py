@@ -48,6 +48,18 @@ def test_run_and_registered_queries(spark):
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
+def test_run_on_messy_and_empty_tables(spark, messy, empty, documents, tmp_path):
+    good = [(r["doc_id"] + 1000, r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id + 1000 doc_id", "quality", "toxic")
+    for name, docs in (("messy", messy.union(documents(good))), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "ids"]
+        assert (out.count() > 0) == (name == "messy")
+
+
 @pytest.mark.parametrize("name", [name for name in queries.queries() if not name.startswith("op13")])
 def test_every_query_gives_a_row_per_input_row(spark, name):
     table = {"op2": "embeddings", "op4": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
