@@ -8,14 +8,19 @@ Every event of a run kind comes to exactly one outcome:
 * `run`: the newest event of its request, once no newer one has arrived for `pause`.
 
 State is kept per (repo, pr_id): the ids seen, the pending event and the time of the event
-that last started a run. The clock is the time of arrival: the time of the micro-batch,
+that last started a run. A call to the state costs far more than an event, so ids lie in
+buckets, and a bucket is read and written once per `ROUND` events of a request; with the
+buckets that a batch has added to, ids are forgotten without going through the others. The clock is the time of arrival: the time of the micro-batch,
 which the offset log holds, so a replayed batch sees the same one. The watermark runs on
 it and drops no event, whatever time the event itself carries. Timers on it end pauses and
 forget ids.
 
 Each micro-batch replaces its own folders, named by the batch id, so a batch that is
 replayed after a crash changes nothing. Events of one request in one micro-batch are put
-in order of their times, an Arrow batch at a time.
+in order of their times, `ROUND` of them at a time.
+
+Checkpoints of versions that kept one entry per id (`seen`) can't be continued: the ids in
+them are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import timedelta
 from typing import Any
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +43,8 @@ from changelens.functions import fixed
 KEYS = ["repo", "pr_id"]
 OUTCOME = "repo STRING, pr_id BIGINT, event_id STRING, ts_us BIGINT, kind STRING, outcome STRING"
 STORE = "spark.sql.streaming.stateStore.providerClass"
+BUCKETS = 256  # of the ids of a request
+ROUND = 250_000  # events of a request that a task holds at once
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,6 +61,23 @@ def _ms(span: timedelta) -> int:
     return span // timedelta(milliseconds=1)
 
 
+def _bucket(event_id: str | None) -> int:
+    return crc32((event_id or "").encode()) % BUCKETS
+
+
+def _rounds(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chunks of a request, put together to about `ROUND` rows."""
+    held, n = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        n += len(chunk)
+        if n >= ROUND:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
 class RunRequests(StatefulProcessor):
     """State and timers of one request."""
 
@@ -61,26 +86,26 @@ class RunRequests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "event_id STRING", "at BIGINT")
+        self.ids = handle.getMapState("ids", "bucket INT", "event_ids ARRAY<STRING>, at ARRAY<BIGINT>")
+        self.arrivals = handle.getMapState("arrivals", "at BIGINT", "buckets ARRAY<INT>")
         self.pending = handle.getValueState("pending", "event_id STRING, ts_us BIGINT, kind STRING, due BIGINT")
         self.started = handle.getValueState("started", "ts_us BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         started = self.started.get()[0] if self.started.exists() else None
         pending = tuple(self.pending.get())[:3] if self.pending.exists() else None
-        arrived = None
-        for chunk in rows:
+        arrived, touched = None, set()
+        for chunk in _rounds(rows):
             found = []
-            for event in chunk.sort_values(["ts_us", "event_id"]).itertuples():
-                arrived = event.arrived_ms
-                row = (event.event_id, event.ts_us, event.kind)
-                if self.seen.containsKey((event.event_id,)):
+            events = chunk.sort_values(["ts_us", "event_id"])
+            names, arrived = events["event_id"].tolist(), int(events["arrived_ms"].iloc[-1])
+            repeats = self._repeats(names, arrived, touched)
+            for *row, repeat in zip(names, events["ts_us"].tolist(), events["kind"].tolist(), repeats):
+                if repeat:
                     found.append((*row, "repeat"))
-                    continue
-                self.seen.updateValue((event.event_id,), (arrived,))
-                if started is not None and event.ts_us < started:
+                elif started is not None and row[1] < started:
                     found.append((*row, "late"))
-                elif pending is not None and (event.ts_us, event.event_id) < (pending[1], pending[0]):
+                elif pending is not None and (row[1], row[0]) < (pending[1], pending[0]):
                     found.append((*row, "superseded"))
                 else:
                     if pending is not None:
@@ -93,6 +118,34 @@ class RunRequests(StatefulProcessor):
             self.handle.registerTimer(due)
         if arrived is not None:
             self.handle.registerTimer(arrived + _ms(self.timing.remember))
+        if touched:
+            before = self.arrivals.getValue((arrived,))
+            self.arrivals.updateValue((arrived,), (sorted(touched.union(before[0] if before else ())),))
+
+    def _repeats(self, names: list[str | None], arrived: int, touched: set[int]) -> list[bool]:
+        """Whether each id was seen before; those that were not are added, their buckets to `touched`."""
+        places: dict[int, list[int]] = {}
+        for i, name in enumerate(names):
+            places.setdefault(_bucket(name), []).append(i)
+        repeats = [False] * len(names)
+        for bucket, mine in places.items():
+            seen = self._seen(bucket)
+            before = len(seen)
+            for i in mine:
+                repeats[i] = names[i] in seen
+                seen.setdefault(names[i], arrived)
+            if len(seen) > before:
+                self._keep(bucket, seen)
+                touched.add(bucket)
+        return repeats
+
+    def _seen(self, bucket: int) -> dict[str | None, int]:
+        """The ids of a bucket and their times of arrival."""
+        value = self.ids.getValue((bucket,))
+        return dict(zip(*value)) if value else {}
+
+    def _keep(self, bucket: int, seen: dict[str | None, int]) -> None:
+        self.ids.updateValue((bucket,), (list(seen), list(seen.values())))
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -102,9 +155,19 @@ class RunRequests(StatefulProcessor):
                 self.pending.clear()
                 self.started.update((row[1],))
                 yield self._rows(key, [(*row, "run")])
-        old = [k for k, v in self.seen.iterator() if v[0] + _ms(self.timing.remember) <= now]
-        for event in old:
-            self.seen.removeKey(event)
+        self._forget(now - _ms(self.timing.remember))
+
+    def _forget(self, last: int) -> None:
+        """Drop the ids that arrived at `last` or before."""
+        old = [at for (at,) in self.arrivals.keys() if at <= last]
+        for bucket in sorted({b for at in old for b in self.arrivals.getValue((at,))[0]}):
+            kept = {name: at for name, at in self._seen(bucket).items() if at > last}
+            if kept:
+                self._keep(bucket, kept)
+            else:
+                self.ids.removeKey((bucket,))
+        for at in old:
+            self.arrivals.removeKey((at,))
 
     def close(self) -> None:
         pass

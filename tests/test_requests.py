@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 
 from changelens.streaming import requests
@@ -75,3 +76,122 @@ def test_a_batch_that_fails_is_replayed_once(spark, stream):
     stream.feed(analyse=broken)
     assert stream.table() == [("a", "run"), ("b", "run")]
     assert stream.table("analysis") == [("a", "done"), ("b", "done")]
+
+
+class Store:
+    """A state handle in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = 0, [], {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Kept(self))
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Kept:
+    def __init__(self, store):
+        self.store, self.rows = store, {}
+
+    def _counted(self):
+        self.store.calls += 1
+        return self.rows
+
+    def exists(self):
+        return bool(self._counted())
+
+    def get(self):
+        return self._counted()[()]
+
+    def update(self, value):
+        self._counted()[()] = value
+
+    def clear(self):
+        self._counted().clear()
+
+    def containsKey(self, key):
+        return key in self._counted()
+
+    def getValue(self, key):
+        return self._counted().get(key)
+
+    def updateValue(self, key, value):
+        self._counted()[key] = value
+
+    def removeKey(self, key):
+        self._counted().pop(key, None)
+
+    def keys(self):
+        for key in list(self.rows):
+            self._counted()
+            yield key
+
+    def iterator(self):
+        for row in list(self.rows.items()):
+            self._counted()
+            yield row
+
+
+@pytest.fixture
+def request_state():
+    """A processor of one request outside Spark."""
+
+    class State:
+        def __init__(self, **timing):
+            self.store = Store()
+            self.processor = requests.RunRequests(requests.Timing(**timing))
+            self.processor.init(self.store)
+
+        def take(self, arrived, *chunks):
+            columns = ["event_id", "ts_us", "kind"]
+            frames = [pd.DataFrame([(*e, "opened") for e in chunk], columns=columns).assign(arrived_ms=arrived) for chunk in chunks]
+            return self._rows(self.processor.handleInputRows(("r", 1), iter(frames), None))
+
+        def expire(self, at):
+            info = type("Expired", (), {"getExpiryTimeInMs": lambda self: at})()
+            return self._rows(self.processor.handleExpiredTimer(("r", 1), None, info))
+
+        @staticmethod
+        def _rows(frames):
+            return [(r.event_id, r.outcome) for frame in frames for r in frame.itertuples()]
+
+    return State
+
+
+def test_calls_to_the_state_do_not_grow_with_the_events(request_state):
+    state = request_state(pause=dt.timedelta(0))
+    events = [(str(n), n) for n in range(20_000)]
+    found = state.take(1, events[:9_000], events[8_000:])
+    assert sorted(e for e, outcome in found if outcome == "repeat") == sorted(str(n) for n in range(8_000, 9_000))
+    assert sum(outcome == "superseded" for _, outcome in found) == 19_999
+    assert state.expire(1) == [("19999", "run")]
+    assert state.store.calls < 2_000
+    # The ids are known in the next batch.
+    assert state.take(2, [("77", 77), ("new", 30_000)]) == [("77", "repeat")]
+
+
+def test_rounds_of_a_batch_are_one_request(request_state, monkeypatch):
+    monkeypatch.setattr(requests, "ROUND", 3)
+    state = request_state(pause=dt.timedelta(0))
+    found = state.take(1, [("a", 1)], [("c", 3), ("b", 2)], [("c", 3)], [(None, 0)], [(None, 0), ("a", 9)])
+    assert sorted(found, key=str) == sorted(
+        [("a", "superseded"), ("b", "superseded"), ("c", "repeat"), (None, "superseded"), (None, "repeat"), ("a", "repeat")], key=str
+    )
+    assert state.expire(1) == [("c", "run")]
+
+
+def test_a_timer_forgets_only_what_is_old_enough(request_state):
+    state = request_state(pause=dt.timedelta(0), remember=dt.timedelta(milliseconds=10))
+    state.take(1, [(str(n), n) for n in range(1_000)])
+    state.take(5, [(str(n), n) for n in range(900, 2_000)])
+    state.expire(5)
+    assert state.take(6, [("3", 3)]) == [("3", "repeat")]
+    state.expire(11)
+    found = state.take(12, [("3", 5_000), ("950", 950), ("1000", 1000)])
+    assert [e for e, outcome in found if outcome == "repeat"] == ["1000"]
+    state.expire(22)
+    assert not state.store.states["ids"].rows and not state.store.states["arrivals"].rows
