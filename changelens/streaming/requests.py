@@ -215,7 +215,12 @@ def start(
             save(kept, "outcomes", number)
             save(kept.where("outcome = 'late'"), "late", number)
             if analyse:
-                save(analyse(kept.where("outcome = 'run'").drop("outcome")), "analysis", number)
+                runs = kept.where("outcome = 'run'").drop("outcome").persist()
+                try:
+                    runs.count()  # its size is known from here on: few requests are broadcast, none cost nothing
+                    save(analyse(runs), "analysis", number)
+                finally:
+                    runs.unpersist()
         finally:
             kept.unpersist()
 

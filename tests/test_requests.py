@@ -195,3 +195,15 @@ def test_a_timer_forgets_only_what_is_old_enough(request_state):
     assert [e for e, outcome in found if outcome == "repeat"] == ["1000"]
     state.expire(22)
     assert not state.store.states["ids"].rows and not state.store.states["arrivals"].rows
+
+
+def test_the_size_of_the_started_requests_is_known(stream):
+    sizes = []
+
+    def analyse(runs):
+        plan = runs.select("repo", "pr_id").distinct()._jdf.queryExecution().optimizedPlan()
+        sizes.append(int(str(plan.stats().sizeInBytes())))
+        return runs.select("event_id", "kind")
+
+    stream.feed(*[(1, f"e{n}", n, "opened") for n in range(5_000)], analyse=analyse)
+    assert len(sizes) == 2 and max(sizes) < 5_000
